@@ -12,16 +12,20 @@ def stable_id(*parts: Column, namespace: str = ID_NAMESPACE) -> Column:
     """UUIDv5 of the parts joined by ``:`` (RFC 9562, section 5.5)."""
     seed = F.concat_ws(":", *[p.cast("string") for p in parts])
     prefix = F.unhex(F.lit(namespace.replace("-", "")))
-    digest = F.sha1(F.concat(prefix, F.encode(seed, "UTF-8")))
-    variant = (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(F.substr(F.lit("89ab"), variant, F.lit(1)), F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
+    return uuid_of_digest(F.sha1(F.concat(prefix, F.encode(seed, "UTF-8"))))
+
+
+def uuid_of_digest(digest: Column) -> Column:
+    """Version 5 and variant 1 set over the first 32 hex digits: the thirteenth
+    digit becomes 5, and the seventeenth keeps its two low bits."""
+    shaped = F.regexp_replace(
+        digest, "^(.{8})(.{4}).(.{3})(.)(.{3})(.{12}).*$", "$1-$2-5$3-<$4>$5-$6"
     )
+    for low in range(4):
+        shaped = F.regexp_replace(
+            shaped, "<[" + "".join(f"{d:x}" for d in range(low, 16, 4)) + "]>", "89ab"[low]
+        )
+    return shaped
 
 
 def table_id(tenant: Column, name: Column, content_hash: Column) -> Column:

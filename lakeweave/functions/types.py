@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _INT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -25,27 +23,27 @@ def logical_type(data_type: T.DataType) -> str:
     return "str"
 
 
-def as_integer(col: Column, data_type: T.DataType) -> Column:
-    """Whole numbers as they are, dates as microseconds since the epoch."""
+def as_integer(name: str, data_type: T.DataType) -> str:
+    """SQL for whole numbers as they are, dates as microseconds since the epoch."""
     if isinstance(data_type, (T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(col.cast("timestamp"))
+        return f"unix_micros(cast({name} as timestamp))"
     if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(col)
-    return col.cast("long")
+        return f"unix_micros({name})"
+    return f"cast({name} as bigint)"
 
 
-def as_float(col: Column, data_type: T.DataType) -> Column:
-    """Doubles with NaN counted as missing."""
-    value = col.cast("double")
+def as_float(name: str, data_type: T.DataType) -> str:
+    """SQL for doubles with NaN counted as missing."""
+    value = f"cast({name} as double)"
     if isinstance(data_type, T.DecimalType):
         return value
-    return F.when(~F.isnan(value), value)
+    return f"nullif({value}, double('NaN'))"
 
 
-def as_text(col: Column, data_type: T.DataType) -> Column:
-    """Text of a categorical value; nested values as JSON, bytes as base64."""
+def as_text(name: str, data_type: T.DataType) -> str:
+    """SQL for the text of a categorical value; nested values as JSON, bytes as base64."""
     if isinstance(data_type, _NESTED):
-        return F.when(col.isNotNull(), F.to_json(col))
+        return f"to_json({name})"
     if isinstance(data_type, T.BinaryType):
-        return F.base64(col)
-    return col.cast("string")
+        return f"base64({name})"
+    return f"cast({name} as string)"

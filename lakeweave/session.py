@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -50,3 +51,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """Metadata rows as one literal, without Python tasks or a job."""
+    names = [part.split()[0] for part in schema.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    struct = ", ".join(f"{n}: {part.split()[1]}" for n, part in zip(names, schema.split(",")))
+    return spark.sql(
+        f"SELECT inline(from_json(:rows, 'array<struct<{struct}>>'))", args={"rows": text}
+    )

@@ -1,0 +1,6 @@
+"""Registered queries: each a Spark job over the given tables with its SQL twin."""
+
+from suite.common import REGISTRY
+from suite import profiling  # noqa: F401
+
+__all__ = ["REGISTRY"]
