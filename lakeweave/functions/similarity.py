@@ -1,9 +1,13 @@
-"""Pairwise similarities as column expressions. All stay inside the JVM."""
+"""Pairwise similarities as SQL expressions over column names; all run inside the JVM.
+
+A function takes the SQL of its inputs and returns SQL, for ``selectExpr``, ``expr``
+or a query text. What depends on one name alone is computed once per column by
+``with_name_features`` and not once per pair.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from lakeweave import params as P
 from lakeweave.functions.text import name_tokens
@@ -12,241 +16,167 @@ from lakeweave.functions.text import name_tokens
 _WORD_BITS = 62
 
 
-def normalized(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
-
-
-def edit_similarity(a: Column, b: Column) -> Column:
-    a, b = normalized(a), normalized(b)
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def with_name_features(df: DataFrame, name: str, alias: str) -> DataFrame:
+    """Adds ``struct(norm, len, chars, bits, tokens)`` of a name column.
 
-
-def _lcs_words(a: Column, b: Column) -> Column:
-    """Bit-parallel common-subsequence length (Hyyrö 2004), one step per character of b.
-
-    ``a`` becomes a map from character to the bits of its positions. A zero bit
-    of the state marks one more matched character.
+    ``bits`` maps each character to the positions where it occurs, as bits of a word;
+    null for a name that is too long for that.
     """
-    chars, size = _chars(a), F.length(a)
-    positions = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-    def bits(c: Column) -> Column:
-        return F.aggregate(
-            positions,
-            F.lit(0).cast("long"),
-            lambda m, i: F.when(
-                F.get(chars, i) == c, m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
-            ).otherwise(m),
+    kept = [f"`{c}`" for c in df.columns]
+    bits = """map_from_entries(transform(array_distinct(_chars), c -> struct(c, aggregate(
+        transform(_chars, (x, i) -> if(x = c, shiftleft(1L, i), 0L)), 0L, (m, b) -> m | b))))"""
+    return (
+        df.selectExpr(*kept, rf"lower(regexp_replace({name}, r'(?U)^\s+|\s+$', '')) AS _norm")
+        .selectExpr(*kept, "_norm", "filter(split(_norm, ''), c -> c <> '') AS _chars")
+        .selectExpr(
+            *kept,
+            f"""named_struct('norm', _norm, 'len', size(_chars), 'chars', _chars,
+                'bits', if(size(_chars) <= {_WORD_BITS}, {bits}, NULL),
+                'tokens', {name_tokens(name)}) AS {alias}""",
         )
-
-    masks = F.map_from_entries(
-        F.transform(F.array_distinct(chars), lambda c: F.struct(c, bits(c)))
     )
-    ones = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
 
-    def step(state: Column, c: Column) -> Column:
-        hit = state.bitwiseAND(F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long")))
-        return (state + hit).bitwiseOR(state - hit).bitwiseAND(ones)
 
-    return size - F.bit_count(F.aggregate(_chars(b), ones, step))
+def edit_similarity(a: str, b: str) -> str:
+    return f"(1 - levenshtein({a}.norm, {b}.norm) / greatest({a}.len, {b}.len, 1))"
 
 
-def _lcs_rows(a: Column, b: Column) -> Column:
-    """The same length by the usual row recurrence, for names beyond the word size."""
-    b_chars = _chars(b)
-    zeros = F.transform(b_chars, lambda c: F.lit(0))
+def _lcs_words(a: str, b: str) -> str:
+    """Bit-parallel common-subsequence length (Hyyrö 2004), one step per character of b.
 
-    def next_row(prev: Column, ca: Column) -> Column:
-        # ``row`` grows from the left; position i reads the row above at i and i - 1.
-        cells = F.transform(
-            b_chars,
-            lambda cb, i: F.struct(
-                cb.alias("cb"),
-                F.get(prev, i).alias("up"),
-                F.when(i > 0, F.get(prev, i - 1)).otherwise(F.lit(0)).alias("diag"),
-            ),
-        )
-        return F.aggregate(
-            cells,
-            F.array().cast("array<int>"),
-            lambda row, x: F.concat(
-                row,
-                F.array(
-                    F.when(x["cb"] == ca, x["diag"] + 1).otherwise(
-                        F.greatest(x["up"], F.coalesce(F.get(row, F.size(row) - 1), F.lit(0)))
-                    )
-                ),
-            ),
-        )
+    A zero bit of the state marks one more matched character of a.
+    """
+    ones = f"(shiftleft(1L, {a}.len) - 1)"
+    hits = f"transform({b}.chars, c_ -> coalesce(try_element_at({a}.bits, c_), 0L))"
+    step = f"((v_ + (v_ & m_)) | (v_ - (v_ & m_))) & {ones}"
+    return f"({a}.len - bit_count(aggregate({hits}, {ones}, (v_, m_) -> {step})))"
 
-    last = F.aggregate(_chars(a), zeros, next_row)
-    return F.coalesce(F.get(last, F.size(last) - 1), F.lit(0))
 
+def _lcs_rows(a: str, b: str) -> str:
+    """The same by the usual row recurrence, for two names beyond the word size."""
+    up, diag = "get(prev_, i_)", "if(i_ > 0, get(prev_, i_ - 1), 0)"
+    left = "coalesce(get(r_, size(r_) - 1), 0)"
+    cells = f"transform({b}.chars, (cb_, i_) -> struct(cb_ AS cb, {up} AS up, {diag} AS diag))"
+    row = f"""aggregate({cells}, cast(array() AS array<int>), (r_, x_) -> concat(r_, array(
+        if(x_.cb = ca_, x_.diag + 1, greatest(x_.up, {left})))))"""
+    return f"""coalesce(element_at(aggregate({a}.chars, transform({b}.chars, c_ -> 0), (prev_, ca_) -> {row}), -1), 0)"""
 
-def subsequence_length(a: Column, b: Column) -> Column:
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    empty = F.length(short) == 0
-    return (
-        F.when(empty, F.lit(0))
-        .when(F.length(short) <= _WORD_BITS, _lcs_words(short, long))
-        .otherwise(_lcs_rows(short, long))
-    )
 
+def subsequence_length(a: str, b: str) -> str:
+    return f"""CASE WHEN {a}.len = 0 OR {b}.len = 0 THEN 0
+        WHEN {a}.len <= {_WORD_BITS} THEN {_lcs_words(a, b)}
+        WHEN {b}.len <= {_WORD_BITS} THEN {_lcs_words(b, a)}
+        ELSE {_lcs_rows(a, b)} END"""
 
-def subsequence_similarity(a: Column, b: Column) -> Column:
-    a, b = normalized(a), normalized(b)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(0.0)).otherwise(
-        2.0 * subsequence_length(a, b) / F.greatest(total, F.lit(1))
-    )
+
+def subsequence_similarity(a: str, b: str) -> str:
+    return f"coalesce(2D * ({subsequence_length(a, b)}) / nullif({a}.len + {b}.len, 0), 0D)"
 
 
-def subsequence_bound(a: Column, b: Column) -> Column:
+def subsequence_bound(a: str, b: str) -> str:
     """No common subsequence is longer than the shorter name."""
-    a, b = normalized(a), normalized(b)
-    total = F.length(a) + F.length(b)
-    return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(total, F.lit(1))
+    return f"coalesce(2D * least({a}.len, {b}.len) / nullif({a}.len + {b}.len, 0), 0D)"
 
 
-def set_jaccard(a: Column, b: Column) -> Column:
+def set_jaccard(a: str, b: str) -> str:
     """Jaccard of two duplicate-free arrays; both empty gives 0."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1))
-    )
+    shared = f"size(array_intersect({a}, {b}))"
+    return f"coalesce({shared} / nullif(size({a}) + size({b}) - {shared}, 0), 0D)"
 
 
-def token_similarity(a: Column, b: Column) -> Column:
-    return set_jaccard(name_tokens(a), name_tokens(b))
+def token_similarity(a: str, b: str) -> str:
+    return set_jaccard(f"{a}.tokens", f"{b}.tokens")
 
 
-def name_similarity(a: Column, b: Column) -> Column:
+def name_similarity(a: str, b: str) -> str:
     lev, seq, tok = P.NAME_WEIGHTS
     return (
-        lev * edit_similarity(a, b) + seq * subsequence_similarity(a, b) + tok * token_similarity(a, b)
+        f"({lev}D * {edit_similarity(a, b)} + {seq}D * {subsequence_similarity(a, b)}"
+        f" + {tok}D * {token_similarity(a, b)})"
     )
 
 
-def type_similarity(a: Column, b: Column, symmetric: bool = False) -> Column:
+def type_similarity(a: str, b: str, symmetric: bool = False) -> str:
     pairs = list(P.COMPATIBLE_TYPES)
     if symmetric:
         pairs += [(t, s) for s, t in P.COMPATIBLE_TYPES]
-    listed = [F.concat_ws(">", F.lit(s), F.lit(t)) for s, t in dict.fromkeys(pairs)]
+    listed = ", ".join(f"'{s}>{t}'" for s, t in dict.fromkeys(pairs))
     return (
-        F.when(a == b, F.lit(1.0))
-        .when(F.concat_ws(">", a, b).isin(listed), F.lit(P.TYPE_PARTIAL))
-        .otherwise(F.lit(0.0))
+        f"CASE WHEN {a} = {b} THEN 1D WHEN concat({a}, '>', {b}) IN ({listed}) THEN {P.TYPE_PARTIAL}D ELSE 0D END"
     )
 
 
-def relative_similarity(a: Column, b: Column) -> Column:
-    gap = F.abs(a - b) / (F.greatest(F.abs(a), F.abs(b)) + P.EPSILON)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - gap))
+def relative_similarity(a: str, b: str) -> str:
+    gap = f"abs({a} - {b}) / (greatest(abs({a}), abs({b})) + {P.EPSILON}D)"
+    return f"greatest(0D, least(1D, 1 - {gap}))"
 
 
-def numeric_similarity(a: Column, b: Column) -> Column:
+def numeric_similarity(a: str, b: str) -> str:
     """Of two structs ``mean, std, q25, q50, q75``; a missing side gives 0."""
     w_mean, w_std, w_quart = P.NUMERIC_WEIGHTS
 
-    def rel(field: str) -> Column:
-        zero = F.lit(0.0)
-        return relative_similarity(F.coalesce(a[field], zero), F.coalesce(b[field], zero))
-
-    quart = (rel("q25") + rel("q50") + rel("q75")) / 3.0
-    score = w_mean * rel("mean") + w_std * rel("std") + w_quart * quart
-    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(score)
-
+    def rel(field: str) -> str:
+        return relative_similarity(f"coalesce({a}.{field}, 0D)", f"coalesce({b}.{field}, 0D)")
 
-def _norm(freqs: Column) -> Column:
-    return F.sqrt(F.aggregate(F.map_values(freqs), F.lit(0.0), lambda s, v: s + v * v))
+    quart = f"({rel('q25')} + {rel('q50')} + {rel('q75')}) / 3D"
+    return (
+        f"if({a} IS NULL OR {b} IS NULL, 0D, "
+        f"{w_mean}D * {rel('mean')} + {w_std}D * {rel('std')} + {w_quart}D * {quart})"
+    )
 
 
-def category_similarity(a: Column, b: Column) -> Column:
+def category_similarity(a: str, b: str) -> str:
     """Of two ``map<value, frequency>`` columns; a missing side gives 0."""
     w_set, w_freq = P.CATEGORY_WEIGHTS
-    keys_a, keys_b = F.map_keys(a), F.map_keys(b)
-    shared = F.array_intersect(keys_a, keys_b)
-    dot = F.aggregate(
-        shared, F.lit(0.0), lambda s, k: s + F.element_at(a, k) * F.element_at(b, k)
-    )
-    norms = _norm(a) * _norm(b)
-    cosine = F.when(norms > 0, dot / norms).otherwise(F.lit(0.0))
-    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(
-        w_set * set_jaccard(keys_a, keys_b) + w_freq * cosine
-    )
 
+    def norm(m: str) -> str:
+        return f"sqrt(aggregate(map_values({m}), 0D, (acc_, v_) -> acc_ + v_ * v_))"
 
-def stat_similarity(
-    type_a: Column, num_a: Column, cat_a: Column, type_b: Column, num_b: Column, cat_b: Column
-) -> Column:
-    numeric = type_a.isin(*P.NUMERIC_TYPES) & type_b.isin(*P.NUMERIC_TYPES)
-    category = type_a.isin(*P.CATEGORICAL_TYPES) & type_b.isin(*P.CATEGORICAL_TYPES)
-    return (
-        F.when(numeric, numeric_similarity(num_a, num_b))
-        .when(category, category_similarity(cat_a, cat_b))
-        .otherwise(F.lit(0.0))
-    )
+    shared = f"array_intersect(map_keys({a}), map_keys({b}))"
+    dot = f"aggregate({shared}, 0D, (acc_, k_) -> acc_ + element_at({a}, k_) * element_at({b}, k_))"
+    cosine = f"coalesce({dot} / nullif({norm(a)} * {norm(b)}, 0D), 0D)"
+    jaccard = set_jaccard(f"map_keys({a})", f"map_keys({b})")
+    return f"if({a} IS NULL OR {b} IS NULL, 0D, {w_set}D * {jaccard} + {w_freq}D * {cosine})"
 
 
-def scenario_weight(scenario: Column, part: str) -> Column:
-    """Weight of ``text``, ``struct`` or ``stat`` in a scenario; unknown gives 0."""
-    expr = F.lit(0.0)
-    for name, weights in P.SCENARIOS.items():
-        expr = F.when(scenario == name, F.lit(getattr(weights, part))).otherwise(expr)
-    return expr
+def stat_similarity(a: str, b: str) -> str:
+    """Of two structs with ``col_type, numeric_stats, freqs``, by kind of their types."""
+    numeric, category = P.NUMERIC_TYPES, P.CATEGORICAL_TYPES
+    return f"""CASE WHEN {a}.col_type IN {numeric} AND {b}.col_type IN {numeric}
+            THEN {numeric_similarity(f"{a}.numeric_stats", f"{b}.numeric_stats")}
+        WHEN {a}.col_type IN {category} AND {b}.col_type IN {category}
+            THEN {category_similarity(f"{a}.freqs", f"{b}.freqs")}
+        ELSE 0D END"""
 
 
-def mixed_score(scenario: Column, name: Column, kind: Column, stat: Column) -> Column:
-    return (
-        scenario_weight(scenario, "text") * name
-        + scenario_weight(scenario, "struct") * kind
-        + scenario_weight(scenario, "stat") * stat
-    )
-
-
-def type_counts(types: Column) -> list[Column]:
-    """Five columns, one count per logical type, of an array of type names."""
-    return [
-        F.size(F.filter(types, lambda t, k=k: t == k)).alias(f"n_{k}") for k in P.LOGICAL_TYPES
-    ]
+def scenario_weight(scenario: str, part: str) -> str:
+    """Weight of ``text``, ``struct`` or ``stat`` in a scenario; unknown gives 0."""
+    cases = " ".join(f"WHEN '{n}' THEN {getattr(w, part)}D" for n, w in P.SCENARIOS.items())
+    return f"CASE {scenario} {cases} ELSE 0D END"
 
 
-def type_jaccard(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Multiset Jaccard of two tables' type counts; both empty gives 0."""
-    low = sum((F.least(a[k], b[k]) for k in P.LOGICAL_TYPES), F.lit(0))
-    high = sum((F.greatest(a[k], b[k]) for k in P.LOGICAL_TYPES), F.lit(0))
-    return F.when(high == 0, F.lit(0.0)).otherwise(low / F.greatest(high, F.lit(1)))
+def mixed_score(scenario: str, name: str, kind: str, stat: str) -> str:
+    parts = {"text": name, "struct": kind, "stat": stat}
+    return "(" + " + ".join(f"{scenario_weight(scenario, p)} * {v}" for p, v in parts.items()) + ")"
 
 
-def layer_one_score(text: Column, kinds: Column) -> Column:
-    return P.OMEGA_TEXT * text + P.OMEGA_TYPE * kinds
+def type_jaccard(a: str, b: str) -> str:
+    """Multiset Jaccard of two arrays of type names; both empty gives 0."""
 
+    def total(fn: str) -> str:
+        return " + ".join(
+            f"{fn}(size(filter({a}, t_ -> t_ = '{k}')), size(filter({b}, t_ -> t_ = '{k}')))"
+            for k in P.LOGICAL_TYPES
+        )
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0),
-        lambda s, v: s + v,
-    )
+    return f"coalesce(({total('least')}) / nullif({total('greatest')}, 0), 0D)"
 
 
-def min_max(value: Column, window) -> Column:
-    low, high = F.min(value).over(window), F.max(value).over(window)
-    return (value - low) / (high - low + P.EPSILON)
+def dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x_, y_) -> double(x_) * double(y_)), 0D, (acc_, v_) -> acc_ + v_)"
 
 
-def at_threshold(score: Column) -> Column:
+def at_threshold(score: str) -> str:
     """Scores are rounded to nine places wherever they meet a threshold or an order,
     so that the order in which a sum was taken cannot decide."""
-    return F.round(score, 9)
-
-
-def accepted(score: Column, theta: float = P.THETA_MATCH) -> Column:
-    return at_threshold(score) >= theta
+    return f"round({score}, 9)"

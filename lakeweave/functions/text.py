@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 # Fixed value: a run of letters, digits of any kind, and underscores.
 WORD_PATTERN = r"([\p{L}\p{N}_]+)"
+# The same without underscores.
+PART_PATTERN = r"([\p{L}\p{N}]+)"
 
 
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 1)
 
 
-def name_tokens(name: Column) -> Column:
-    """Distinct lower-case parts of a snake, kebab, spaced or camel-case name."""
-    spaced = F.regexp_replace(name, r"([a-z0-9])(?=[A-Z])", "$1 ")
-    parts = F.split(F.lower(spaced), r"(?U)[_\s\-]+")
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+def name_tokens(name: str) -> str:
+    """SQL for the distinct lower-case parts of a snake, kebab, spaced or camel-case name."""
+    spaced = f"lower(regexp_replace({name}, '([a-z0-9])(?=[A-Z])', '$1 '))"
+    return rf"array_distinct(filter(split({spaced}, r'(?U)[_\s\-]+'), p -> p <> ''))"
 
 
 def _described(description: Column) -> Column:

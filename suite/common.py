@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeweave.plans.store import ProfileStore, build_store
 from lakeweave.sources import benchlake
 from lakeweave.sources.lake import SchemaGroup, single_table
 
@@ -66,6 +67,18 @@ def bench_lake(spark: SparkSession, sf_dir: str) -> list[SchemaGroup]:
     )
 
 
+@lru_cache(maxsize=None)
+def store(spark: SparkSession, sf_dir: str) -> ProfileStore:
+    """The profiled benchmark lake, as ingest would have written it."""
+    return build_store(bench_lake(spark, sf_dir))
+
+
+@lru_cache(maxsize=None)
+def base_store(spark: SparkSession, sf_dir: str) -> ProfileStore:
+    """The profiled given tables."""
+    return build_store(lake(spark, sf_dir))
+
+
 def sql_list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
