@@ -59,7 +59,7 @@ def _lcs_rows(a: str, b: str) -> str:
     cells = f"transform({b}.chars, (cb_, i_) -> struct(cb_ AS cb, {up} AS up, {diag} AS diag))"
     row = f"""aggregate({cells}, cast(array() AS array<int>), (r_, x_) -> concat(r_, array(
         if(x_.cb = ca_, x_.diag + 1, greatest(x_.up, {left})))))"""
-    return f"""coalesce(element_at(aggregate({a}.chars, transform({b}.chars, c_ -> 0), (prev_, ca_) -> {row}), -1), 0)"""
+    return f"""coalesce(try_element_at(aggregate({a}.chars, transform({b}.chars, c_ -> 0), (prev_, ca_) -> {row}), -1), 0)"""
 
 
 def subsequence_length(a: str, b: str) -> str:

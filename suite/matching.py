@@ -156,7 +156,7 @@ def _rounded(df, *names):
 
 
 COMPONENTS = ("sim_name", "sim_type", "sim_stat", "m_score")
-SQL_COMPONENTS = ", ".join(f"round({n}, 6) AS {n}" for n in COMPONENTS)
+SQL_COMPONENTS = ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in COMPONENTS)
 
 
 @query(

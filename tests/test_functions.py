@@ -4,7 +4,7 @@ import math
 import uuid
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,7 +97,12 @@ def test_subsequence_beyond_word_size(spark):
     assert got == [brute_lcs(r["a"], r["b"]) for r in df.collect()]
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(
+    max_examples=4,
+    deadline=None,
+    phases=[Phase.generate],
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
 @given(
     st.lists(
         st.tuples(
