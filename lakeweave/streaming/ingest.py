@@ -12,7 +12,7 @@ from lakeweave.sources import files
 
 def _read(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
     """What earlier batches wrote; a replayed batch does not see its own output."""
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch") <> batch_id)
+    return spark.read.schema(schema).parquet(path).filter(F.col("batch") != batch_id)
 
 
 def stream_tables(
