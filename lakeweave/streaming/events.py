@@ -172,15 +172,16 @@ def stream_history(
     events: DataFrame,
     per_task: int = P.EVENTS_PER_TASK,
     terminal: str = P.TERMINAL_EVENT,
-    idle_seconds: int = P.HEARTBEAT_SECONDS,
+    idle_seconds: int | None = P.HEARTBEAT_SECONDS,
 ) -> DataFrame:
     """Events of each task up to its terminal event, with heartbeats while it idles.
 
     The state of a task is whether it has ended and the last ``per_task`` sequence
     numbers, so a replayed event is passed on once. A processing-time timer emits a
-    heartbeat after ``idle_seconds`` without input.
+    heartbeat after ``idle_seconds`` without input. Timers keep a stream alive, so one
+    that shall end with its input (``availableNow``) needs ``idle_seconds=None``.
     """
-    wait = idle_seconds * 1000
+    wait = idle_seconds * 1000 if idle_seconds else None
 
     def step(key, frames, state):
         import pandas as pd
@@ -195,7 +196,7 @@ def stream_history(
             )
         else:
             rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
-            rows = rows[~rows["seq"].isin(seen)].drop_duplicates("seq")
+            rows = rows[~rows["seq"].isin(list(seen))].drop_duplicates("seq")
             if ended:
                 rows = rows.iloc[:0]
             stops = (rows["type"] == terminal).to_numpy().nonzero()[0]
@@ -204,7 +205,7 @@ def stream_history(
             seen = (list(seen) + [int(s) for s in rows["seq"]])[-per_task:]
             out.append(rows[["task_id", "seq", "type", "timestamp"]])
         state.update((ended, seen))
-        if not ended:
+        if wait and not ended:
             state.setTimeoutDuration(wait)
         yield from out
 
@@ -217,6 +218,6 @@ def stream_history(
             f"task_id {task_type}, seq bigint, type string, timestamp timestamp",
             "ended boolean, seen array<bigint>",
             "append",
-            "ProcessingTimeTimeout",
+            "ProcessingTimeTimeout" if wait else "NoTimeout",
         )
     )

@@ -100,7 +100,7 @@ def events_until_terminal(spark, sf_dir):
 def event_stream(spark, sf_dir):
     """The same on a stream with state per task."""
     out, checkpoint = work_dir(spark, "history"), work_dir(spark, "history-checkpoint")
-    history = E.stream_history(task_events(stream_of(spark, sf_dir, "events")), terminal="agent_failed")
+    history = E.stream_history(task_events(stream_of(spark, sf_dir, "events")), terminal="agent_failed", idle_seconds=None)
     (
         history.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
