@@ -86,7 +86,9 @@ def block_top_k(
                 out["k"] += [k] * len(found)
                 out["table_id"] += list(ids[found])
                 out["score"] += list(scores[found])
-        return pd.DataFrame(out)
+        # Explicit types: a cell without results must have the same columns.
+        kinds = {"query_id": object, "k": "int64", "table_id": object, "score": "float64"}
+        return pd.DataFrame({n: pd.Series(v, dtype=kinds[n]) for n, v in out.items()})
 
     id_type = dict(queries.dtypes)["query_id"], dict(candidates.dtypes)["table_id"]
     cells = (

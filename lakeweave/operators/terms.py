@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeweave import params as P
 from lakeweave.functions.text import PART_PATTERN, WORD_PATTERN
+from lakeweave.session import spread
 
 
 def tokens_sql(text: str, tokenizer: str = "word") -> str:
@@ -25,7 +26,7 @@ def tokens_sql(text: str, tokenizer: str = "word") -> str:
 
 def term_counts(docs: DataFrame, key: str, text: str, tokenizer: str = "word") -> DataFrame:
     """``key, term, tf``. Repeats within a text are combined before the shuffle."""
-    tokens = docs.selectExpr(key, f"explode({tokens_sql(text, tokenizer)}) AS term")
+    tokens = spread(docs.select(key, text), key).selectExpr(key, f"explode({tokens_sql(text, tokenizer)}) AS term")
     return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -53,6 +53,16 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed over all cores where a scan has fewer splits than the session has cores.
+
+    For work that is heavy per row. A table of many files already has enough splits and
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """Metadata rows as one literal, without Python tasks or a job."""
     names = [part.split()[0] for part in schema.split(",")]

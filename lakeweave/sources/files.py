@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeweave import params as P
 from lakeweave.functions import ids
+from lakeweave.session import materialize
 from lakeweave.sources.lake import Cells
 
 _BOM = "﻿"
@@ -178,8 +179,9 @@ def bulk_ingest(
 ) -> tuple[DataFrame, DataFrame, Cells]:
     """Tables, columns and cells of a folder of small files.
 
-    Files that cannot be read stay in the first result with status FAILED. ``known``
-    lists table ids to skip, so a repeated run only takes new files.
+    Files that cannot be read stay in the first result with status FAILED; a file of
+    zero bytes has no split in a Spark scan and is passed over. ``known`` lists table
+    ids to skip, so a repeated run only takes new files.
     """
     files = (
         spark.read.format("binaryFile")
@@ -194,7 +196,10 @@ def bulk_ingest(
 def ingest_files(
     files: DataFrame, tenant: str, now, known: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, Cells]:
-    """The same for a batch of ``path, length, content`` rows."""
+    """The same for a batch of ``path, length, content`` rows.
+
+    The parsed rows are written once, since tables, columns and cells all read them.
+    """
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     named = files.withColumns(
         {
@@ -206,7 +211,7 @@ def ingest_files(
     if known is not None:
         named = named.join(known.select("table_id"), "table_id", "left_anti")
     keys = named.select("path", "table_id")
-    parsed = parse_small_files(named).join(keys, "path")
+    parsed = materialize(parse_small_files(named).join(keys, "path"), "parsed")
     columns = parsed.filter("row_no = -1 AND ordinal >= 0").select(
         "table_id", "ordinal", "col_name", "col_type", F.lit(None).cast("string").alias("col_description")
     )

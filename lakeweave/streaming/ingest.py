@@ -51,7 +51,8 @@ def stream_tables(
             first = first.join(known.select(*key), key, "left_anti")
         fresh = hashed.join(first.select("path"), "path", "left_semi").select("path", "length", "content")
         tables, columns, cells = files.ingest_files(fresh, tenant, F.current_timestamp())
-        profiles = profile.store_profiles(profile.column_profiles(columns, cells))
+        largest = tables.agg(F.max("row_count")).first()[0] or 0
+        profiles = profile.store_profiles(profile.column_profiles(columns, cells, largest))
         profiles.write.mode("overwrite").parquet(f"{store}/profiles/batch={batch_id}")
         repeated = hashed.join(first.select("path"), "path", "left_anti").select(
             F.col("path").alias("source_uri"), *key, F.lit("REJECTED").alias("status")
