@@ -8,6 +8,7 @@ values are combined before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,11 +25,25 @@ _QUARTILES = (0.25, 0.5, 0.75)
 
 @dataclass(frozen=True)
 class ValueCounts:
-    """``table_id, ordinal, value, cnt`` of non-null values; numbers as double, texts as text."""
+    """Different non-null values per column with their counts.
+
+    ``numeric`` has ``table_id, ordinal, value`` (double), ``shown`` (the stored value as
+    text) and ``cnt``; ``text`` has ``table_id, ordinal, value, cnt``.
+    """
 
     numeric: DataFrame | None
     text: DataFrame | None
 
+    def kept(self, keep: Callable[[DataFrame, str], DataFrame], columns: DataFrame) -> ValueCounts:
+        """Written once, for the columns of the catalog only."""
+        wanted = columns.select(*KEY)
+        return ValueCounts(
+            *[
+                keep(df.join(wanted, KEY, "left_semi"), name) if df is not None else None
+                for df, name in ((self.numeric, "numbers"), (self.text, "texts"))
+            ]
+        )
+
 
 def _both(whole: DataFrame | None, real: DataFrame | None) -> DataFrame | None:
     if whole is None or real is None:
@@ -51,7 +66,9 @@ def value_counts(cells: Cells) -> ValueCounts:
 
     # Whole numbers are counted before they become doubles, so ids beyond 2^53 stay apart.
     as_double = [
-        counted(df).withColumn("value", F.col("value").cast("double")) if df is not None else None
+        counted(df).selectExpr(*KEY, "double(value) AS value", "string(value) AS shown", "cnt")
+        if df is not None
+        else None
         for df in (cells.whole, cells.real)
     ]
     return ValueCounts(
@@ -219,36 +236,24 @@ def aligned_frequencies(freqs: DataFrame, vocab: DataFrame) -> DataFrame:
     return freqs.join(vocab.select("value"), "value", "left_semi")
 
 
-def sample_values(cells: Cells, columns: DataFrame, k: int = P.SAMPLE_VALUES) -> DataFrame:
+def sample_values(counts: ValueCounts, columns: DataFrame, k: int = P.SAMPLE_VALUES) -> DataFrame:
     """Up to ``k`` different values per column as text.
 
     Distributed rows have no first five, so the values with the smallest digests
     stand for them; the choice does not depend on partitioning.
     """
-    dates = columns.filter(F.col("col_type") == "date").select(*KEY, F.lit(True).alias("is_date"))
-    parts = []
-    if cells.whole is not None:
-        shown = F.when(
-            F.coalesce(F.col("is_date"), F.lit(False)), F.timestamp_micros("value").cast("string")
-        ).otherwise(F.col("value").cast("string"))
-        parts.append(
-            cells.whole.filter(F.col("value").isNotNull())
-            .distinct()
-            .join(dates, KEY, "left")
-            .select(*KEY, shown.alias("value"))
-        )
-    for df in (cells.real, cells.text):
-        if df is not None:
-            parts.append(
-                df.filter(F.col("value").isNotNull())
-                .distinct()
-                .select(*KEY, F.col("value").cast("string").alias("value"))
-            )
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
+    values = _both(
+        counts.numeric.selectExpr(*KEY, "shown AS value") if counts.numeric is not None else None,
+        counts.text.select(*KEY, "value") if counts.text is not None else None,
+    )
     w = Window.partitionBy(*KEY).orderBy(F.md5("value"), "value")
-    return values.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    picked = values.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # Dates are counted in microseconds.
+    return picked.join(columns.select(*KEY, "col_type"), KEY).selectExpr(
+        *KEY,
+        "CASE WHEN col_type = 'date' THEN string(timestamp_micros(try_cast(value AS bigint))) ELSE value END AS value",
+        "rank",
+    )
 
 
 def sample_rows(df: DataFrame, n: int = P.SAMPLE_ROWS, seed: int = P.SAMPLE_SEED) -> DataFrame:
@@ -261,9 +266,14 @@ def head_rows(df: DataFrame, order: list[str], n: int = P.HEAD_ROWS) -> DataFram
     return df.orderBy(*order).limit(n)
 
 
-def column_profiles(columns: DataFrame, cells: Cells, largest: int | None = None) -> DataFrame:
-    """One row per catalog column with ratios, statistics, top values and samples."""
-    counts, sizes = value_counts(cells), cell_summary(cells)
+def column_profiles(
+    columns: DataFrame, cells: Cells, largest: int | None = None, counts: ValueCounts | None = None
+) -> DataFrame:
+    """One row per catalog column with ratios, statistics, top values and samples.
+
+    ``counts`` are the value counts where they have been written already.
+    """
+    counts, sizes = counts or value_counts(cells), cell_summary(cells)
     quarts = quartiles(counts.numeric, cells, largest)
     ranked = (
         top_values(frequencies(counts, sizes))
@@ -271,7 +281,7 @@ def column_profiles(columns: DataFrame, cells: Cells, largest: int | None = None
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked"))
     )
     samples = (
-        sample_values(cells, columns)
+        sample_values(counts, columns)
         .groupBy(*KEY)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("samples"))
     )

@@ -52,8 +52,10 @@ def build_store(
         profile.table_profiles(catalog, columns).withColumn("status", F.lit("READY")), "tables"
     )
     cells = L.lake_cells(groups)
-    values = profile.value_counts(cells)
-    profiles = keep(profile.column_profiles(columns, cells, L.largest_table(groups)), "profiles")
+    counts = profile.value_counts(cells).kept(keep, columns)
+    profiles = keep(
+        profile.column_profiles(columns, cells, L.largest_table(groups), counts), "profiles"
+    )
     unit = keep(terms.unit_terms(tables, "table_id", "text_blob", tokenizer), "terms")
     if encoder is None:
         dense = vectors.hashed_encoder(tables, "table_id", "encoder_text")
@@ -65,9 +67,7 @@ def build_store(
     return ProfileStore(
         tables=tables,
         profiles=profiles,
-        values=keep(
-            column_values(values).join(columns.select(*profile.KEY), profile.KEY, "left_semi"), "values"
-        ),
+        values=column_values(counts),
         terms=unit,
         vectors=stored,
     )

@@ -271,7 +271,7 @@ def sample_values(spark, sf_dir):
     """Doubles and times print differently in SQL; the check covers texts and integers."""
     groups = C.lake(spark, sf_dir)
     columns = L.lake_columns(groups)
-    samples = profile.sample_values(L.lake_cells(groups), columns)
+    samples = profile.sample_values(profile.value_counts(L.lake_cells(groups)), columns)
     shown = columns.filter("col_type in ('int', 'str') and col_name <> 'embedding'")
     return samples.join(shown.select(*profile.KEY), profile.KEY, "left_semi").select(
         "table_id",
