@@ -52,7 +52,7 @@ def schema_hash(columns: Column, with_ordinal: bool = True) -> Column:
             named.insert(0, c["ordinal"].cast("string"))
         return F.concat_ws(":", *named)
 
-    ordered = F.array_sort(columns)
+    ordered = F.sort_array(columns)
     return short_hash(F.concat_ws("|", F.transform(ordered, part)))
 
 

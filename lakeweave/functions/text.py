@@ -29,7 +29,7 @@ def text_blob(table_name: Column, columns: Column) -> Column:
     """Table name, then every column name and description in column order."""
     words = F.flatten(
         F.transform(
-            F.array_sort(columns),
+            F.sort_array(columns),
             lambda c: F.when(
                 _described(c["col_description"]), F.array(c["col_name"], c["col_description"])
             ).otherwise(F.array(c["col_name"])),
@@ -41,7 +41,7 @@ def text_blob(table_name: Column, columns: Column) -> Column:
 def table_text(table_name: Column, columns: Column) -> Column:
     """Encoder input for a table."""
     shown = F.transform(
-        F.array_sort(columns),
+        F.sort_array(columns),
         lambda c: F.concat(
             c["col_name"],
             F.lit(" ("),

@@ -58,7 +58,8 @@ def block_top_k(
     ``table_id, tenant_id``, each with what ``scorer(queries, candidates)`` needs;
     that function yields one row of scores per query. A score counts if it is above
     ``theta`` (null: any); scores are compared at nine places, ties go to the
-    smaller id, and a query never meets itself.
+    smaller id, and a query never meets itself. Both inputs are read twice, for their
+    sizes and for their rows, so costly ones should be written first.
     """
     q, c = _grid(queries, candidates, q_rows, c_rows)
 

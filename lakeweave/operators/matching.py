@@ -223,26 +223,11 @@ def match_targets(
     return out
 
 
-def shared_value_pairs(freqs: DataFrame) -> DataFrame:
-    """Column pairs that share at least one value, from ``table_id, ordinal, value, freq``.
-
-    Pairs come from the most selective evidence first: a column pair needs to be seen
-    once, so pairs are reduced before they leave the task that found them.
-    """
-    a = freqs.selectExpr("table_id AS source_table_id", "ordinal AS src_idx", "value")
-    b = freqs.selectExpr("table_id AS target_table_id", "ordinal AS tgt_idx", "value")
-    return (
-        a.join(b, "value")
-        .filter("source_table_id <> target_table_id OR src_idx <> tgt_idx")
-        .select("source_table_id", "src_idx", "target_table_id", "tgt_idx")
-        .distinct()
-    )
-
-
 def full_category_similarity(pairs: DataFrame, freqs: DataFrame) -> DataFrame:
-    """Category similarity over all values of the given column pairs.
+    """Category similarity over all values of the given column pairs that share any.
 
-    ``freqs`` has ``table_id, ordinal, value, freq``. The second join is on (target
+    ``pairs`` has ``source_table_id, src_idx, target_table_id, tgt_idx`` and ``freqs`` has
+    ``table_id, ordinal, value, freq``. The second join is on (target
     column, value), which is unique, so a value common to many columns does no harm.
     """
     w_set, w_freq = P.CATEGORY_WEIGHTS

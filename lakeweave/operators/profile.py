@@ -278,12 +278,12 @@ def column_profiles(
     ranked = (
         top_values(frequencies(counts, sizes))
         .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked"))
     )
     samples = (
         sample_values(counts, columns)
         .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("samples"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("samples"))
     )
     joined = columns
     for stats in (sizes, distinct_counts(counts).drop("n_values"), quarts, ranked, samples):
@@ -316,7 +316,7 @@ def distinct_ratio(distinct: Column, rows: Column) -> Column:
 def table_profiles(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Text blob, encoder text and type list of every table."""
     described = columns.groupBy("table_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("ordinal", "col_name", "col_type", "col_description"))
         ).alias("cols")
     )

@@ -53,7 +53,7 @@ def detail(tasks: DataFrame, steps: DataFrame, ranking: DataFrame, mappings: Dat
 
     def nested(df: DataFrame, order: str, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("task_id", order)]
-        return df.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+        return df.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name))
 
     scores = F.from_json("layer_scores", "struct<s1:double,s2:double,s3:double>")
     return (

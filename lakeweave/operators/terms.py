@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave import params as P
 from lakeweave.functions.text import PART_PATTERN, WORD_PATTERN
-from lakeweave.session import spread
+from lakeweave.session import materialize, spread
 
 
 def tokens_sql(text: str, tokenizer: str = "word") -> str:
@@ -49,11 +51,15 @@ def transform(counts: DataFrame, model: DataFrame, key: str) -> DataFrame:
     weighted = counts.join(model.select("term", "idf"), "term").selectExpr(
         key, "term", "(1 + ln(tf)) * idf AS w"
     )
+    # The length comes from the aggregation: as an expression it would be folded into
+    # the lambda and computed again for every term.
     return (
         weighted.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("p"))
-        .selectExpr(key, "p.term AS terms", "p.w AS w", "sqrt(aggregate(p.w, 0D, (s, x) -> s + x * x)) AS norm")
-        .selectExpr(key, "terms", "transform(w, x -> x / norm) AS weights")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("term", "w"))).alias("p"),
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        )
+        .selectExpr(key, "p.term AS terms", "transform(p.w, x -> x / norm) AS weights")
     )
 
 
@@ -62,7 +68,13 @@ def postings(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.selectExpr(key, "inline(arrays_zip(terms, weights))").toDF(key, "term", "weight")
 
 
-def unit_terms(docs: DataFrame, key: str, text: str, tokenizer: str = "word") -> DataFrame:
-    """Fit and transform the same texts."""
-    counts = term_counts(docs, key, text, tokenizer)
+def unit_terms(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    tokenizer: str = "word",
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
+    """Fit and transform the same texts, which are tokenized once: both steps read the counts."""
+    counts = keep(term_counts(docs, key, text, tokenizer), "term-counts")
     return transform(counts, fit(docs, counts), key)

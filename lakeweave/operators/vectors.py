@@ -22,8 +22,10 @@ def hashed_encoder(docs: DataFrame, key: str, text: str, dim: int = P.EMBEDDING_
     summed = rows.selectExpr(key, f"{bucket} AS i", "weight").groupBy(key, "i").agg(F.sum("weight").alias("w"))
     return (
         summed.groupBy(key)
-        .agg(F.expr("map_from_entries(collect_list(struct(i, w)))").alias("m"))
-        .selectExpr(key, "m", "sqrt(aggregate(map_values(m), 0D, (s, x) -> s + x * x)) AS norm")
+        .agg(
+            F.expr("map_from_entries(collect_list(struct(i, w)))").alias("m"),
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        )
         .selectExpr(
             key,
             f"transform(sequence(0, {dim - 1}), i -> coalesce(try_element_at(m, i), 0D) / norm) AS vector",

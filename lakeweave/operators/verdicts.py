@@ -44,14 +44,14 @@ def table_prompts(batches: DataFrame, queries: DataFrame, tables: DataFrame, col
     return batches.sparkSession.sql(
         f"""
         WITH shape AS (
-          SELECT table_id, array_sort(collect_list(struct(ordinal, col_name, col_type))) AS cols
+          SELECT table_id, sort_array(collect_list(struct(ordinal, col_name, col_type))) AS cols
           FROM {{columns}} GROUP BY table_id),
         described AS (
           SELECT t.table_id, t.table_name, coalesce({shown(P.QUERY_COLUMNS_SHOWN)}, '') AS as_query,
                  coalesce({shown(P.CANDIDATE_COLUMNS_SHOWN)}, '') AS as_candidate
           FROM {{tables}} t LEFT JOIN shape USING (table_id)),
         lists AS (
-          SELECT query_id, batch_no, concat_ws('\\n', transform(array_sort(collect_list(struct(
+          SELECT query_id, batch_no, concat_ws('\\n', transform(sort_array(collect_list(struct(
                    candidate_idx, concat('(', candidate_idx, ') name: ', table_name, ', columns: [', as_candidate, ']') AS line))),
                    x -> x.line)) AS candidates
           FROM {{batches}} JOIN described USING (table_id) GROUP BY query_id, batch_no)

@@ -63,7 +63,7 @@ def schema_catalog(spark: SparkSession, path: str) -> DataFrame:
         .groupBy(F.col("TableName").alias("table_name"))
         .agg(
             F.min_by("TableDesc", "place").alias("table_desc"),
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("place", "ColumnName", "ColumnType", "ColumnDesc", "IsPK", "IsFK"))
             ).alias("c"),
         )
@@ -253,7 +253,7 @@ def write_manifests(tables: DataFrame, columns: DataFrame, path: str) -> None:
     """One JSON document per table with its columns nested in order."""
     fields = [c for c in columns.columns if c not in ("table_id", "ordinal")]
     nested = columns.groupBy("table_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", *fields))).alias("columns")
+        F.sort_array(F.collect_list(F.struct("ordinal", *fields))).alias("columns")
     )
     tables.join(nested, "table_id", "left").write.mode("overwrite").json(path)
 

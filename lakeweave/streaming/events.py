@@ -67,31 +67,21 @@ def heartbeats(events: DataFrame, seconds: int = P.HEARTBEAT_SECONDS, until=None
     """``task_id, timestamp, type``: one heartbeat per ``seconds`` without an event.
 
     ``until`` also fills the time after the last event of a task that has not ended.
-    Gaps are measured between neighbours in (task, hour) cells, and across cells from
-    one row per cell, so a task with very many events is not sorted in one place.
+    Events fall into cells of ``seconds``; no gap within a cell is long enough, so the
+    first and last event of each cell decide. They combine before the shuffle, and what
+    is ordered per task is bounded by time and not by the number of events.
     """
-    hour = F.date_trunc("hour", "timestamp")
-    cells = events.withColumn("cell", hour)
-    inner = Window.partitionBy("task_id", "cell").orderBy(*_ORDER)
-    inside = cells.select("task_id", "timestamp", F.lead("timestamp").over(inner).alias("next"), "cell")
-    # Last of a cell to the first of the task's next cell.
-    edges = cells.groupBy("task_id", "cell").agg(
+    cells = events.groupBy(
+        "task_id", F.expr(f"unix_micros(timestamp) div {seconds * 1_000_000}L").alias("cell")
+    ).agg(
         F.min("timestamp").alias("first"),
-        F.max("timestamp").alias("last"),
+        F.max("timestamp").alias("timestamp"),
         F.max_by("type", F.struct(*_ORDER)).alias("last_type"),
     )
-    across = edges.select(
-        "task_id",
-        F.col("last").alias("timestamp"),
-        F.lead("first").over(Window.partitionBy("task_id").orderBy("cell")).alias("next"),
-        "last_type",
-    )
+    gaps = cells.withColumn("next", F.lead("first").over(Window.partitionBy("task_id").orderBy("cell")))
     if until is not None:
         open_end = F.when(F.col("last_type") != P.TERMINAL_EVENT, until)
-        across = across.withColumn("next", F.coalesce("next", open_end))
-    gaps = inside.filter("next IS NOT NULL").select("task_id", "timestamp", "next").unionByName(
-        across.filter("next IS NOT NULL").select("task_id", "timestamp", "next")
-    )
+        gaps = gaps.withColumn("next", F.coalesce("next", open_end))
     beat = f"interval {seconds} seconds"
     return gaps.filter(f"next > timestamp + {beat}").selectExpr(
         "task_id",

@@ -213,20 +213,23 @@ def column_pairs_top(spark, sf_dir):
     size AS (SELECT table_id, ordinal, count(*) AS n, sqrt(sum(freq * freq)) AS norm FROM f GROUP BY ALL),
     k AS (SELECT a.table_id AS source_table_id, a.ordinal AS src_idx, b.table_id AS target_table_id, b.ordinal AS tgt_idx,
                  count(*) AS shared, sum(a.freq * b.freq) AS dot
-          FROM f a JOIN f b USING (value) WHERE (a.table_id, a.ordinal) <> (b.table_id, b.ordinal) GROUP BY ALL)
+          FROM f a JOIN f b USING (value) WHERE a.table_id <> b.table_id GROUP BY ALL)
     SELECT source_table_id, CAST(src_idx AS BIGINT) AS src_idx, target_table_id, CAST(tgt_idx AS BIGINT) AS tgt_idx,
            round({P.CATEGORY_WEIGHTS[0]} * shared / (x.n + y.n - shared) + {P.CATEGORY_WEIGHTS[1]} * dot / (x.norm * y.norm), 6) AS sim_cat
     FROM k JOIN size x ON x.table_id = source_table_id AND x.ordinal = src_idx
     JOIN size y ON y.table_id = target_table_id AND y.ordinal = tgt_idx""",
 )
 def category_similarity_full(spark, sf_dir):
-    """Over all values and not only the most frequent, for columns that share any."""
+    """Over all values and not only the most frequent, for categorical columns of all table pairs."""
     store = C.base_store(spark, sf_dir)
     cats = store.profiles.filter("col_type IN ('str', 'bool')").select("table_id", "ordinal", "n_rows")
     freqs = store.values.join(cats, profile.KEY).selectExpr(
         "table_id", "ordinal", "value", "cnt / n_rows AS freq"
     )
-    pairs = matching.shared_value_pairs(freqs)
+    own = matching.column_features(store.profiles.filter("col_type IN ('str', 'bool')"))
+    pairs = matching.expand_pairs(_same_tenant_pairs(store), own, *matching.PAIR).selectExpr(
+        *matching.PAIR, "s.ordinal AS src_idx", "t.ordinal AS tgt_idx"
+    )
     return matching.full_category_similarity(pairs, freqs).selectExpr(
         "source_table_id", "bigint(src_idx) AS src_idx", "target_table_id", "bigint(tgt_idx) AS tgt_idx",
         "round(sim_cat, 6) AS sim_cat",

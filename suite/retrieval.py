@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeweave import params as P
 from lakeweave.operators import blocks, cascade, rules, terms, vectors
+from lakeweave.session import materialize
 from suite import common as C
 from suite.common import query
 
@@ -59,7 +60,9 @@ def document_vocabulary(spark, sf_dir):
 def document_neighbours(spark, sf_dir):
     """The ten most similar texts of every text by term cosine, over the whole collection."""
     docs = C.table(spark, sf_dir, "documents")
-    unit = terms.unit_terms(docs, "doc_id", "text").withColumn("tenant_id", F.lit("default"))
+    unit = materialize(
+        terms.unit_terms(docs, "doc_id", "text").withColumn("tenant_id", F.lit("default")), "unit"
+    )
     q = unit.selectExpr("doc_id AS query_id", "tenant_id", "10 AS k", f"{P.JOIN_PLAN.theta_1}D AS theta", "terms", "weights")
     c = unit.withColumnRenamed("doc_id", "table_id")
     return blocks.block_top_k(q, c, blocks.sparse_scorer(1.0, 0.0, []), q_rows=1024)
