@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import secrets
+from lakeweave.llm import pii, secrets
 from lakeweave.llm import spans as S
 from lakeweave.llm import sql
 
@@ -43,3 +43,15 @@ def secret_scan(spark, sf_dir):
         F.sha2(S.digest_text(F.col("base")), 256).alias("base_sha256"),
         S.digest_text(F.col("spans")).alias("spans"),
     )
+
+
+@add("op3_personal_data")
+def personal_data(spark, sf_dir):
+    """Personal data of every document: base spans and those that the boosted trees add."""
+    found = pii.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(S.digest_text(F.col("base")), 256).alias("base_sha256"),
+        S.digest_text(F.col("spans")).alias("spans"),
+    )

@@ -243,17 +243,5 @@ def redact(documents: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFra
     Overlapping spans become one mark. Rows without spans stay as they are, null texts too.
     """
     found = scan(documents, rules).select("text", "row", "spans")
-    clean = S.replaced("text", "spans", mark)
-    out = found.select("row", F.size("spans").alias("hits"), clean.alias("text"))
-    changed = F.col("hits") > 0
-    columns = []
-    for c in documents.columns:
-        if c == "text":
-            columns.append(F.when(changed | F.col("row")["was_text"], F.col("text")).alias(c))
-        elif c == "n_chars":
-            columns.append(
-                F.when(changed, F.length("text")).otherwise(F.col("row")["rest"][c]).cast(documents.schema[c].dataType).alias(c)
-            )
-        else:
-            columns.append(F.col("row")["rest"][c].alias(c))
-    return out.select(*columns)
+    out = found.select("row", F.size("spans").alias("hits"), S.replaced("text", "spans", mark).alias("text"))
+    return S.rebuilt(out, documents)

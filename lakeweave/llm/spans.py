@@ -6,7 +6,7 @@ adding up their lengths gives each match's place in code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 32
@@ -74,3 +74,18 @@ def replaced(text: str, spans: str, mark: str) -> Column:
             ELSE struct(greatest(acc.pos, x.e) AS pos, acc.out AS out) END,
         acc -> concat(acc.out, substring({text}, acc.pos + 1, length({text})))) END"""
     )
+
+
+def rebuilt(out: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of ``documents`` from ``row, hits, text``; ``n_chars`` follows a text with hits."""
+    changed, columns = F.col("hits") > 0, []
+    for c in documents.columns:
+        old = F.col("row")["rest"][c] if c != "text" else None
+        if c == "text":
+            columns.append(F.when(changed | F.col("row")["was_text"], F.col("text")).alias(c))
+        elif c == "n_chars":
+            new = F.length("text").cast(documents.schema[c].dataType)
+            columns.append(F.when(changed, new).otherwise(old).alias(c))
+        else:
+            columns.append(old.alias(c))
+    return out.select(*columns)
