@@ -50,28 +50,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def shingles(words_column: str, width: int = SHINGLE) -> Column:
-    """Hashes of all runs of ``width`` words; a shorter text is one run.
+def _runs(words_column: str, width: int, whole: str, run: str, kind: str) -> Column:
+    """An array over all runs of words. Words are taken by index, as a slice would copy the whole array.
 
-    ``words_column`` is named twice here, so that the optimizer doesn't move the
-    splitting into the lambda.
+    ``words_column`` is named several times, so that the optimizer doesn't move the splitting into
+    the lambda.
     """
+    parts = ", ".join(f"{words_column}[i + {k}]" for k in range(width))
     return F.expr(
-        f"CASE WHEN size({words_column}) = 0 THEN cast(array() AS array<bigint>) "
-        f"WHEN size({words_column}) < {width} THEN array(xxhash64({words_column})) "
-        f"ELSE transform(sequence(1, size({words_column}) - {width - 1}), "
-        f"i -> xxhash64(slice({words_column}, i, {width}))) END"
+        f"CASE WHEN size({words_column}) = 0 THEN cast(array() AS array<{kind}>) "
+        f"WHEN size({words_column}) < {width} THEN array({whole}) "
+        f"ELSE transform(sequence(0, size({words_column}) - {width}), i -> {run.format(parts)}) END"
     )
 
 
+def shingles(words_column: str, width: int = SHINGLE) -> Column:
+    """Hashes of all runs of ``width`` words; a shorter text is one run."""
+    return _runs(words_column, width, f"xxhash64({words_column})", "xxhash64({})", "bigint")
+
+
 def shingle_texts(words_column: str, width: int = SHINGLE) -> Column:
     """The runs themselves, their words joined by a blank, which no word holds."""
-    return F.expr(
-        f"CASE WHEN size({words_column}) = 0 THEN cast(array() AS array<string>) "
-        f"WHEN size({words_column}) < {width} THEN array(array_join({words_column}, ' ')) "
-        f"ELSE transform(sequence(1, size({words_column}) - {width - 1}), "
-        f"i -> array_join(slice({words_column}, i, {width}), ' ')) END"
-    )
+    return _runs(words_column, width, f"array_join({words_column}, ' ')", "concat_ws(' ', {})", "string")
 
 
 def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

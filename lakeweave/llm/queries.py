@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import pii, secrets
+from lakeweave.llm import decontaminate, pii, quality, secrets
 from lakeweave.llm import spans as S
 from lakeweave.llm import sql
 
@@ -33,6 +33,13 @@ def count_of(spans: str, kind: str):
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
+@add("op1_benchmark_containment", sql.CONTAINED)
+def benchmark_containment(spark, sf_dir):
+    """Benchmark items of which a document holds 80 percent of the five-word shingles or more."""
+    found = decontaminate.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "n_item")
+
+
 @add("op2_secret_scan", sql.SECRETS)
 def secret_scan(spark, sf_dir):
     """Secrets of every document through the trigram index."""
@@ -55,3 +62,16 @@ def personal_data(spark, sf_dir):
         F.sha2(S.digest_text(F.col("base")), 256).alias("base_sha256"),
         S.digest_text(F.col("spans")).alias("spans"),
     )
+
+
+@add("op5_token_fertility")
+def token_fertility(spark, sf_dir):
+    """Quality rules for every document, with the fertility of its tokens."""
+    judged = quality.judge(read(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed",
+        "kept",
+        *[f"m.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")],
+    )

@@ -46,3 +46,24 @@ FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
 
 
 SECRETS = _secrets()
+
+
+SHINGLES = (
+        "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] "
+        "ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END"
+)  # five-word shingles of the list w; a shorter text is one
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+CONTAINED = f"""
+WITH items AS (
+  SELECT item_id, unnest(list_distinct({SHINGLES})) AS sh
+  FROM (SELECT item_id, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark)),
+held AS (
+  SELECT doc_id, unnest(list_distinct({SHINGLES})) AS sh
+  FROM (SELECT doc_id, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents)),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item
+FROM held JOIN items USING (sh) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)"""
