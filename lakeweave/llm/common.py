@@ -74,6 +74,15 @@ def shingle_texts(words_column: str, width: int = SHINGLE) -> Column:
     return _runs(words_column, width, f"array_join({words_column}, ' ')", "concat_ws(' ', {})", "string")
 
 
+def exploded(df: DataFrame, keep: list[str], array: str, name: str) -> DataFrame:
+    """``keep`` and one row per element of an array without nulls.
+
+    The outer form keeps the optimizer from computing the array a second time to filter empty ones;
+    ``keep`` must hold columns only, as a function of the array beside it would carry the array along.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` written to the shared folder, with a broadcast hint if its counted rows are few.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm import spans as S
-from lakeweave.llm.common import identified, shingle_texts, shingles, text_of, within, words
+from lakeweave.llm.common import exploded, identified, shingle_texts, shingles, text_of, within, words
 from lakeweave.session import materialize
 
 PERCENT = 80
@@ -46,8 +46,8 @@ def item_shingles(items: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.array_sort(F.transform("sh", lambda s: F.struct(F.xxhash64(F.split(s, " ")).alias("h"), s.alias("sh")))).alias("x"),
     ).select("*", F.size("x").cast("long").alias("n_item"))
     return hashed.select(
-        "item_id", "ik", "n_item", F.expr(f"(n_item * {percent} + 99) DIV 100").alias("need"), F.posexplode("x").alias("place", "x")
-    ).select("item_id", "ik", "n_item", "need", "place", "x.h", "x.sh")
+        "item_id", "ik", "n_item", F.expr(f"(n_item * {percent} + 99) DIV 100").alias("need"), "x"
+    ).select("item_id", "ik", "n_item", "need", F.posexplode("x").alias("place", "x")).select("item_id", "ik", "n_item", "need", "place", "x.h", "x.sh")
 
 
 def sketches(shingled: DataFrame) -> DataFrame:
@@ -63,16 +63,16 @@ def search(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> Da
     shingled = materialize(item_shingles(items, percent), "items")
     index = within(sketches(shingled))
     sets = _words(texts, "rk").select("rk", F.array_distinct(shingles("w")).alias("hs"))
-    probes = sets.select("rk", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    # The size is taken first: beside explode() it would carry the whole array along with every element.
+    probes = exploded(sets.select("rk", "hs", F.size("hs").alias("n")), ["rk", "n"], "hs", "h")
     found = probes.join(index, "h").where("n >= need").groupBy("rk", "ik").agg(F.first("need").alias("need"))
     pairs = within(found)
     # Verification: the shingles themselves, of the texts in question and the items they are in question for.
     likely = texts.join(pairs.select("rk"), "rk", "left_semi")
-    held = (
-        _words(likely.dropDuplicates(["rk"]), "doc_id", "rk")
-        .select("doc_id", "rk", F.array_distinct(shingle_texts("w")).alias("sh"))
-        .select("doc_id", "rk", F.explode("sh").alias("sh"))
+    lists = _words(likely.dropDuplicates(["rk"]), "doc_id", "rk").select(
+        "doc_id", "rk", F.array_distinct(shingle_texts("w")).alias("list")
     )
+    held = exploded(lists, ["doc_id", "rk"], "list", "sh")
     shared = (
         held.join(within(shingled.select("item_id", "ik", "n_item", "need", "sh")), "sh")
         .join(pairs.select("rk", "ik"), ["rk", "ik"])
