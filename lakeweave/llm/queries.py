@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import decontaminate, pii, quality, secrets
+from lakeweave.llm import decontaminate, packing, pii, quality, secrets
 from lakeweave.llm import spans as S
 from lakeweave.llm import sql
 
@@ -75,3 +75,12 @@ def token_fertility(spark, sf_dir):
         "kept",
         *[f"m.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")],
     )
+
+
+@add("op10_sequence_packing")
+def sequence_packing(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
