@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import decontaminate, packing, pii, quality, secrets
+from lakeweave.llm import decontaminate, jaccard, packing, pii, quality, secrets
 from lakeweave.llm import spans as S
 from lakeweave.llm import sql
 
@@ -84,3 +84,9 @@ def sequence_packing(spark, sf_dir):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@add("op7_jaccard_join", sql.COMPONENTS)
+def jaccard_join(spark, sf_dir):
+    """The near-duplicate component of every document."""
+    return jaccard.linked(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

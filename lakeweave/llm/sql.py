@@ -67,3 +67,18 @@ sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item
 FROM held JOIN items USING (sh) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)"""
+
+COMPONENTS = f"""
+WITH RECURSIVE held AS (
+  SELECT doc_id, list_distinct({SHINGLES}) AS shs
+  FROM (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+        FROM documents)),
+sizes AS (SELECT doc_id, len(shs) AS n FROM held),
+each AS (SELECT doc_id, unnest(shs) AS sh FROM held),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(m.n) + any_value(n.n) - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id
+FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n"""
