@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import decontaminate, jaccard, packing, pii, quality, secrets
+from lakeweave.llm import classifier, decontaminate, jaccard, packing, pii, quality, secrets, sharding, urls, warc
 from lakeweave.llm import spans as S
 from lakeweave.llm import sql
+from lakeweave.session import literal_rows, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,30 @@ def sequence_packing(spark, sf_dir):
 def jaccard_join(spark, sf_dir):
     """The near-duplicate component of every document."""
     return jaccard.linked(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@add("op6_warc_archive", sql.ARCHIVE)
+def warc_archive(spark, sf_dir):
+    """All pages written to a content-addressed archive and read back."""
+    folder = work_dir(spark, "archive")
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@add("op8_url_filter", sql.URLS)
+def url_filter(spark, sf_dir):
+    """The rule and verdict of every page's address."""
+    rules = literal_rows(spark, "host string, path string, verdict string", sql.URL_RULES)
+    return urls.judge(read(spark, sf_dir, "pages"), rules)
+
+
+@add("op9_extendible_shards", sql.SHARDS)
+def extendible_shards(spark, sf_dir):
+    """The shard of every document."""
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+@add("op4_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    """A calibrated quality score for every document."""
+    return classifier.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

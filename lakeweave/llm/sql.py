@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeweave.llm import secrets
+from lakeweave.llm import secrets, sharding
 
 
 def _quoted(s: str) -> str:
@@ -82,3 +82,48 @@ links AS (
 reach(x, y) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id
 FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n"""
+
+ARCHIVE = """
+WITH r AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS digest FROM r),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM t"""
+
+# The rules of the contract.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+URLS = f"""
+WITH rules(rh, rp, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+hits AS (
+  SELECT page_id, host, path, rh || rp AS rule, v,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC) AS place
+  FROM u LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict
+FROM hits WHERE place = 1"""
+
+SHARDS = f"""
+WITH d AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents),
+probes AS (SELECT doc_id, bytes, CAST(depth AS INTEGER) AS depth, substr(lpad(bin(h), 60, '0'), 1, depth) AS prefix
+       FROM d, range(0, 41) x(depth)),
+sizes AS (SELECT depth, prefix, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM probes GROUP BY ALL)
+SELECT doc_id, bytes, depth, prefix, shard_bytes, shard_docs
+FROM probes JOIN sizes USING (depth, prefix)
+WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_docs = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
