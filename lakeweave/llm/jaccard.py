@@ -258,7 +258,10 @@ def _is(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def linked(documents: DataFrame) -> DataFrame:
-    """``rk, doc_id, n_shingles, component_id`` per row of ``documents``."""
+    """``rk, doc_id, n_shingles, component, component_id`` per row of ``documents``.
+
+    ``component`` is a key that is there without ids too, and null where there are no shingles.
+    """
     texts = identified(documents)
     rows = materialize(classes_of(texts), "classes")
     classes = materialize(
@@ -289,7 +292,7 @@ def linked(documents: DataFrame) -> DataFrame:
     )
     smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "component", "left").select(
-        "rk", "doc_id", F.col("n").alias("n_shingles"),
+        "rk", "doc_id", F.col("n").alias("n_shingles"), "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
@@ -297,15 +300,22 @@ def linked(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id (and of repeated rows one); others as they are.
 
-    Documents without words are no duplicates of anything and stay.
+    Documents without words are no duplicates of anything and stay. Texts are moved only where a kept row is
+    repeated.
     """
-    found = materialize(linked(documents).select("rk", "doc_id", "n_shingles", "component_id"), "linked")
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(
+    found = linked(documents).where("component IS NOT NULL")
+    copies = materialize(
+        found.groupBy("component", "rk", "doc_id").agg(F.count("*").alias("rows")), "copies"
+    )
+    best = copies.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("best")
     )
-    kept = best.select(F.col("best.rk").alias("rk"))
+    marked = materialize(
+        copies.join(best, "component").select("rk", "rows", (F.col("rk") == F.col("best.rk")).alias("kept")), "marked"
+    )
+    apart = within(marked.where("NOT kept OR rows > 1").select("rk"))
+    repeated = within(marked.where("kept AND rows > 1").select("rk"))
     rows = identified(documents, rest=True).select("rk", "text", "row", F.lit(0).alias("hits"))
-    worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    chosen = worded.join(within(kept), "rk", "left_semi").dropDuplicates(["rk"])
-    blank = rows.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return spans.rebuilt(chosen.unionByName(blank), documents)
+    single = rows.join(apart, "rk", "left_anti")
+    once = rows.join(repeated, "rk", "left_semi").dropDuplicates(["rk"])
+    return spans.rebuilt(single.unionByName(once), documents)
