@@ -31,86 +31,107 @@ def request_batches(c2: DataFrame, size: int = P.VERDICT_BATCH) -> DataFrame:
     )
 
 
+# What a request asks for: the relation that a subtask looks for, and the form of the answer.
+_RELATIONS = {
+    "JOIN": "some column of the candidate shares most of its values with a column of the query table",
+    "UNION": "rows of the candidate could be appended to the query table",
+}
+_TABLE_REPLY = f"""named_struct('scores', array(named_struct(
+    'candidate_idx', 'integer', 'score', 'number, 0 to 1', 'reason', 'string, {_MAX_REASON} characters at most')))"""
+_PAIR_REPLY = f"""named_struct(
+    'reasoning', 'string, {_MAX_REASONING} characters at most', 'score', 'number, 0 to 1', 'is_equivalent', 'boolean')"""
+# The fields of a column that a scenario has data for.
+_EVIDENCE = {
+    "SMD": ("name", "type", "description"),
+    "SSD": ("name", "type", "description", "samples"),
+    "SLD": ("name", "type", "description", "samples", "statistics"),
+}
+
+
 def table_prompts(batches: DataFrame, queries: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """``query_id, batch_no, system, user``: one request per batch.
+    """``query_id, batch_no, request``: one JSON document per batch.
 
     ``queries`` has ``query_id, subtask``; ``tables`` has ``table_id, table_name``;
     ``columns`` the catalog columns. Wide tables show only their first columns.
     """
-
-    def shown(limit: int) -> str:
-        return f"concat_ws(', ', transform(slice(cols, 1, {limit}), c -> concat(c.col_name, ':', c.col_type)))"
-
-    return batches.sparkSession.sql(
-        f"""
-        WITH shape AS (
-          SELECT table_id, sort_array(collect_list(struct(ordinal, col_name, col_type))) AS cols
-          FROM {{columns}} GROUP BY table_id),
-        described AS (
-          SELECT t.table_id, t.table_name, coalesce({shown(P.QUERY_COLUMNS_SHOWN)}, '') AS as_query,
-                 coalesce({shown(P.CANDIDATE_COLUMNS_SHOWN)}, '') AS as_candidate
-          FROM {{tables}} t LEFT JOIN shape USING (table_id)),
-        lists AS (
-          SELECT query_id, batch_no, concat_ws('\\n', transform(sort_array(collect_list(struct(
-                   candidate_idx, concat('(', candidate_idx, ') name: ', table_name, ', columns: [', as_candidate, ']') AS line))),
-                   x -> x.line)) AS candidates
-          FROM {{batches}} JOIN described USING (table_id) GROUP BY query_id, batch_no)
-        SELECT l.query_id, l.batch_no,
-               concat('You judge whether tables fit together. Task: ', q.subtask, '. ',
-                      CASE q.subtask WHEN 'JOIN' THEN 'A candidate fits if one of its columns holds largely the same values as a query column.'
-                                     ELSE 'A candidate fits if it lists the same kind of entity under a compatible schema.' END) AS system,
-               concat('[Query Table]\\nname: ', d.table_name, '\\ncolumns: [', d.as_query, ']\\n\\n[Candidates]\\n', l.candidates,
-                      '\\n\\nAnswer in JSON with a score from 0 to 1 for every candidate.') AS user
-        FROM lists l JOIN {{queries}} q USING (query_id) JOIN described d ON d.table_id = l.query_id
-        """,
-        batches=batches,
-        queries=queries.select("query_id", "subtask"),
-        tables=tables.select("table_id", "table_name"),
-        columns=columns.select("table_id", "ordinal", "col_name", "col_type"),
+    typed = F.struct("ordinal", F.struct(F.col("col_name").alias("name"), F.col("col_type").alias("type")).alias("c"))
+    shape = columns.groupBy("table_id").agg(F.array_sort(F.collect_list(typed))["c"].alias("cols"))
+    nothing = "cast(array() AS array<struct<name: string, type: string>>)"
+    shown = (
+        tables.select("table_id", "table_name")
+        .join(shape, "table_id", "left")
+        .select("table_id", "table_name", F.expr(f"coalesce(cols, {nothing})").alias("cols"))
+    )
+    candidate = F.struct(
+        "candidate_idx",
+        F.col("table_name").alias("name"),
+        F.slice("cols", 1, P.CANDIDATE_COLUMNS_SHOWN).alias("columns"),
+    )
+    lists = (
+        batches.select("query_id", "batch_no", "candidate_idx", "table_id")
+        .join(shown, "table_id")
+        .groupBy("query_id", "batch_no")
+        .agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
+    )
+    query = F.struct(F.col("table_name").alias("name"), F.slice("cols", 1, P.QUERY_COLUMNS_SHOWN).alias("columns"))
+    relation = F.create_map(*[F.lit(x) for pair in _RELATIONS.items() for x in pair])[F.col("subtask")]
+    return (
+        lists.join(queries.select("query_id", "subtask"), "query_id")
+        .join(shown.withColumnRenamed("table_id", "query_id"), "query_id")
+        .select(
+            "query_id",
+            "batch_no",
+            F.to_json(
+                F.struct(
+                    F.col("subtask").alias("task"), relation.alias("relation"), query.alias("query"), "candidates",
+                    F.expr(_TABLE_REPLY).alias("reply"),
+                )
+            ).alias("request"),
+        )
     )
-
-
-# What the judge may rely on in each scenario.
-_GUIDES = {
-    "SMD": "Only names, types and descriptions are known.",
-    "SSD": "Names, types, descriptions and a few values are known; meaning counts more than spelling.",
-    "SLD": "Metadata, values and statistics are known; similar distributions speak for a match.",
-}
 
 
 def pair_prompts(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Matching pairs with the request text; samples from SSD on, statistics only in SLD."""
+    """Matching pairs with ``prompt``, a JSON document; a field without data in the scenario is left out."""
 
-    def block(label: str, p: str) -> str:
-        return f"""concat('{label} column:\\n- id: ', {p}.column_id, '\\n- name: ', {p}.col_name,
-                   '\\n- dtype: ', {p}.col_type, '\\n- description: ', coalesce({p}.col_description, ''))"""
+    def has(field: str):
+        return F.col("scenario").isin([k for k, fields in _EVIDENCE.items() if field in fields])
 
-    def both(label: str, field: str) -> str:
-        return f"""concat('- source {label}: ', coalesce(to_json(s.{field}), '{{}}'),
-                   '\\n- target {label}: ', coalesce(to_json(t.{field}), '{{}}'))"""
-
-    guide = "CASE scenario " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _GUIDES.items()) + " END"
-    own = profiles.selectExpr(
+    own = profiles.select(
         "column_id",
-        "struct(column_id, col_name, col_type, col_description, sample_values, numeric_stats) AS p",
+        F.struct(
+            F.col("column_id").alias("id"), F.col("col_name").alias("name"), F.col("col_type").alias("type"),
+            F.col("col_description").alias("description"), F.col("sample_values").alias("samples"),
+            F.col("numeric_stats").alias("statistics"),
+        ).alias("c"),
+    )
+
+    def column(side: str):
+        c = F.col(side)
+        fields = [c[f].alias(f) for f in ("id", "name", "type", "description")]
+        fields += [F.when(has(f), c[f]).alias(f) for f in ("samples", "statistics")]
+        return F.struct(*fields).alias(side)
+
+    scores = F.struct(
+        F.round("sim_name", 4).alias("name_similarity"),
+        F.round("sim_type", 4).alias("type_similarity"),
+        F.when(has("statistics"), F.round("sim_stat", 4)).alias("statistics_similarity"),
+        F.when(has("statistics"), F.round("m_score", 4)).alias("mixed_score"),
     )
+    evidence = F.create_map(*[x for k, v in _EVIDENCE.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
     return (
-        pairs.join(own.withColumnsRenamed({"column_id": "source_col_id", "p": "s"}), "source_col_id")
-        .join(own.withColumnsRenamed({"column_id": "target_col_id", "p": "t"}), "target_col_id")
-        .selectExpr(
+        pairs.join(own.withColumnsRenamed({"column_id": "source_col_id", "c": "source"}), "source_col_id")
+        .join(own.withColumnsRenamed({"column_id": "target_col_id", "c": "target"}), "target_col_id")
+        .select(
             *pairs.columns,
-            f"""concat_ws('\\n',
-                concat('Judge one column pair in scenario ', scenario, '.'),
-                {block('Source', 's')}, {block('Target', 't')},
-                format_string('Signals:\\n- Sim_name: %.4f\\n- Sim_type: %.4f', sim_name, sim_type),
-                CASE WHEN scenario IN ('SSD', 'SLD') THEN {both('sample_values', 'sample_values')} END,
-                CASE WHEN scenario = 'SLD' THEN {both('numeric_stats', 'numeric_stats')} END,
-                CASE WHEN scenario = 'SLD' THEN
-                  format_string('- Sim_stat: %.4f\\n- M_mixed: %.4f', sim_stat, m_score) END,
-                {guide},
-                'Answer in JSON with reasoning, score and is_equivalent.') AS prompt""",
+            F.to_json(
+                F.struct(
+                    "scenario", evidence[F.col("scenario")].alias("evidence"), column("source"), column("target"),
+                    scores.alias("scores"), F.expr(_PAIR_REPLY).alias("reply"),
+                )
+            ).alias("prompt"),
         )
-    )
+    )
 
 
 def parse_table_verdicts(responses: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -400,15 +400,18 @@ def request_batches(spark, sf_dir):
     f"""WITH {M.SQL_BENCH_BASE},
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, table_id) - 1 AS place FROM c2),
     shape AS (
-      SELECT table_id, string_agg(col_name || ':' || col_type, ', ' ORDER BY ordinal) FILTER (WHERE n <= {P.QUERY_COLUMNS_SHOWN}) AS as_query,
-             string_agg(col_name || ':' || col_type, ', ' ORDER BY ordinal) FILTER (WHERE n <= {P.CANDIDATE_COLUMNS_SHOWN}) AS as_candidate
-      FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ordinal) AS n FROM bcols) GROUP BY table_id),
+      SELECT table_id, list({{'name': col_name, 'type': col_type}} ORDER BY ordinal) AS cols FROM bcols GROUP BY table_id),
     lists AS (
       SELECT query_id, place // {P.VERDICT_BATCH} AS batch_no,
-             string_agg('(' || (place % {P.VERDICT_BATCH} + 1) || ') name: ' || table_id || ', columns: [' || as_candidate || ']', chr(10) ORDER BY place) AS candidates
+             list({{'candidate_idx': place % {P.VERDICT_BATCH} + 1, 'name': table_id, 'columns': cols[1:{P.CANDIDATE_COLUMNS_SHOWN}]}} ORDER BY place) AS candidates
       FROM placed JOIN shape USING (table_id) GROUP BY ALL)
-    SELECT query_id, batch_no, md5('[Query Table]' || chr(10) || 'name: ' || query_id || chr(10) || 'columns: [' || as_query || ']' || chr(10) || chr(10)
-           || '[Candidates]' || chr(10) || candidates || chr(10) || chr(10) || 'Answer in JSON with a score from 0 to 1 for every candidate.') AS user_md5
+    SELECT query_id, batch_no, md5(CAST(to_json({{
+      'task': 'JOIN',
+      'relation': '{verdicts._RELATIONS['JOIN']}',
+      'query': {{'name': query_id, 'columns': cols[1:{P.QUERY_COLUMNS_SHOWN}]}},
+      'candidates': candidates,
+      'reply': {{'scores': [{{'candidate_idx': 'integer', 'score': 'number, 0 to 1', 'reason': 'string, {verdicts._MAX_REASON} characters at most'}}]}}
+    }}) AS VARCHAR)) AS request_md5
     FROM lists JOIN shape ON shape.table_id = query_id""",
 )
 def table_prompts(spark, sf_dir):
@@ -416,7 +419,7 @@ def table_prompts(spark, sf_dir):
     queries = R.planned(store)
     batches = verdicts.request_batches(R.lake_layer_two(store, queries))
     prompts = verdicts.table_prompts(batches, queries, store.tables, store.profiles)
-    return prompts.selectExpr("query_id", "bigint(batch_no) AS batch_no", "md5(user) AS user_md5")
+    return prompts.selectExpr("query_id", "bigint(batch_no) AS batch_no", "md5(request) AS request_md5")
 
 
 @query("pair_prompts")

@@ -46,7 +46,7 @@ def test_assignment_is_optimal_and_injective(spark):
 
 
 def test_assignment_example(spark):
-    rows = [("s", "t", 0, 0, 0.9), ("s", "t", 1, 0, 0.8), ("s", "t", 1, 1, 0.75)]
+    rows = [("s", "t", 0, 0, 0.92), ("s", "t", 1, 0, 0.83), ("s", "t", 1, 1, 0.77)]
     got = matching.one_to_one(edges_frame(spark, rows)).collect()
     assert {(r.src_idx, r.tgt_idx) for r in got} == {(0, 0), (1, 1)}
 
@@ -173,13 +173,15 @@ def test_cache_age(spark):
 
 def test_pair_prompt_by_scenario(spark, store):
     pairs = spark.createDataFrame([("patients", "visits")], "source_table_id string, target_table_id string")
-    for scenario, shown, hidden in (("SMD", ["Sim_name"], ["sample_values", "Sim_stat"]),
-                                    ("SSD", ["sample_values"], ["Sim_stat"]),
-                                    ("SLD", ["sample_values", "Sim_stat", "numeric_stats", "M_mixed"], [])):
+    for scenario, shown, hidden in (("SMD", ["name_similarity"], ["samples", "statistics", "mixed_score"]),
+                                    ("SSD", ["samples"], ["statistics", "mixed_score"]),
+                                    ("SLD", ["samples", "statistics", "mixed_score"], [])):
         scored = matching.pair_scores(pairs.withColumn("scenario", F.lit(scenario)), matching.column_features(store.profiles))
         prompts = [r.prompt for r in verdicts.pair_prompts(scored, store.profiles).collect()]
-        assert prompts and all(s in p for p in prompts for s in shown)
-        assert not any(h in p for p in prompts for h in hidden)
+        found = [json.loads(p) for p in prompts]
+        fields = [{*d["source"], *d["target"], *d["scores"]} for d in found]
+        assert found and all({d["scenario"]} == {scenario} for d in found)
+        assert set(shown) <= set().union(*fields) and not any(h in f for f in fields for h in hidden)
 
 
 def test_match_quality(spark):
