@@ -134,7 +134,6 @@ class ScaleParams:
     block_queries: int = 4096
     block_candidates: int = 16384
     exact_percentile_values: int = 1_000_000
-    small_file_bytes: int = 16 * 1024 * 1024
 
 
 SCALE = ScaleParams()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +28,47 @@ def build_session(app: str = "lakeweave", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+# Folders that this process made, to be deleted by ``scratch`` or ``release``.
+_MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
     Executors and driver must both see it, so a machine-local folder is only
-    made up when the session itself is local and has no such setting.
+    made up when driver and executors are one process and there is no such setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="lakeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders made so far, or those after the first ``since``.
+
+    Frames that read them can no longer be used.
+    """
+    paths = _MADE[since:]
+    del _MADE[since:]
+    for path in paths:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate folders made inside are deleted at the end; write results elsewhere first."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

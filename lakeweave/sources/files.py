@@ -5,41 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave import params as P
 from lakeweave.functions import ids
 from lakeweave.session import materialize
+from lakeweave.sources import folder
 from lakeweave.sources.lake import Cells
 
-_BOM = "﻿"
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet or CSV file (or folder of parts) with a header, by suffix; anything but parquet is CSV.
 
-def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``path, encoding, has_bom``: UTF-8 where every line is valid, else Latin-1.
-
-    Lines are checked where they are read, so a large file is split like any other.
+    Encoding, header and quoting come from one pass over the lines; types are those that all values have.
     """
-    return (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.expr("is_valid_utf8(value)").alias("ok"),
-            F.substring(F.encode("value", "UTF-8"), 1, 3).alias("head"),
-        )
-        .groupBy("path")
-        .agg(F.bool_and("ok").alias("ok"), F.bool_or(F.col("head") == F.lit(_BOM.encode())).alias("has_bom"))
-        .selectExpr("path", "if(ok, 'utf-8', 'latin-1') AS encoding", "has_bom")
-    )
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet or CSV file with a header, by suffix; anything but parquet is CSV."""
     if path.lower().rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    utf8 = csv_encodings(spark, path).filter("encoding = 'latin-1'").isEmpty()
-    encoding = "UTF-8" if utf8 else "ISO-8859-1"
-    df = spark.read.csv(path, header=True, inferSchema=True, encoding=encoding)
-    # Latin-1 shows a byte-order mark as three letters.
-    return df.toDF(*[c.lstrip(_BOM).removeprefix("ï»¿").strip() for c in df.columns])
+    heads = folder.csv_heads(spark, [path])
+    shape = heads.agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("multiline").alias("multiline"), F.min_by("head", "path").alias("head")
+    ).first()
+    if shape["head"] is None:
+        raise ValueError(f"{path} is empty")
+    names = folder.header_names(shape["head"], shape["utf8"])
+    text = folder.read_csv(spark, [path], names, shape["utf8"], shape["multiline"])
+    cells = text.select(
+        F.posexplode(F.array(*[F.when(~F.col(c).isin(*folder.MISSING), F.col(c)) for c in text.columns])).alias("i", "value")
+    )
+    kinds = {r["i"]: r["kind"] for r in cells.groupBy("i").agg(folder.inferred_type().alias("kind")).collect()}
+    cast = {"int": "bigint", "float": "double", "bool": "boolean"}
+    return text.select(
+        *[
+            F.when(~F.col(c).isin(*folder.MISSING), F.col(c) if k == "str" else F.trim(c).cast(cast[k])).alias(n)
+            for i, (c, n) in enumerate(zip(text.columns, names))
+            for k in [kinds.get(i, "str")]
+        ]
+    )
 
 
 def schema_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -78,173 +76,70 @@ def schema_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_hashes(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = P.SCALE.small_file_bytes) -> DataFrame:
-    """``path, length, content_hash`` of the files up to ``max_bytes``.
-
-    A larger file is not held in one piece; ``lake.table_fingerprints`` identifies its rows.
-    """
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .filter(F.col("length") <= max_bytes)
-        .select("path", "length", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
-    )
-
-
-def parse_small_files(files: DataFrame) -> DataFrame:
-    """Long rows of many small CSV or parquet files: ``path, content`` in, cells out.
-
-    A row with ``row_no`` -1 describes a column, one with ordinal -1 a file that is
-    empty or cannot be read (``error``). Files are told apart by their path, so any
-    number of schemas is one job.
-    """
-
-    def parse(frames):
-        import io
-
-        import pandas as pd
-
-        def read(path, content):
-            if path.lower().endswith(".parquet"):
-                return pd.read_parquet(io.BytesIO(content))
-            for encoding in ("utf-8-sig", "latin-1"):
-                try:
-                    return pd.read_csv(
-                        io.BytesIO(content), encoding=encoding, dtype_backend="numpy_nullable"
-                    )
-                except UnicodeDecodeError:
-                    continue
-
-        def block(path, row_no, ordinal, name, kind, whole=None, real=None, text=None, error=None):
-            return pd.DataFrame(
-                {
-                    "path": path,
-                    "row_no": row_no,
-                    "ordinal": ordinal,
-                    "col_name": name,
-                    "col_type": kind,
-                    "whole": pd.array(whole, dtype="Int64") if whole is not None else pd.NA,
-                    "real": real if real is not None else float("nan"),
-                    "text": text,
-                    "error": error,
-                }
-            ).astype({"whole": "Int64", "real": "float64"})
-
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                try:
-                    df = read(path, content)
-                    if df is None or df.empty:
-                        raise ValueError("no rows")
-                except Exception as e:
-                    yield block(path, [-1], [-1], None, None, error=str(e)[:200])
-                    continue
-                rows = range(len(df))
-                for i, name in enumerate(df.columns):
-                    col = df[name]
-                    if pd.api.types.is_bool_dtype(col):
-                        kind = "bool"
-                    elif pd.api.types.is_integer_dtype(col):
-                        kind = "int"
-                    elif pd.api.types.is_float_dtype(col):
-                        kind = "float"
-                    elif pd.api.types.is_datetime64_any_dtype(col):
-                        kind = "date"
-                    else:
-                        kind = "str"
-                    yield block(path, [-1], [i], str(name), kind)
-                    common = (path, rows, [i] * len(df), None, kind)
-                    if kind == "int":
-                        yield block(*common, whole=col)
-                    elif kind == "date":
-                        micros = (col - pd.Timestamp(0, tz=col.dt.tz)) // pd.Timedelta(microseconds=1)
-                        yield block(*common, whole=micros.astype("Int64"))
-                    elif kind == "float":
-                        yield block(*common, real=col.astype("float64").to_numpy(na_value=float("nan")))
-                    else:
-                        shown = col.astype("string").str.lower() if kind == "bool" else col.astype("string")
-                        yield block(*common, text=shown.astype(object).where(col.notna(), None))
-
-    return files.select("path", "content").mapInPandas(
-        parse,
-        "path string, row_no bigint, ordinal int, col_name string, col_type string, "
-        "whole bigint, real double, text string, error string",
-    )
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, length, content_hash`` of all files below a folder."""
+    return folder.content_hashes(folder.listing(spark, path, pattern))
 
 
 def bulk_ingest(
-    spark: SparkSession, folder: str, tenant: str, now, known: DataFrame | None = None, pattern: str = "*"
+    spark: SparkSession, path: str, tenant: str, now, known: DataFrame | None = None, pattern: str = "*"
 ) -> tuple[DataFrame, DataFrame, Cells]:
-    """Tables, columns and cells of a folder of small files.
+    """Tables, columns and cells of a folder of files of any size.
 
-    Files that cannot be read stay in the first result with status FAILED; a file of
-    zero bytes has no split in a Spark scan and is passed over. ``known`` lists table
-    ids to skip, so a repeated run only takes new files.
+    Files that are empty or cannot be read stay in the first result with status FAILED.
+    ``known`` lists table ids to skip, so a repeated run only takes new files.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .filter(F.col("length") <= P.SCALE.small_file_bytes)
-    )
-    return ingest_files(files, tenant, now, known)
+    return ingest_files(file_hashes(spark, path, pattern), tenant, now, known)
 
 
 def ingest_files(
     files: DataFrame, tenant: str, now, known: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, Cells]:
-    """The same for a batch of ``path, length, content`` rows.
-
-    The parsed rows are written once, since tables, columns and cells all read them.
-    """
+    """The same for files given by ``path, length, content_hash``."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    named = files.withColumns(
-        {
-            "tenant_id": F.lit(tenant),
-            "table_name": name,
-            "content_hash": F.substring(F.sha2("content", 256), 1, 16),
-        }
-    ).withColumn("table_id", ids.table_id(F.col("tenant_id"), F.col("table_name"), F.col("content_hash")))
+    named = files.withColumns({"tenant_id": F.lit(tenant), "table_name": name}).withColumn(
+        "table_id", ids.table_id(F.col("tenant_id"), F.col("table_name"), F.col("content_hash"))
+    )
     if known is not None:
         named = named.join(known.select("table_id"), "table_id", "left_anti")
-    keys = named.select("path", "table_id")
-    parsed = materialize(parse_small_files(named).join(keys, "path"), "parsed")
-    columns = parsed.filter("row_no = -1 AND ordinal >= 0").select(
+    named = materialize(named, "files")
+    typed, values, errors = folder.read_folder(named)
+    # Copies of a file under one name are one table, read from the first of them.
+    keys = named.groupBy("table_id").agg(F.min("path").alias("path"))
+    columns = typed.join(keys, "path").select(
         "table_id", "ordinal", "col_name", "col_type", F.lit(None).cast("string").alias("col_description")
     )
-    columns = columns.withColumn(
-        "column_id", ids.column_id(F.col("table_id"), F.col("ordinal"), F.col("col_name"))
+    columns = materialize(
+        columns.withColumn("column_id", ids.column_id(F.col("table_id"), F.col("ordinal"), F.col("col_name"))), "columns"
     )
-    rows = parsed.filter("row_no >= 0")
+    rows = values.join(keys, "path").select("table_id", "ordinal", "value")
     shape = columns.groupBy("table_id").agg(
         F.count("*").alias("col_count"),
         ids.schema_hash(F.collect_list(F.struct("ordinal", "col_name", "col_type"))).alias("schema_hash"),
     )
-    sizes = rows.groupBy("table_id").agg((F.max("row_no") + 1).alias("row_count"))
-    failed = parsed.filter("error IS NOT NULL").select("table_id", "error")
+    sizes = rows.filter("ordinal = 0").groupBy("table_id").agg(F.count("*").alias("row_count"))
     tables = (
         named.select("table_id", "table_name", "tenant_id", "content_hash", F.col("path").alias("source_uri"))
         .join(shape, "table_id", "left")
         .join(sizes, "table_id", "left")
-        .join(failed, "table_id", "left")
+        .join(errors.withColumnRenamed("path", "source_uri"), "source_uri", "left")
         .withColumn("status", F.when(F.col("error").isNull(), "INGESTED").otherwise("FAILED"))
         .withColumn("uploaded_at", now)
         .na.fill(0, ["row_count", "col_count"])
     )
+    kinds = columns.select("table_id", "ordinal", "col_type")
 
-    def cells(kinds: str, value: str) -> DataFrame:
-        return rows.filter(f"col_type IN ({kinds})").select("table_id", "ordinal", F.expr(value).alias("value"))
+    def cells(wanted: str, value: str) -> DataFrame:
+        own = rows.join(kinds.filter(f"col_type IN ({wanted})"), ["table_id", "ordinal"])
+        return own.select("table_id", "ordinal", F.expr(value).alias("value"))
 
     return (
         tables,
         columns,
         Cells(
-            whole=cells("'int', 'date'", "whole"),
-            real=cells("'float'", "nullif(real, double('NaN'))"),
-            text=cells("'str', 'bool'", "text"),
+            whole=cells("'int', 'date'", "try_cast(trim(value) as bigint)"),
+            real=cells("'float'", "nullif(try_cast(trim(value) as double), double('NaN'))"),
+            text=cells("'str', 'bool'", "if(col_type = 'bool', lower(value), value)"),
         ),
     )
 
@@ -277,8 +172,8 @@ def truth_by_name(pairs: DataFrame, tables: DataFrame) -> DataFrame:
     return out.drop("query_table", "candidate_table")
 
 
-def pick_clean_pairs(pairs: DataFrame, columns: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` known pairs whose columns exist, one per pair of tables.
+def pick_clean_pairs(pairs: DataFrame, columns: DataFrame, n: int | None = None) -> DataFrame:
+    """Known pairs whose columns exist, one per pair of tables; the first ``n`` if given.
 
     ``pairs`` has ``seq, query_table, candidate_table, query_column, candidate_column``
     and ``columns`` has ``table_name, col_name``.
@@ -290,13 +185,12 @@ def pick_clean_pairs(pairs: DataFrame, columns: DataFrame, n: int) -> DataFrame:
         )
         known = known.join(have, [f"{side}_table", f"{side}_column"], "left_semi")
     rest = [c for c in pairs.columns if c not in ("query_table", "candidate_table")]
-    return (
+    picked = (
         known.groupBy("query_table", "candidate_table")
         .agg(F.min(F.struct("seq", *[c for c in rest if c != "seq"])).alias("first"))
         .select("query_table", "candidate_table", "first.*")
-        .orderBy("seq")
-        .limit(n)
     )
+    return picked if n is None else picked.orderBy("seq").limit(n)
 
 
 def nested_matches(truth: DataFrame) -> DataFrame:
@@ -307,11 +201,9 @@ def nested_matches(truth: DataFrame) -> DataFrame:
 
 __all__ = [
     "bulk_ingest",
-    "csv_encodings",
     "file_hashes",
     "ingest_files",
     "nested_matches",
-    "parse_small_files",
     "pick_clean_pairs",
     "read_manifests",
     "read_table",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave import params as P
 from lakeweave.operators import profile
-from lakeweave.sources import files
+from lakeweave.session import materialize, scratch
+from lakeweave.sources import files, folder as listings
 
 
 def _read(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
@@ -31,7 +31,7 @@ def stream_tables(
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .filter(F.col("length") <= P.SCALE.small_file_bytes)
+        .select("path", "modificationTime", "length")
     )
     registry_schema = (
         "table_id string, table_name string, tenant_id string, content_hash string, source_uri string, "
@@ -40,16 +40,27 @@ def stream_tables(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):  # what a batch only needs itself goes with it
+            write(batch, batch_id)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         key = ["tenant_id", "content_hash"]
         session = batch.sparkSession
-        hashed = batch.withColumn("tenant_id", F.lit(tenant)).withColumn(
-            "content_hash", F.substring(F.sha2("content", 256), 1, 16)
+        # The stream tells names and lengths; a file of no bytes is only in the listing.
+        empty = listings.listing(session, folder, pattern).filter("length = 0")
+        if batch_id > 0:
+            listed = _read(session, f"{store}/registry", registry_schema, batch_id).select(F.col("source_uri").alias("path"))
+            empty = empty.join(listed, "path", "left_anti")
+        arrived = batch.select("path", "length").unionByName(empty)
+        times = batch.select("path", "modificationTime")
+        hashed = materialize(
+            listings.content_hashes(arrived).join(times, "path", "left").withColumn("tenant_id", F.lit(tenant)), "arrivals"
         )
         first = hashed.groupBy(*key).agg(F.min_by("path", F.struct("modificationTime", "path")).alias("path"))
         if batch_id > 0:
             known = _read(session, f"{store}/registry", registry_schema, batch_id).filter("status <> 'REJECTED'")
             first = first.join(known.select(*key), key, "left_anti")
-        fresh = hashed.join(first.select("path"), "path", "left_semi").select("path", "length", "content")
+        fresh = hashed.join(first.select("path"), "path", "left_semi").select("path", "length", "content_hash")
         tables, columns, cells = files.ingest_files(fresh, tenant, F.current_timestamp())
         largest = tables.agg(F.max("row_count")).first()[0] or 0
         profiles = profile.store_profiles(profile.column_profiles(columns, cells, largest))

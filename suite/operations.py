@@ -635,6 +635,16 @@ def csv_round_trip(spark, sf_dir):
     )
 
 
+@query("csv_quoting", "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents")
+def csv_quoting(spark, sf_dir):
+    """Documents, with their line breaks and quotes, written as CSV and read back."""
+    path = work_dir(spark, "documents") + ".csv"
+    C.table(spark, sf_dir, "documents").select("doc_id", "lang", "text").write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return files.read_table(spark, path).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
 @query(
     "schema_catalog",
     f"""WITH {C.SQL_COLUMNS}
@@ -705,7 +715,7 @@ def clean_pairs(spark, sf_dir):
     same = a.join(b, "stem").filter("query_table < candidate_table")
     unknown = same.selectExpr("query_table", "candidate_table", "'missing' AS query_column", "candidate_column", "-1 AS seq")
     pairs = same.selectExpr("query_table", "candidate_table", "query_column", "candidate_column", "i * 100 + j AS seq")
-    picked = files.pick_clean_pairs(pairs.unionByName(unknown), columns, 10_000)
+    picked = files.pick_clean_pairs(pairs.unionByName(unknown), columns)
     named = picked.withColumn("query_table", F.concat("query_table", F.lit(".csv")))
     found = files.truth_by_name(named, L.lake_tables(groups))
     return found.selectExpr(

@@ -1,14 +1,14 @@
 from pyspark.sql import functions as F
 
 from lakeweave.operators import profile, registry, tasks
-from lakeweave.sources import files
+from lakeweave.sources import files, folder
 
 
 def test_csv_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("id,name\n1,Zoë\n2,x\n".encode("utf-8-sig"))
     (tmp_path / "b.csv").write_bytes("id,name\n1,Zoë\n".encode("latin-1"))
     a, b = (files.read_table(spark, str(tmp_path / n)) for n in ("a.csv", "b.csv"))
-    assert a.columns == ["id", "name"] and a.dtypes[0][1] == "int"
+    assert a.columns == ["id", "name"] and a.dtypes[0][1] == "bigint"
     assert [r.name for r in a.orderBy("id").collect()] == ["Zoë", "x"]
     assert [r.name for r in b.collect()] == ["Zoë"]
 
@@ -29,7 +29,8 @@ def test_bulk_ingest_counts_bad_files_and_skips_known(spark, tmp_path):
     (tmp_path / "good.csv").write_text("id,v,flag,w\n1,2.5,true,\n2,,false,7\n")
     (tmp_path / "latin.csv").write_bytes("id,n\n1,é\n".encode("latin-1"))
     (tmp_path / "empty.csv").write_text("\n")
-    (tmp_path / "zero.csv").write_text("")  # no split, hence no row
+    (tmp_path / "zero.csv").write_text("")
+    (tmp_path / "quoted.csv").write_text('id,"a ""b"" c"\n1,"two\nlines, one ""cell"""\n2,plain\n')
     (tmp_path / "header.csv").write_text("a,b\n")
     spark.range(3).selectExpr("id", "timestamp_seconds(id) AS t").toPandas().to_parquet(tmp_path / "p.parquet")
     now = F.current_timestamp()
@@ -40,11 +41,14 @@ def test_bulk_ingest_counts_bad_files_and_skips_known(spark, tmp_path):
         "latin": ("INGESTED", 1, 2),
         "empty": ("FAILED", 0, 0),
         "header": ("FAILED", 0, 0),
+        "zero": ("FAILED", 0, 0),
+        "quoted": ("INGESTED", 2, 2),
         "p": ("INGESTED", 3, 2),
     }
     got = {r.col_name: r for r in profile.column_profiles(columns, cells, 3).collect()}
     assert {n: got[n].col_type for n in ("v", "flag", "w", "n", "t")} == {
         "v": "float", "flag": "bool", "w": "int", "n": "str", "t": "date"}
+    assert set(got['a "b" c'].sample_values) == {'two\nlines, one "cell"', "plain"}
     assert got["w"].null_ratio == 0.5 and got["w"].numeric_stats.mean == 7.0
     assert got["t"].numeric_stats.mean == 1.0
     assert got["flag"].sample_values == ["true", "false"] or set(got["flag"].sample_values) == {"true", "false"}
@@ -52,6 +56,25 @@ def test_bulk_ingest_counts_bad_files_and_skips_known(spark, tmp_path):
     assert again.isEmpty()
 
 
+def test_a_large_file_is_a_table(spark, tmp_path):
+    """Twenty megabytes, and the same types as a small file has."""
+    line = "2024-01-01," + "x" * 90 + "\n"
+    (tmp_path / "large.csv").write_text("day,v\n" + line * 200_000)
+    (tmp_path / "small.csv").write_text("day,v\n" + line)
+    tables, columns, _ = files.bulk_ingest(spark, str(tmp_path), "x", F.current_timestamp())
+    assert {(r.table_name, r.status, r.row_count) for r in tables.collect()} == {
+        ("large", "INGESTED", 200_000), ("small", "INGESTED", 1)}
+    assert {(r.col_name, r.col_type) for r in columns.collect()} == {("day", "str"), ("v", "str")}
+
+
+def test_lines_identify_a_file_beyond_one_value(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folder, "WHOLE_FILE", 10)
+    for name, text in (("a.csv", "id\n1\n2\n" * 5), ("b.csv", "id\n1\n2\n" * 5), ("c.csv", "id\n1\n3\n" * 5)):
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[-1]: r.content_hash for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and got["a.csv"] == got["b.csv"] != got["c.csv"]
+
+
 def test_file_hashes(spark, tmp_path):
     import hashlib
 

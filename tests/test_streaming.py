@@ -120,10 +120,11 @@ def test_continuous_ingest(spark, tmp_path):
     folder.mkdir()
     (folder / "a.csv").write_text("id,v\n1,2\n2,4\n")
     (folder / "broken.csv").write_text("\n")
+    (folder / "zero.csv").write_text("")
     ingest.stream_tables(spark, str(folder), store, checkpoint).awaitTermination()
     (folder / "copy.csv").write_text("id,v\n1,2\n2,4\n")
     (folder / "b.csv").write_text("id,w\n1,x\n")
     ingest.stream_tables(spark, str(folder), store, checkpoint).awaitTermination()
     got = {r.source_uri.rsplit("/", 1)[-1]: r.status for r in spark.read.parquet(f"{store}/registry").collect()}
-    assert got == {"a.csv": "READY", "broken.csv": "FAILED", "copy.csv": "REJECTED", "b.csv": "READY"}
+    assert got == {"a.csv": "READY", "broken.csv": "FAILED", "zero.csv": "FAILED", "copy.csv": "REJECTED", "b.csv": "READY"}
     assert spark.read.parquet(f"{store}/profiles").count() == 4
