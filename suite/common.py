@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeweave.plans.store import ProfileStore, build_store
 from lakeweave.sources import benchlake
@@ -53,17 +54,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Vectors as whole millionths, which print alike everywhere, so that their column can be checked like any other.
+SCALED = "transform(embedding, x -> cast(round(cast(x as double) * 1000000) as bigint))"
+SQL_SCALED = "list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))"
+
+
+def lake_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = table(spark, sf_dir, name)
+    return df.withColumn("embedding", F.expr(SCALED)) if name == "embeddings" else df
+
+
 @lru_cache(maxsize=None)
 def lake(spark: SparkSession, sf_dir: str) -> list[SchemaGroup]:
     """The given tables as a lake, one schema group each."""
-    return [single_table(table(spark, sf_dir, n), n) for n in TABLES]
+    return [single_table(lake_table(spark, sf_dir, n), n) for n in TABLES]
 
 
 @lru_cache(maxsize=None)
 def bench_lake(spark: SparkSession, sf_dir: str) -> list[SchemaGroup]:
     """112 tables derived from the given ones."""
     return benchlake.split_lake(
-        [benchlake.BaseTable(n, table(spark, sf_dir, n), SPLIT_KEYS[n]) for n in TABLES]
+        [benchlake.BaseTable(n, lake_table(spark, sf_dir, n), SPLIT_KEYS[n]) for n in TABLES]
     )
 
 
@@ -120,7 +131,7 @@ def sql_cells(kinds: tuple[str, ...], bench: bool, schemas: dict[str, list[tuple
                 elif kind in ("int", "float"):
                     value = f"CAST({col} AS DOUBLE)"
                 elif (name, col) == ("embeddings", "embedding"):
-                    value = f"CAST(CAST({col} AS JSON) AS VARCHAR)"
+                    value = f"CAST(CAST({SQL_SCALED} AS JSON) AS VARCHAR)"
                 else:
                     value = f"CAST({col} AS VARCHAR)"
                 parts.append(

@@ -127,12 +127,18 @@ tp AS (SELECT a.table_id AS source_table_id, b.table_id AS target_table_id, {SQL
 
 @query(
     "name_tokens",
-    f"""WITH {C.SQL_BENCH_COLUMNS}
-    SELECT DISTINCT col_name, array_to_string(list_sort({sql_name_tokens("col_name")}), ',') AS tokens FROM bcols""",
+    f"""WITH {C.SQL_BENCH_COLUMNS}, {SQL_BENCH_SIZES},
+    used AS (SELECT col_name, CAST(sum(n) AS BIGINT) AS n_rows FROM bcols JOIN sizes USING (table_id) GROUP BY col_name)
+    SELECT col_name, n_rows, array_to_string(list_sort({sql_name_tokens("col_name")}), ',') AS tokens FROM used""",
 )
 def name_tokens(spark, sf_dir):
-    names = L.lake_columns(C.bench_lake(spark, sf_dir)).select("col_name").distinct()
-    return names.select("col_name", F.expr(f"concat_ws(',', array_sort({text.name_tokens('col_name')}))").alias("tokens"))
+    """Tokens of every column name, and the rows of the tables that have it."""
+    groups = C.bench_lake(spark, sf_dir)
+    names = (
+        L.lake_columns(groups).join(L.row_counts(groups), "table_id", "left")
+        .groupBy("col_name").agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n_rows"))
+    )
+    return names.select("col_name", "n_rows", F.expr(f"concat_ws(',', array_sort({text.name_tokens('col_name')}))").alias("tokens"))
 
 
 def _same_tenant_pairs(store):

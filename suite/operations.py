@@ -647,16 +647,18 @@ def csv_quoting(spark, sf_dir):
 
 @query(
     "schema_catalog",
-    f"""WITH {C.SQL_COLUMNS}
-    SELECT table_id AS table_name, 'about ' || table_id AS table_desc,
+    f"""WITH {C.SQL_COLUMNS}, sizes AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_id, count(*) AS row_count FROM {t}" for t in C.TABLES)})
+    SELECT table_id AS table_name, any_value(row_count) || ' rows' AS table_desc,
            string_agg(ordinal || ':' || col_name || ':' || col_type || ':' || (ordinal = 0), ',' ORDER BY ordinal) AS columns
-    FROM cols GROUP BY table_id""",
+    FROM cols JOIN sizes USING (table_id) GROUP BY table_id""",
 )
 def schema_catalog(spark, sf_dir):
     """The catalog of the given tables written as a schema listing and read back."""
     path = work_dir(spark, "schema") + ".csv"
-    listed = L.lake_columns(C.lake(spark, sf_dir)).orderBy("table_id", "ordinal").selectExpr(
-        "table_id AS TableName", "concat('about ', table_id) AS TableDesc", "col_name AS ColumnName",
+    groups = C.lake(spark, sf_dir)
+    counted = L.lake_columns(groups).join(L.row_counts(groups), "table_id")
+    listed = counted.orderBy("table_id", "ordinal").selectExpr(
+        "table_id AS TableName", "concat(row_count, ' rows') AS TableDesc", "col_name AS ColumnName",
         "upper(col_type) AS ColumnType", "'' AS ColumnDesc", "if(ordinal = 0, 'Yes', 'NO') AS IsPK", "'NO' AS IsFK",
     )
     listed.coalesce(1).write.csv(path, header=True)
@@ -697,13 +699,13 @@ def bulk_ingest(spark, sf_dir):
 
 @query(
     "clean_pairs",
-    f"""WITH {C.SQL_COLUMNS},
+    f"""WITH {C.SQL_COLUMNS}, sizes AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_id, count(*) AS row_count FROM {t}" for t in C.TABLES)}),
     pairs AS (SELECT a.table_id AS query_table, b.table_id AS candidate_table, a.col_name AS query_column, b.col_name AS candidate_column,
                      a.ordinal * 100 + b.ordinal AS seq
               FROM cols a JOIN cols b ON a.table_id < b.table_id AND regexp_replace(a.col_name, '^[a-z]+_', '') = regexp_replace(b.col_name, '^[a-z]+_', ''))
     SELECT query_table, candidate_table, min(seq) AS seq, arg_min(query_column, seq) AS query_column, arg_min(candidate_column, seq) AS candidate_column,
-           query_table AS query_table_id, candidate_table AS candidate_table_id
-    FROM pairs GROUP BY ALL""",
+           query_table AS query_table_id, candidate_table AS candidate_table_id, any_value(row_count) AS query_rows
+    FROM pairs JOIN sizes ON sizes.table_id = query_table GROUP BY ALL""",
 )
 def clean_pairs(spark, sf_dir):
     """Pairs of equally named columns, one per table pair, with the ids of their tables."""
@@ -718,7 +720,8 @@ def clean_pairs(spark, sf_dir):
     picked = files.pick_clean_pairs(pairs.unionByName(unknown), columns)
     named = picked.withColumn("query_table", F.concat("query_table", F.lit(".csv")))
     found = files.truth_by_name(named, L.lake_tables(groups))
-    return found.selectExpr(
+    sizes = L.row_counts(groups).selectExpr("table_id AS query_table_id", "row_count AS query_rows")
+    return found.join(sizes, "query_table_id").selectExpr(
         "query_table_name AS query_table", "candidate_table_name AS candidate_table", "bigint(seq) AS seq",
-        "query_column", "candidate_column", "query_table_id", "candidate_table_id",
+        "query_column", "candidate_column", "query_table_id", "candidate_table_id", "query_rows",
     )

@@ -15,29 +15,45 @@ SQL_NUM = C.sql_cells(("int", "float", "date"), False, C.SCHEMAS)
 SQL_TEXT = C.sql_cells(("str", "bool"), False, C.SCHEMAS)
 
 
+# Non-null values of every column, counted in the tables themselves.
+SQL_VALUES = f"""vals AS (
+  SELECT table_id, CAST(ordinal AS INTEGER) AS ordinal, count(value) AS n_values FROM (
+    SELECT table_id, ordinal, CAST(value AS VARCHAR) AS value FROM ({SQL_NUM}) UNION ALL SELECT table_id, ordinal, value FROM ({SQL_TEXT}))
+  GROUP BY ALL)"""
+
+
+def valued(columns, groups):
+    """Catalog columns with the number of their non-null values."""
+    counts = profile.cell_summary(L.lake_cells(groups)).select(*profile.KEY, "n_values")
+    return columns.join(counts, profile.KEY)
+
+
 @query(
     "catalog_columns",
-    f"WITH {C.SQL_COLUMNS} SELECT table_id, CAST(ordinal AS BIGINT) AS ordinal, col_name, col_type FROM cols",
+    f"""WITH {C.SQL_COLUMNS}, {SQL_VALUES}
+    SELECT table_id, CAST(ordinal AS BIGINT) AS ordinal, col_name, col_type, n_values FROM cols JOIN vals USING (table_id, ordinal)""",
 )
 def catalog_columns(spark, sf_dir):
-    return L.lake_columns(C.lake(spark, sf_dir)).select(
-        "table_id", F.col("ordinal").cast("long").alias("ordinal"), "col_name", "col_type"
+    groups = C.lake(spark, sf_dir)
+    return valued(L.lake_columns(groups), groups).select(
+        "table_id", F.col("ordinal").cast("long").alias("ordinal"), "col_name", "col_type", "n_values"
     )
 
 
 @query(
     "column_ids",
-    f"""WITH {C.SQL_COLUMNS},
-    h AS (SELECT table_id, col_name,
+    f"""WITH {C.SQL_COLUMNS}, {SQL_VALUES},
+    h AS (SELECT table_id, col_name, n_values,
                  sha1(unhex('{P.ID_NAMESPACE.replace("-", "")}') || encode(table_id || ':' || ordinal || ':' || col_name)) AS d
-          FROM cols)
-    SELECT table_id, col_name,
+          FROM cols JOIN vals USING (table_id, ordinal))
+    SELECT table_id, col_name, n_values,
            d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' ||
            substr('89ab', CAST(('0x' || d[17:17]) AS INTEGER) % 4 + 1, 1) || d[18:20] || '-' || d[21:32] AS column_id
     FROM h""",
 )
 def column_ids(spark, sf_dir):
-    return L.lake_columns(C.lake(spark, sf_dir)).select("table_id", "col_name", "column_id")
+    groups = C.lake(spark, sf_dir)
+    return valued(L.lake_columns(groups), groups).select("table_id", "col_name", "n_values", "column_id")
 
 
 SQL_ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_id, count(*) AS row_count FROM {t}" for t in C.TABLES)
@@ -73,25 +89,20 @@ def _sql_fingerprint(name: str) -> str:
     def tag(col: str) -> str:
         return f"coalesce(length(CAST({col} AS VARCHAR)) || ':' || CAST({col} AS VARCHAR), '-')"
 
-    digest = " || ".join(tag(c) for c, _ in C.SCHEMAS[name])
+    digest = " || ".join(tag(C.SQL_SCALED if c == "embedding" else c) for c, _ in C.SCHEMAS[name])
     return (
         f"SELECT '{name}' AS table_id, count(*) AS row_count, "
         f"sum(CAST('0x' || md5({digest})[1:15] AS BIGINT)) AS digest_sum FROM {name}"
     )
 
 
-# Tables whose values print alike in both systems; doubles and vectors do not.
-FINGERPRINT_TABLES = ("region", "nation", "documents", "pages", "benchmark", "labels", "conversations")
-
-
 @query(
     "table_fingerprints",
-    f"""WITH f AS ({" UNION ALL ".join(map(_sql_fingerprint, FINGERPRINT_TABLES))})
+    f"""WITH f AS ({" UNION ALL ".join(map(_sql_fingerprint, C.TABLES))})
     SELECT table_id, row_count, substr(sha256(row_count || ':' || CAST(digest_sum AS HUGEINT)), 1, 16) AS content_hash FROM f""",
 )
 def table_fingerprints(spark, sf_dir):
-    groups = [L.single_table(C.table(spark, sf_dir, t), t) for t in FINGERPRINT_TABLES]
-    return L.table_fingerprints(groups).select("table_id", "row_count", "content_hash")
+    return L.table_fingerprints(C.lake(spark, sf_dir)).select("table_id", "row_count", "content_hash")
 
 
 @query(
@@ -190,21 +201,19 @@ freqs AS (
 
 
 def _text_cells(spark, sf_dir):
-    """Categorical cells; vectors print differently in SQL and are left out of both sides."""
-    groups = [g for g in C.lake(spark, sf_dir)]
-    return L.lake_cells(groups)
+    return L.lake_cells(C.lake(spark, sf_dir))
 
 
 @query(
     "value_frequencies",
     f"""WITH {SQL_FREQS}
     SELECT table_id, CAST(ordinal AS BIGINT) AS ordinal, md5(value) AS value_md5, cnt, round(cnt / n_rows, 9) AS freq
-    FROM freqs JOIN sizes USING (table_id, ordinal) WHERE table_id <> 'embeddings'""",
+    FROM freqs JOIN sizes USING (table_id, ordinal)""",
 )
 def value_frequencies(spark, sf_dir):
     cells = _text_cells(spark, sf_dir)
     freqs = profile.frequencies(profile.value_counts(cells), profile.cell_summary(cells))
-    return freqs.filter("table_id <> 'embeddings'").select(
+    return freqs.select(
         "table_id",
         F.col("ordinal").cast("long").alias("ordinal"),
         F.md5("value").alias("value_md5"),
@@ -218,7 +227,7 @@ def value_frequencies(spark, sf_dir):
     f"""WITH {SQL_FREQS}
     SELECT table_id, CAST(ordinal AS BIGINT) AS ordinal, value, cnt, round(cnt / n_rows, 9) AS freq,
            row_number() OVER (PARTITION BY table_id, ordinal ORDER BY cnt DESC, value) AS rank
-    FROM freqs JOIN sizes USING (table_id, ordinal) WHERE table_id <> 'embeddings'
+    FROM freqs JOIN sizes USING (table_id, ordinal)
     QUALIFY rank <= {P.TOP_VALUES}""",
 )
 def top_values(spark, sf_dir):
@@ -226,7 +235,6 @@ def top_values(spark, sf_dir):
     freqs = profile.frequencies(profile.value_counts(cells), profile.cell_summary(cells))
     return (
         profile.top_values(freqs)
-        .filter("table_id <> 'embeddings'")
         .select(
             "table_id",
             F.col("ordinal").cast("long").alias("ordinal"),
@@ -242,7 +250,7 @@ def top_values(spark, sf_dir):
     "value_vocabulary",
     f"""WITH {SQL_FREQS}
     SELECT value, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS n_columns FROM freqs
-    WHERE table_id <> 'embeddings' GROUP BY value HAVING sum(cnt) >= {P.VOCAB_MIN_FREQ}""",
+    GROUP BY value HAVING sum(cnt) >= {P.VOCAB_MIN_FREQ}""",
 )
 def value_vocabulary(spark, sf_dir):
     counts = profile.value_counts(_text_cells(spark, sf_dir))
@@ -250,14 +258,13 @@ def value_vocabulary(spark, sf_dir):
     spread = profile.aligned_frequencies(counts.text, vocab).groupBy("value").agg(
         F.count("*").alias("n_columns")
     )
-    embeddings = counts.text.filter("table_id = 'embeddings'").select("value")
-    return vocab.join(spread, "value").join(embeddings, "value", "left_anti").select("value", "cnt", "n_columns")
+    return vocab.join(spread, "value").select("value", "cnt", "n_columns")
 
 
 @query(
     "sample_values",
     f"""WITH cells AS (
-      SELECT DISTINCT table_id, ordinal, value FROM ({SQL_TEXT}) WHERE value IS NOT NULL AND table_id <> 'embeddings'
+      SELECT DISTINCT table_id, ordinal, value FROM ({SQL_TEXT}) WHERE value IS NOT NULL
       UNION ALL
       SELECT DISTINCT table_id, ordinal, value FROM (
         {" UNION ALL ".join(
@@ -272,7 +279,7 @@ def sample_values(spark, sf_dir):
     groups = C.lake(spark, sf_dir)
     columns = L.lake_columns(groups)
     samples = profile.sample_values(profile.value_counts(L.lake_cells(groups)), columns)
-    shown = columns.filter("col_type in ('int', 'str') and col_name <> 'embedding'")
+    shown = columns.filter("col_type in ('int', 'str')")
     return samples.join(shown.select(*profile.KEY), profile.KEY, "left_semi").select(
         "table_id",
         F.col("ordinal").cast("long").alias("ordinal"),
@@ -281,27 +288,22 @@ def sample_values(spark, sf_dir):
     )
 
 
+SQL_LINES = ", ".join(c for c, _ in C.SCHEMAS["lineitem"])
+
+
 @query(
     "row_sample",
-    f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag FROM lineitem
-    ORDER BY md5('{P.SAMPLE_SEED}|' || l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || l_returnflag),
-             l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag
+    f"""SELECT {SQL_LINES} FROM lineitem
+    ORDER BY md5('{P.SAMPLE_SEED}|' || {" || '|' || ".join(f"CAST({c} AS VARCHAR)" for c, _ in C.SCHEMAS["lineitem"])}), {SQL_LINES}
     LIMIT {P.SAMPLE_ROWS}""",
 )
 def row_sample(spark, sf_dir):
-    rows = C.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
-    )
-    return profile.sample_rows(rows)
+    return profile.sample_rows(C.table(spark, sf_dir, "lineitem"))
 
 
-@query(
-    "head_sample",
-    f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT {P.HEAD_ROWS}",
-)
+@query("head_sample", f"SELECT * FROM orders ORDER BY o_orderkey LIMIT {P.HEAD_ROWS}")
 def head_sample(spark, sf_dir):
-    orders = C.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return profile.head_rows(orders, ["o_orderkey"])
+    return profile.head_rows(C.table(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
 DESCRIBED = {"o_orderkey": "Order Key", "o_orderdate": "", "o_custkey": "Buyer"}
@@ -309,33 +311,34 @@ DESCRIBED = {"o_orderkey": "Order Key", "o_orderdate": "", "o_custkey": "Buyer"}
 
 @query(
     "table_texts",
-    f"""WITH {C.SQL_COLUMNS},
+    f"""WITH {C.SQL_COLUMNS}, sizes AS ({SQL_ROW_COUNTS}),
     d AS (SELECT *, CASE col_name WHEN 'o_orderkey' THEN 'Order Key' WHEN 'o_custkey' THEN 'Buyer' END AS descr FROM cols)
-    SELECT table_id,
+    SELECT table_id, any_value(row_count) AS row_count,
            lower(table_id || ' ' || string_agg(col_name || coalesce(' ' || descr, ''), ' ' ORDER BY ordinal)) AS text_blob,
            'Table: ' || table_id || '. Columns: ' ||
              string_agg(col_name || ' (' || col_type || ')' || coalesce(' - ' || descr, ''), ', ' ORDER BY ordinal) AS encoder_text,
            string_agg(col_type, ',' ORDER BY ordinal) AS type_multiset
-    FROM d GROUP BY table_id""",
+    FROM d JOIN sizes USING (table_id) GROUP BY table_id""",
 )
 def table_texts(spark, sf_dir):
     groups = [
         L.single_table(C.table(spark, sf_dir, name), name, descriptions=DESCRIBED) for name in C.TABLES
     ]
-    profiles = profile.table_profiles(L.lake_tables(groups), L.lake_columns(groups))
+    tables = L.lake_tables(groups).join(L.row_counts(groups), "table_id")
+    profiles = profile.table_profiles(tables, L.lake_columns(groups))
     return profiles.select(
-        "table_id", "text_blob", "encoder_text", F.concat_ws(",", "type_multiset").alias("type_multiset")
+        "table_id", "row_count", "text_blob", "encoder_text", F.concat_ws(",", "type_multiset").alias("type_multiset")
     )
 
 
 @query(
     "column_texts",
-    f"""WITH {C.SQL_COLUMNS}
-    SELECT table_id, col_name,
+    f"""WITH {C.SQL_COLUMNS}, {SQL_VALUES}
+    SELECT table_id, col_name, n_values,
            'Column ' || col_name || ' of type ' || col_type ||
            coalesce('. Description: ' || CASE col_name WHEN 'o_orderkey' THEN 'Order Key' WHEN 'o_custkey' THEN 'Buyer' END, '') ||
            '. In table ' || table_id || '.' AS encoder_text
-    FROM cols""",
+    FROM cols JOIN vals USING (table_id, ordinal)""",
 )
 def column_texts(spark, sf_dir):
     groups = [
@@ -343,9 +346,8 @@ def column_texts(spark, sf_dir):
     ]
     columns = L.lake_columns(groups)
     texts = profile.column_texts(L.lake_tables(groups), columns)
-    return texts.join(columns.select("table_id", "ordinal", "col_name"), profile.KEY).select(
-        "table_id", "col_name", "encoder_text"
-    )
+    own = valued(columns, groups).select(*profile.KEY, "col_name", "n_values")
+    return texts.join(own, profile.KEY).select("table_id", "col_name", "n_values", "encoder_text")
 
 
 @query(
