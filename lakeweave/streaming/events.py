@@ -2,7 +2,9 @@
 
 An event has ``task_id, type, agent, layer, timestamp``, a unique ``seq`` that breaks
 ties in time, and the metrics ``input_size .. message``. The batch functions hold
-for any history; the streaming ones keep state per task, bounded by a watermark.
+for any history. On a stream the timeline keeps no state, as its parts can be merged at any time; the
+history remembers sequence numbers until the watermark has passed them, and a task until it
+has been over for a while.
 """
 
 from __future__ import annotations
@@ -98,29 +100,43 @@ def timeline_node() -> str:
     return f"CASE WHEN {node} IN ({known}) THEN {node} END"
 
 
-def fold_timeline(events: DataFrame) -> DataFrame:
-    """``task_id, node, status`` and the last known metrics; the same on a stream in update mode.
+_VALUES = ("status", *P.EVENT_METRICS)
 
-    Every value is the one of its latest event that has it, which combines before the
-    shuffle and needs no order of arrival.
+
+def partial_timeline(events: DataFrame) -> DataFrame:
+    """``task_id, node`` and for each value its latest event's time, number and value.
+
+    Parts of a history can be folded one by one, in any order, and merged by ``current_timeline``.
     """
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.EVENT_STATUS.items())
-    order = "struct(timestamp, seq)"
-    status = f"CASE type {cases} END"
+    named = events.selectExpr("*", f"{timeline_node()} AS node", f"CASE type {cases} END AS status")
     return (
-        events.selectExpr("*", f"{timeline_node()} AS node", f"{status} AS new_status")
-        .filter("node IS NOT NULL")
+        named.filter("node IS NOT NULL")
         .groupBy("task_id", "node")
-        .agg(
-            F.expr(f"coalesce(max_by(new_status, {order}) FILTER (WHERE new_status IS NOT NULL), 'pending')").alias("status"),
-            *[
-                F.expr(f"max_by({m}, {order}) FILTER (WHERE {m} IS NOT NULL)").alias(m)
-                for m in P.EVENT_METRICS
-            ],
-        )
+        .agg(*[F.expr(f"max(struct(timestamp, seq, {v} AS v)) FILTER (WHERE {v} IS NOT NULL)").alias(v) for v in _VALUES])
     )
 
 
+def current_timeline(parts: DataFrame) -> DataFrame:
+    """The state of every node from the partial timelines written so far."""
+    merged = parts.groupBy("task_id", "node").agg(*[F.max(v).alias(v) for v in _VALUES])
+    return merged.select(
+        "task_id",
+        "node",
+        F.coalesce("status.v", F.lit("pending")).alias("status"),
+        *[F.col(f"{m}.v").alias(m) for m in P.EVENT_METRICS],
+    )
+
+
+def fold_timeline(events: DataFrame) -> DataFrame:
+    """``task_id, node, status`` and the last known metrics.
+
+    Every value is the one of its latest event that has it, which combines before the
+    shuffle and needs no order of arrival.
+    """
+    return current_timeline(partial_timeline(events))
+
+
 def full_timeline(folded: DataFrame, tasks: DataFrame) -> DataFrame:
     """All nodes of every task; a node without events is pending."""
     nodes = ", ".join(f"'{n}'" for n in P.TIMELINE_NODES)
@@ -128,86 +144,83 @@ def full_timeline(folded: DataFrame, tasks: DataFrame) -> DataFrame:
     return every.join(folded, ["task_id", "node"], "left").na.fill("pending", ["status"])
 
 
-def stream_timeline(events: DataFrame, path: str, checkpoint: str, delay: str = "1 hour"):
-    """Fold a stream of events and write every changed node with the batch it changed in.
+def stream_timeline(events: DataFrame, path: str, checkpoint: str):
+    """Fold every batch of a stream of events and write it for ``current_timeline``.
 
-    Events later than ``delay`` are dropped. A batch that is replayed after a failure
-    overwrites its own folder, so the output holds each update once.
+    Nothing is kept between batches, so late events count and nothing grows but the output. A
+    batch that is replayed after a failure overwrites its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        partial_timeline(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        fold_timeline(events.withWatermark("timestamp", delay))
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        events.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current_timeline(updates: DataFrame) -> DataFrame:
-    """The latest state of every node from the written updates."""
-    rest = [c for c in updates.columns if c not in ("task_id", "node", "batch")]
-    return (
-        updates.groupBy("task_id", "node")
-        .agg(F.max_by(F.struct(*rest), "batch").alias("s"))
-        .select("task_id", "node", "s.*")
-    )
-
-
 def stream_history(
     events: DataFrame,
-    per_task: int = P.EVENTS_PER_TASK,
     terminal: str = P.TERMINAL_EVENT,
     idle_seconds: int | None = P.HEARTBEAT_SECONDS,
+    delay: str = "1 hour",
+    forget_seconds: int = 3600,
 ) -> DataFrame:
     """Events of each task up to its terminal event, with heartbeats while it idles.
 
-    The state of a task is whether it has ended and the last ``per_task`` sequence
-    numbers, so a replayed event is passed on once. A processing-time timer emits a
-    heartbeat after ``idle_seconds`` without input. Timers keep a stream alive, so one
-    that shall end with its input (``availableNow``) needs ``idle_seconds=None``.
+    An event is passed on once: its number is remembered until the watermark, ``delay`` behind the
+    latest event, has passed it, and what comes later than that is dropped (``late_rows`` counts it).
+    A processing-time timer emits a heartbeat after ``idle_seconds`` without input, and removes a task
+    that has been over for ``forget_seconds``. Timers keep a stream alive, so one that shall end
+    with its input (``availableNow``) needs ``idle_seconds=None`` and keeps its ended tasks.
     """
     wait = idle_seconds * 1000 if idle_seconds else None
 
     def step(key, frames, state):
         import pandas as pd
 
-        ended, seen = state.get if state.exists else (False, [])
-        out = []
+        ended = state.get[0] if state.exists else False
         if state.hasTimedOut:
-            out.append(
-                pd.DataFrame(
-                    {"task_id": [key[0]], "seq": [-1], "type": ["heartbeat"], "timestamp": [pd.Timestamp.now()]}
-                )
+            if ended:
+                state.remove()
+                return
+            now = state.getCurrentProcessingTimeMs()
+            # The negative time tells heartbeats apart.
+            out = pd.DataFrame(
+                {"task_id": [key[0]], "seq": [-now], "type": ["heartbeat"], "timestamp": [pd.Timestamp(now, unit="ms")]}
             )
         else:
-            rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
-            rows = rows[~rows["seq"].isin(list(seen))].drop_duplicates("seq")
+            out = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
             if ended:
-                rows = rows.iloc[:0]
-            stops = (rows["type"] == terminal).to_numpy().nonzero()[0]
+                out = out.iloc[:0]
+            stops = (out["type"] == terminal).to_numpy().nonzero()[0]
             if len(stops):
-                rows, ended = rows.iloc[: stops[0] + 1], True
-            seen = (list(seen) + [int(s) for s in rows["seq"]])[-per_task:]
-            out.append(rows[["task_id", "seq", "type", "timestamp"]])
-        state.update((ended, seen))
-        if wait and not ended:
-            state.setTimeoutDuration(wait)
-        yield from out
+                out, ended = out.iloc[: stops[0] + 1], True
+            out = out[["task_id", "seq", "type", "timestamp"]]
+        state.update((ended,))
+        if wait:
+            state.setTimeoutDuration(forget_seconds * 1000 if ended else wait)
+        yield out
 
     task_type = dict(events.dtypes)["task_id"]
     return (
         events.select("task_id", "seq", "type", "timestamp")
+        .withWatermark("timestamp", delay)
+        .dropDuplicatesWithinWatermark(["task_id", "seq"])
         .groupBy("task_id")
         .applyInPandasWithState(
             step,
             f"task_id {task_type}, seq bigint, type string, timestamp timestamp",
-            "ended boolean, seen array<bigint>",
+            "ended boolean",
             "append",
             "ProcessingTimeTimeout" if wait else "NoTimeout",
         )
     )
+
+
+def late_rows(query) -> int:
+    """Events that a running or ended stream dropped as later than its watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -31,12 +31,21 @@ def task_events(events):
     return events.sparkSession.sql(_SPARK_COLUMNS, events=events)
 
 
-def stream_of(spark, sf_dir, name):
-    """A given table as a stream of files."""
+def stream_of(spark, sf_dir, name, time, parts=4):
+    """A given table as a stream of one file group per batch, in the order of its times, with repeats.
+
+    Each part but the first brings a tenth of the rows before it once more.
+    """
     static = C.table(spark, sf_dir, name)
-    return spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(
-        f"{sf_dir}/{name}.parquet*"
-    )
+    folder = work_dir(spark, f"{name}-stream")
+    low, high = static.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))), F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()
+    part = F.least(F.floor((F.unix_micros(F.col(time).cast("timestamp")) - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    placed = static.withColumn("part", part)
+    for i in range(parts):
+        own = placed.filter(F.col("part") == i)
+        recent = (F.col("part") == i - 1) & (F.unix_micros(F.col(time).cast("timestamp")) > low + (i - 0.1) * (high - low) / parts)
+        own.unionByName(placed.filter(recent)).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 _NODE = """CASE WHEN agent IN ('Retrieval', 'Matcher') THEN agent || ':' || layer ELSE agent END"""
@@ -66,7 +75,7 @@ def timeline(spark, sf_dir):
 def timeline_stream(spark, sf_dir):
     """The same fold over a stream, from the updates that it wrote."""
     out, checkpoint = work_dir(spark, "timeline"), work_dir(spark, "timeline-checkpoint")
-    run = E.stream_timeline(task_events(stream_of(spark, sf_dir, "events")), out, checkpoint)
+    run = E.stream_timeline(task_events(stream_of(spark, sf_dir, "events", "ts")), out, checkpoint)
     run.awaitTermination()
     return E.current_timeline(spark.read.parquet(out)).select(*SHOWN)
 
@@ -84,6 +93,9 @@ def event_history(spark, sf_dir):
     return E.bounded_history(events, per_task=20, tasks=100).select("task_id", "seq", "type")
 
 
+# Repeats come up to a fortieth of the table's time late.
+STREAM_DELAY = "30 days"
+
 SQL_ENDS = f"""{SQL_EVENTS},
 ends AS (SELECT task_id, min((timestamp, seq)) AS e FROM ev WHERE type = 'agent_failed' GROUP BY task_id)
 SELECT task_id, seq, type FROM ev LEFT JOIN ends USING (task_id) WHERE e IS NULL OR (timestamp, seq) <= e"""
@@ -100,7 +112,7 @@ def events_until_terminal(spark, sf_dir):
 def event_stream(spark, sf_dir):
     """The same on a stream with state per task."""
     out, checkpoint = work_dir(spark, "history"), work_dir(spark, "history-checkpoint")
-    history = E.stream_history(task_events(stream_of(spark, sf_dir, "events")), terminal="agent_failed", idle_seconds=None)
+    history = E.stream_history(task_events(stream_of(spark, sf_dir, "events", "ts")), "agent_failed", None, STREAM_DELAY)
     (
         history.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)

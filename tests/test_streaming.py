@@ -69,6 +69,28 @@ def test_stream_history_stops_and_drops_repeats(spark, tmp_path):
     assert got == [1, 2, 3, 4, 5, 6, 7, 8]
 
 
+def test_replayed_and_late_events(spark, tmp_path):
+    """Replays are dropped however many events lie between, late rows are counted, and state is bounded."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    parts = (
+        [event("a", i, "progress", at=i) for i in range(6)],
+        [event("a", i, "progress", at=i) for i in (0, 1)] + [event("b", 50, "progress", at=50_000)],
+        [event("a", 7, "progress", at=7), event("b", 51, "progress", at=50_001)],
+    )
+    dropped = 0
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        history = E.stream_history(spark.readStream.schema(SCHEMA).parquet(source), idle_seconds=None)
+        run = (history.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+               .start(out, format="parquet"))
+        run.awaitTermination()
+        dropped += E.late_rows(run)
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5, 50, 51]
+    assert dropped == 1
+    numbers = next(op for op in run.recentProgress[-1]["stateOperators"] if "dedup" in op["operatorName"].lower())
+    assert numbers["numRowsTotal"] == 2  # those of task a are behind the watermark
+
+
 def test_idle_task_gets_a_heartbeat(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     spark.createDataFrame(ROWS[6:8] + ROWS[:1], SCHEMA).write.parquet(source)
