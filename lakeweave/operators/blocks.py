@@ -20,7 +20,16 @@ from lakeweave import params as P
 _CELL = ["tenant_id", "q_block", "c_block"]
 
 
+def _tenant_by_row(df: DataFrame, key: str) -> DataFrame:
+    """The tenant as something that depends on the row.
+
+    A literal would be folded out of the joins below, which would leave nested loops.
+    """
+    return df.withColumn("tenant_id", F.expr(f"concat(tenant_id, left(coalesce(string({key}), ''), 0))"))
+
+
 def _grid(queries: DataFrame, candidates: DataFrame, q_rows: int, c_rows: int):
+    queries, candidates = _tenant_by_row(queries, "query_id"), _tenant_by_row(candidates, "table_id")
     sizes = (
         queries.groupBy("tenant_id")
         .agg(F.expr(f"int(ceil(count(*) / {q_rows}))").alias("q_blocks"))

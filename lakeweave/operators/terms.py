@@ -28,7 +28,9 @@ def tokens_sql(text: str, tokenizer: str = "word") -> str:
 
 def term_counts(docs: DataFrame, key: str, text: str, tokenizer: str = "word") -> DataFrame:
     """``key, term, tf``. Repeats within a text are combined before the shuffle."""
-    tokens = spread(docs.select(key, text), key).selectExpr(key, f"explode({tokens_sql(text, tokenizer)}) AS term")
+    # The outer form spares computing the tokens a second time to filter empty texts.
+    tokens = spread(docs.select(key, text), key).selectExpr(key, f"explode_outer({tokens_sql(text, tokenizer)}) AS term")
+    tokens = tokens.filter("term IS NOT NULL")
     return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -8,20 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.operators import cascade, matching, rules, vectors, verdicts
+from lakeweave.operators import cascade, matching, profile, rules, vectors, verdicts
 from lakeweave.plans.store import ProfileStore
 from lakeweave.session import materialize
 
 
 @dataclass(frozen=True)
 class Discovery:
-    """The three candidate sets and the ranking of every query."""
+    """The three candidate sets and the ranking of every query, and the column pairs of ``integrate``."""
 
     queries: DataFrame
     c1: DataFrame
     c2: DataFrame
     c3: DataFrame
     ranking: DataFrame
+    pairs: DataFrame | None = None
 
 
 def ready(queries: DataFrame, store: ProfileStore) -> DataFrame:
@@ -67,14 +68,13 @@ def discover(
     return Discovery(planned, c1, c2, c3, cascade.rank(planned, c3))
 
 
-def match(
+def verified_pairs(
     pairs: DataFrame,
     store: ProfileStore,
     judge: Callable[[DataFrame], DataFrame] = verdicts.judge_pairs,
     hint: str | None = None,
-    one_to_one: bool = True,
 ) -> DataFrame:
-    """Column mappings of ``(source_table_id, target_table_id)`` pairs.
+    """The best column pairs of ``(source_table_id, target_table_id)`` pairs with their verdicts.
 
     The scenario comes from ``hint`` or from the data of the target. ``judge`` adds
     ``confidence, is_equivalent, reasoning`` to scored column pairs.
@@ -83,10 +83,20 @@ def match(
     scenario = rules.detect_scenario(hinted, store.profiles).withColumnRenamed(
         "table_id", "target_table_id"
     )
-    table_pairs = pairs.select(*matching.PAIR).join(scenario, "target_table_id")
+    table_pairs = pairs.select(*matching.PAIR).distinct().join(scenario, "target_table_id")
     scored = matching.pair_scores(table_pairs, matching.column_features(store.profiles))
-    verified = judge(matching.top_targets(scored))
-    kept = matching.accepted(verified)
+    return judge(matching.top_targets(scored))
+
+
+def match(
+    pairs: DataFrame,
+    store: ProfileStore,
+    judge: Callable[[DataFrame], DataFrame] = verdicts.judge_pairs,
+    hint: str | None = None,
+    one_to_one: bool = True,
+) -> DataFrame:
+    """Column mappings of ``(source_table_id, target_table_id)`` pairs."""
+    kept = matching.accepted(verified_pairs(pairs, store, judge, hint))
     if one_to_one:
         kept = matching.one_to_one(kept)
     return matching.mappings(kept)
@@ -99,17 +109,30 @@ def integrate(
     pair_judge: Callable[[DataFrame], DataFrame] = verdicts.judge_pairs,
     hint: str | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = materialize,
+    overrides: DataFrame | None = None,
+    fallback_to_pool: bool = False,
 ) -> tuple[Discovery, DataFrame]:
-    """Discover, then match every query against its ranked tables.
+    """Discover, then match every query against its targets.
 
-    The assignment is one-to-one for JOIN queries only; a query without ranked tables
-    has no mappings.
+    A query's target is the one in its column ``target_id`` if it has one, else its ranked
+    tables; with ``fallback_to_pool`` a query without either is matched against all tables of its
+    tenant. The assignment is one-to-one for JOIN queries only. All pairs are scored together; those of
+    both kinds of query part only afterwards. ``pairs`` of the result are the scored column pairs,
+    cut to the best of each column, as written.
     """
-    found = discover(queries, store, judge, keep=keep)
+    found = discover(queries, store, judge, overrides, keep)
     ranking = keep(found.ranking, "ranking")
-    open_queries = found.queries.selectExpr("query_id", "string(NULL) AS target_id", "subtask")
-    maps = []
-    for subtask, exclusive in (("JOIN", True), ("UNION", False)):
-        asked = open_queries.filter(F.col("subtask") == subtask)
-        maps.append(match(matching.match_targets(asked, ranking), store, pair_judge, hint, exclusive))
-    return Discovery(found.queries, found.c1, found.c2, found.c3, ranking), maps[0].unionByName(maps[1])
+    if "target_id" in queries.columns:
+        targets = queries.select("query_id", "tenant_id", "target_id")
+    else:
+        targets = queries.selectExpr("query_id", "tenant_id", "string(NULL) AS target_id")
+    asked = found.queries.select("query_id", "tenant_id", "subtask").join(targets, ["query_id", "tenant_id"])
+    pool = profile.candidate_pool(store.tables, store.tables) if fallback_to_pool else None
+    wanted = matching.match_targets(asked, ranking, pool, fallback_to_pool)
+    kinds = asked.selectExpr("query_id AS source_table_id", "subtask = 'JOIN' AS exclusive").distinct()
+    scored = keep(verified_pairs(wanted, store, pair_judge, hint), "pairs")
+    kept = matching.accepted(scored).join(kinds, "source_table_id")
+    free = kept.filter("NOT exclusive").drop("exclusive")
+    one = matching.one_to_one(kept.filter("exclusive").drop("exclusive"))
+    maps = matching.mappings(one).unionByName(matching.mappings(free))
+    return Discovery(found.queries, found.c1, found.c2, found.c3, ranking, scored), maps

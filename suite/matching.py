@@ -379,6 +379,31 @@ def integrate_union(spark, sf_dir):
     )
 
 
+SQL_NEXT_PART = SQL_MATCH.replace(
+    "FROM ranking r JOIN sizes s ON s.table_id = r.table_id",
+    """FROM (SELECT DISTINCT a.table_id AS query_id, b.table_id FROM bcols a JOIN bcols b ON a.base = b.base AND b.part = (a.part + 1) % 8) r
+          JOIN sizes s ON s.table_id = r.table_id""",
+)
+
+
+@query(
+    "integrate_targets",
+    f"""WITH RECURSIVE {SQL_NEXT_PART}
+    SELECT source_table_id, target_table_id, source_column, target_column, scenario, round(confidence, 6) AS confidence FROM accepted""",
+)
+def integrate_targets(spark, sf_dir):
+    """Every table with an explicit target, the next part of the same table, whatever is ranked."""
+    store = C.store(spark, sf_dir)
+    part = "int(element_at(split(query_id, '_'), -1))"
+    target = f"concat(regexp_replace(query_id, '[0-9]+$', ''), ({part} + 1) % 8)"
+    queries = all_queries(store, "UNION").selectExpr("*", f"{target} AS target_id")
+    _, maps = jobs.integrate(queries, store)
+    return maps.selectExpr(
+        "source_table_id", "target_table_id", "source_column", "target_column", "scenario",
+        "round(confidence, 6) AS confidence",
+    )
+
+
 @query("match_one_to_one")
 def match_one_to_one(spark, sf_dir):
     """All ordered pairs of the given tables, one-to-one; the assignment has no SQL form."""

@@ -166,3 +166,18 @@ def test_plan_overrides(spark):
     got = {r.query_id: r for r in rules.plan_queries(q, o).collect()}
     assert (got["a"].theta_1, got["a"].k_2, got["a"].w_3) == (P.JOIN_PLAN.theta_1, 5, 0.5)
     assert (got["b"].theta_1, got["b"].k_2, got["b"].w_3) == (0.1, 40, 0.2)
+
+
+def test_literal_tenants_leave_no_nested_loops(spark, sf_dir):
+    """Neither the vector table nor anything else is compared by a nested loop."""
+    from suite import REGISTRY
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", threshold):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            for name in ("vector_top_k", "vector_column_roll_up", "vector_top_k_filtered"):
+                plan = REGISTRY[name].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+                assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
