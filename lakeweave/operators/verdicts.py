@@ -113,10 +113,10 @@ def pair_prompts(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
         return F.struct(*fields).alias(side)
 
     scores = F.struct(
-        F.round("sim_name", 4).alias("name_similarity"),
-        F.round("sim_type", 4).alias("type_similarity"),
-        F.when(has("statistics"), F.round("sim_stat", 4)).alias("statistics_similarity"),
-        F.when(has("statistics"), F.round("m_score", 4)).alias("mixed_score"),
+        F.round(F.round("sim_name", 9), 4).alias("name_similarity"),
+        F.round(F.round("sim_type", 9), 4).alias("type_similarity"),
+        F.when(has("statistics"), F.round(F.round("sim_stat", 9), 4)).alias("statistics_similarity"),
+        F.when(has("statistics"), F.round(F.round("m_score", 9), 4)).alias("mixed_score"),
     )
     evidence = F.create_map(*[x for k, v in _EVIDENCE.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
     return (
@@ -260,7 +260,11 @@ def containment(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """
     return pairs.sparkSession.sql(
         """
-        WITH sizes AS (SELECT table_id, ordinal, count(*) AS n FROM {values} GROUP BY table_id, ordinal),
+        WITH named AS (
+          SELECT query_id AS table_id, src_idx AS ordinal FROM {pairs} UNION SELECT table_id, tgt_idx FROM {pairs}),
+        sizes AS (
+          SELECT table_id, ordinal, count(*) AS n FROM {values} LEFT SEMI JOIN named USING (table_id, ordinal)
+          GROUP BY table_id, ordinal),
         wanted AS (
           SELECT p.query_id, p.src_idx, p.table_id, p.tgt_idx, v.value
           FROM {pairs} p JOIN {values} v ON v.table_id = p.query_id AND v.ordinal = p.src_idx),
@@ -277,24 +281,27 @@ def containment(pairs: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-def judge_joins(c2: DataFrame, profiles: DataFrame, values: DataFrame) -> DataFrame:
-    """``query_id, table_id, s3``: the best containment over similarly named columns."""
+def judge_joins(c2: DataFrame, features: DataFrame, values: DataFrame) -> DataFrame:
+    """``query_id, table_id, s3``: the best containment over similarly named columns.
+
+    ``features`` comes from ``matching.column_features``.
+    """
     best = (
-        containment(joinable_columns(c2, matching.column_features(profiles)), values)
+        containment(joinable_columns(c2, features), values)
         .groupBy("query_id", "table_id")
         .agg(F.max("containment").alias("s3"))
     )
     return c2.select("query_id", "table_id").join(best, ["query_id", "table_id"], "left").na.fill(0.0, ["s3"])
 
 
-def judge_unions(c2: DataFrame, profiles: DataFrame, scenario: str = "SLD") -> DataFrame:
+def judge_unions(c2: DataFrame, features: DataFrame, scenario: str = "SLD") -> DataFrame:
     """``query_id, table_id, s3``: the share of query columns with a candidate counterpart."""
     pairs = c2.selectExpr(
         "query_id AS source_table_id", "table_id AS target_table_id", f"'{scenario}' AS scenario"
     )
-    scored = matching.pair_scores(pairs, matching.column_features(profiles))
+    scored = matching.pair_scores(pairs, features)
     found = scored.groupBy(*matching.PAIR).agg(F.count_distinct("src_idx").alias("n_found"))
-    widths = profiles.groupBy("table_id").agg(F.count("*").alias("n_cols"))
+    widths = features.select("table_id", F.size("columns").alias("n_cols"))
     return (
         c2.selectExpr("query_id", "table_id", "query_id AS source_table_id", "table_id AS target_table_id")
         .join(found, matching.PAIR, "left")

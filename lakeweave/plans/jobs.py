@@ -36,8 +36,8 @@ def built_in_judge(store: ProfileStore) -> Callable[[DataFrame, DataFrame], Data
 
     def judge(queries: DataFrame, c2: DataFrame) -> DataFrame:
         tasks = c2.join(queries.select("query_id", "subtask"), "query_id")
-        joins = verdicts.judge_joins(tasks.filter("subtask = 'JOIN'"), store.profiles, store.values)
-        unions = verdicts.judge_unions(tasks.filter("subtask = 'UNION'"), store.profiles)
+        joins = verdicts.judge_joins(tasks.filter("subtask = 'JOIN'"), store.features, store.values)
+        unions = verdicts.judge_unions(tasks.filter("subtask = 'UNION'"), store.features)
         return joins.unionByName(unions)
 
     return judge
@@ -84,7 +84,7 @@ def verified_pairs(
         "table_id", "target_table_id"
     )
     table_pairs = pairs.select(*matching.PAIR).distinct().join(scenario, "target_table_id")
-    scored = matching.pair_scores(table_pairs, matching.column_features(store.profiles))
+    scored = matching.pair_scores(table_pairs, store.features)
     return judge(matching.top_targets(scored))
 
 

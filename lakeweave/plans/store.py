@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.operators import profile, terms, vectors
+from lakeweave.operators import matching, profile, terms, vectors
 from lakeweave.session import materialize
 from lakeweave.sources import lake as L
 
@@ -19,7 +19,8 @@ class ProfileStore:
 
     ``tables``: catalog, texts, types and status. ``profiles``: one row per column.
     ``values``: different values per column as text, with counts. ``terms`` and
-    ``vectors``: sparse and dense unit vectors per table.
+    ``vectors``: sparse and dense unit vectors per table. ``features``: what matching needs of
+    the columns of a table, one row each.
     """
 
     tables: DataFrame
@@ -27,6 +28,7 @@ class ProfileStore:
     values: DataFrame
     terms: DataFrame
     vectors: DataFrame
+    features: DataFrame
 
 
 def column_values(counts: profile.ValueCounts) -> DataFrame:
@@ -70,4 +72,5 @@ def build_store(
         values=column_values(counts),
         terms=unit,
         vectors=stored,
+        features=keep(matching.column_features(profiles), "features"),
     )

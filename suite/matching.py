@@ -413,3 +413,32 @@ def match_one_to_one(spark, sf_dir):
         "source_table_id", "target_table_id", "source_column", "target_column", "scenario",
         "round(confidence, 6) AS confidence",
     )
+
+
+@query(
+    "match_one_to_one_total",
+    f"""WITH RECURSIVE {SQL_BASE_PAIRS},
+    maps AS (
+      SELECT source_table_id, target_table_id, src_idx, tgt_idx,
+             greatest(0, least(1, (m_score - {P.THETA_CAND}) / (1 - {P.THETA_CAND}))) AS confidence
+      FROM scores WHERE round(m_score, 9) >= {P.THETA_CAND}
+      QUALIFY row_number() OVER (PARTITION BY source_table_id, target_table_id, src_idx ORDER BY round(m_score, 9) DESC, tgt_idx) <= {P.TARGETS_PER_SOURCE}),
+    edges AS (
+      SELECT *, dense_rank() OVER (PARTITION BY source_table_id, target_table_id ORDER BY src_idx) AS i
+      FROM maps WHERE round(confidence, 9) >= {P.THETA_MATCH}),
+    choices AS (
+      SELECT source_table_id, target_table_id, i, CAST(1 AS BIGINT) << CAST(tgt_idx AS BIGINT) AS bit, CAST(confidence AS DOUBLE) AS gain FROM edges
+      UNION ALL SELECT DISTINCT source_table_id, target_table_id, i, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM edges),
+    plans(source_table_id, target_table_id, i, taken, total) AS (
+      SELECT DISTINCT source_table_id, target_table_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM edges
+      UNION ALL
+      SELECT p.source_table_id, p.target_table_id, c.i, p.taken | c.bit, p.total + c.gain
+      FROM plans p JOIN choices c ON c.source_table_id = p.source_table_id AND c.target_table_id = p.target_table_id
+        AND c.i = p.i + 1 AND (p.taken & c.bit) = 0)
+    SELECT source_table_id, target_table_id, round(max(total), 6) AS total FROM plans GROUP BY ALL""",
+)
+def match_one_to_one_total(spark, sf_dir):
+    """The greatest total confidence of a one-to-one assignment per table pair, which SQL finds by trying all."""
+    store = C.base_store(spark, sf_dir)
+    maps = jobs.match(_same_tenant_pairs(store), store)
+    return maps.groupBy(*matching.PAIR).agg(F.round(F.sum("confidence"), 6).alias("total"))

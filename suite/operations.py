@@ -422,14 +422,32 @@ def table_prompts(spark, sf_dir):
     return prompts.selectExpr("query_id", "bigint(batch_no) AS batch_no", "md5(request) AS request_md5")
 
 
-@query("pair_prompts")
+@query(
+    "pair_prompts",
+    f"""WITH RECURSIVE {M.SQL_BASE_PAIRS}
+    SELECT source_table_id, target_table_id, scenario, source_column AS source_name, target_column AS target_name,
+           round(round(sim_name::DOUBLE, 9), 4) AS name_similarity, round(round(sim_type::DOUBLE, 9), 4) AS type_similarity,
+           CASE WHEN scenario = 'SLD' THEN round(round(m_score::DOUBLE, 9), 4) END AS mixed_score, scenario <> 'SMD' AS has_samples
+    FROM scores WHERE round(m_score, 9) >= {P.THETA_CAND}
+    QUALIFY row_number() OVER (PARTITION BY source_table_id, target_table_id, src_idx ORDER BY round(m_score, 9) DESC, tgt_idx) = 1""",
+)
 def pair_prompts(spark, sf_dir):
-    """Request texts for the best column pairs of the given tables; statistics print differently in SQL."""
+    """What the requests for the best column pairs of the given tables say, read back from their JSON."""
     store = C.base_store(spark, sf_dir)
     pairs = M._with_scenario(store, M._same_tenant_pairs(store))
-    scored = M.matching.pair_scores(pairs, M.matching.column_features(store.profiles))
-    return verdicts.pair_prompts(M.matching.top_targets(scored, 1), store.profiles).select(
-        *M.matching.PAIR, "source_column", "target_column", "prompt"
+    best = M.matching.top_targets(M.matching.pair_scores(pairs, store.features), 1)
+    prompts = verdicts.pair_prompts(best, store.profiles)
+
+    def said(path, kind="double"):
+        return f"cast(get_json_object(prompt, '$.{path}') AS {kind})"
+
+    return prompts.selectExpr(
+        *M.matching.PAIR,
+        f"{said('scenario', 'string')} AS scenario",
+        f"{said('source.name', 'string')} AS source_name",
+        f"{said('target.name', 'string')} AS target_name",
+        *[f"{said('scores.' + n)} AS {n}" for n in ("name_similarity", "type_similarity", "mixed_score")],
+        f"{said('source.samples', 'string')} IS NOT NULL AS has_samples",
     )
 
 
