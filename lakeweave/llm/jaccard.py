@@ -40,7 +40,7 @@ POPULAR = 8
 # Sets per block of a connected group; a task holds two blocks.
 BLOCK = 512
 TEXTS = 128
-MEMORY_CLASSES = 200_000
+MEMORY_CLASSES = 100_000
 
 
 def classes_of(texts: DataFrame) -> DataFrame:

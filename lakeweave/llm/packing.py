@@ -78,7 +78,7 @@ def _encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    own = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # seldom needed and large
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -88,7 +88,7 @@ def _encoder(path: str):
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            own.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
+            own().encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
             for t in texts
         ]
 

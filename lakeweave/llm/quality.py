@@ -28,8 +28,8 @@ MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
-MEMORY_WORDS = 300_000
-CHUNK_WORDS = 400_000
+MEMORY_WORDS = 100_000
+CHUNK_WORDS = 100_000
 
 # Rejection bands: characters per token from, to; most byte tokens per token; least entropy in bits of a
 # text's tokens, as a share of the entropy that as many different tokens would have.

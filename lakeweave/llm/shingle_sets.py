@@ -18,7 +18,7 @@ import xxhash
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8 or more
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 100_000
 # Size bands of the index begin at these ratios; a set near a border belongs to both bands.
 BAND_RATIO = 1.6
 # Sets smaller than this are indexed by one-deletion neighbourhoods, as few words leave weak segments.
