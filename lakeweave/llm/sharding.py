@@ -28,14 +28,16 @@ BITS = 60
 AHEAD = 6
 
 
-def hashed_rows(documents: DataFrame) -> DataFrame:
-    """``doc_id, bytes, hi, lo``: size and hash bits of every row, written once."""
-    base = documents.select(documents["doc_id"].cast("long").alias("doc_id"), text_of(documents).alias("text"))
+def hashed_rows(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, bytes, hi, lo``: size and hash bits of every row, written once; ``whole`` adds ``row``."""
+    row = [F.struct("*").alias("row")] if whole else []
+    base = documents.select(documents["doc_id"].cast("long").alias("doc_id"), text_of(documents).alias("text"), *row)
+    row = ["row"] if whole else []
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text")))
     number = F.md5(F.monotonically_increasing_id().cast("string"))
     bits = lambda c: F.conv(F.substring(c, 1, BITS // 4), 16, 10).cast("long")
     return materialize(
-        base.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), bits(digest).alias("hi"), bits(number).alias("lo")),
+        base.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), bits(digest).alias("hi"), bits(number).alias("lo"), *row),
         "hashes",
     )
 
@@ -100,7 +102,17 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
 def shard(documents: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, bytes, depth, prefix, shard_bytes, shard_docs`` per row; ``prefix`` is the shard's bits."""
-    rows = hashed_rows(documents)
+    return _placed(hashed_rows(documents), limit)
+
+
+def write(documents: DataFrame, folder: str, limit: int = SHARD_BYTES) -> None:
+    """Writes the documents, with all their columns, as one folder ``_shard=b<prefix>`` per shard."""
+    placed = _placed(hashed_rows(documents, whole=True), limit, ["row"])
+    named = placed.select(F.concat(F.lit("b"), "prefix").alias("_shard"), "row.*")
+    named.repartition("_shard").write.mode("overwrite").partitionBy("_shard").parquet(folder)
+
+
+def _placed(rows: DataFrame, limit: int, keep: list[str] | None = None) -> DataFrame:
     shards = directory(rows, limit)
     depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]  # 121 at most
     # A row's shard is the one whose depth and leading bits it has: one probe per depth in use.
@@ -113,5 +125,6 @@ def shard(documents: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     )
     bits = F.concat(F.lpad(F.bin("hi"), BITS, "0"), F.lpad(F.bin("lo"), BITS, "0"))
     return found.select(
-        "doc_id", "bytes", "depth", F.substring(bits, F.lit(1), F.col("depth")).alias("prefix"), "shard_bytes", "shard_docs"
+        "doc_id", "bytes", "depth", F.substring(bits, F.lit(1), F.col("depth")).alias("prefix"), "shard_bytes", "shard_docs",
+        *(keep or []),
     )

@@ -120,6 +120,15 @@ def test_shards(spark, documents, texts, empty):
     assert sharding.shard(empty, limit).count() == 0
 
 
+def test_written_shards(spark, documents, texts, tmp_path):
+    sharding.write(documents, str(tmp_path / "s"), 50_000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(back.columns) == sorted([*documents.columns, "_shard"])
+    assert Counter(map(tuple, back.select("doc_id", "text", "rk").collect())) == Counter((i, t, "x") for i, t in texts)
+    sizes = back.groupBy("_shard").agg({"text": "count", "n_chars": "sum"}).collect()
+    assert len(sizes) > 1
+
+
 @pytest.mark.parametrize("window", [64, 2048])
 def test_packing(documents, texts, empty, window):
     from tokenizers import Tokenizer
