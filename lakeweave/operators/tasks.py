@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,31 @@ def ranking_rows(ranking: DataFrame) -> DataFrame:
     )
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("task_id").parquet(path)
+RESULT_BUCKETS = 16
+
+
+def _bucket(task_id: Column) -> Column:
+    return F.pmod(F.xxhash64(task_id), F.lit(RESULT_BUCKETS)).cast("int")
+
+
+def write_results(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes rankings, mappings or scored pairs of a batch of tasks.
+
+    A batch has a folder of its own, so one that is replayed leaves one copy. Tasks share
+    buckets, so their number doesn't become a number of folders.
+    """
+    rows.withColumn("bucket", _bucket(F.col("task_id"))).write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{path}/batch={batch}"
+    )
+
+
+def read_results(spark: SparkSession, path: str, task_id=None) -> DataFrame:
+    """All written rows, or those of one task from its bucket alone."""
+    rows = spark.read.parquet(path)
+    if task_id is not None:
+        wanted = F.lit(task_id).cast(rows.schema["task_id"].dataType)
+        rows = rows.filter((F.col("bucket") == _bucket(wanted)) & (F.col("task_id") == wanted))
+    return rows.drop("bucket", "batch")
 
 
 def finish(tasks: DataFrame, ranking: DataFrame, mappings: DataFrame, failures: DataFrame) -> DataFrame:

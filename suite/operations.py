@@ -609,6 +609,19 @@ def task_details(spark, sf_dir):
     ).selectExpr("task_id", "task_type", "nullif(ranked, '') AS ranked", "nullif(mapped, '') AS mapped", "s1")
 
 
+@query(
+    "result_sink",
+    f"""WITH {SQL_TASKS} SELECT task_id, rank, table_id AS candidate_table, round(score, 9) AS score FROM ranking""",
+)
+def result_sink(spark, sf_dir):
+    """Rankings written in two batches, one of them replayed, and read back."""
+    _, ranking, _ = task_frames(spark, sf_dir)
+    path = work_dir(spark, "results")
+    for batch in (0, 1, 1):
+        tasks.write_results(ranking.filter(F.pmod(F.xxhash64("task_id"), F.lit(2)) == batch), path, batch)
+    return tasks.read_results(spark, path).selectExpr("task_id", "bigint(rank) AS rank", "candidate_table", "round(score, 9) AS score")
+
+
 @query(
     "graph_nodes",
     f"""WITH {SQL_TASKS},
