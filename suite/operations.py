@@ -342,6 +342,50 @@ def verdict_rejects(spark, sf_dir):
     return rejects.select("query_id")
 
 
+@query(
+    "verdict_resolve",
+    f"""WITH {SQL_RESPONSES}
+    SELECT conv_id AS query_id, 't' || turn AS table_id, round(length(text) / 1000, 6) AS s3
+    FROM conversations JOIN answers USING (conv_id) WHERE NOT plain AND in_range""",
+)
+def verdict_resolve(spark, sf_dir):
+    """Numbers within a request back to the tables they stand for."""
+    scores, _ = verdicts.parse_table_verdicts(responses(spark, sf_dir))
+    batches = C.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id AS query_id", "0 AS batch_no", "int(turn + 1) AS candidate_idx", "concat('t', turn) AS table_id"
+    )
+    found = verdicts.resolve_verdicts(batches, scores)
+    return found.selectExpr("query_id", "table_id", "round(s3, 6) AS s3")
+
+
+@query(
+    "verdict_scorer",
+    """SELECT doc_id, CASE WHEN length(text) % 7 = 0 THEN 0 ELSE round(least(1, length(text) / 40000), 6) END AS confidence,
+      length(text) % 7 <> 0 AND length(text) % 2 = 0 AS is_equivalent FROM documents""",
+)
+def verdict_scorer(spark, sf_dir):
+    """A scorer of the user's own over all documents; every seventh length fails and counts as no match."""
+
+    def load():
+        import json
+
+        def ask(prompts):
+            return [
+                None if len(p) % 7 == 0
+                else json.dumps({"reasoning": "length", "score": min(1.0, len(p) / 40000), "is_equivalent": len(p) % 2 == 0})
+                for p in prompts
+            ]
+
+        return ask
+
+    asked = C.table(spark, sf_dir, "documents").selectExpr("doc_id AS source_col_id", "doc_id AS target_col_id", "text AS prompt")
+    raw = verdicts.run_scorer(asked, load, ["source_col_id", "target_col_id"], "prompt")
+    good, _ = verdicts.parse_pair_verdicts(raw)
+    return verdicts.attach_pair_verdicts(asked, good).selectExpr(
+        "source_col_id AS doc_id", "round(confidence, 6) AS confidence", "is_equivalent"
+    )
+
+
 @query(
     "pair_verdict_parse",
     """SELECT doc_id, CASE WHEN n_chars / 1000 <= 1 AND length(lang || text) <= 300 THEN round(n_chars / 1000, 6) ELSE 0 END AS confidence,

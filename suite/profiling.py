@@ -371,3 +371,17 @@ def profile_round_trip(spark, sf_dir):
         F.round("numeric_stats.mean", 3).alias("mean"),
         F.size("top_k").cast("long").alias("n_top"),
     )
+
+
+@query(
+    "profile_documents",
+    f"""WITH {C.SQL_COLUMNS}, {SQL_VALUES}, sizes AS ({SQL_ROW_COUNTS})
+    SELECT table_id, string_agg(col_name || ':' || col_type || ':' || round(1 - n_values / row_count, 6), ',' ORDER BY ordinal) AS columns
+    FROM cols JOIN vals USING (table_id, ordinal) JOIN sizes USING (table_id) GROUP BY table_id""",
+)
+def profile_documents(spark, sf_dir):
+    """Every table's profile as one document with its columns nested in order."""
+    store = C.base_store(spark, sf_dir)
+    whole = profile.assemble(store.tables.select("table_id"), store.profiles)
+    one = "concat_ws(':', c.col_name, c.col_type, string(round(double(c.null_ratio), 6)))"
+    return whole.selectExpr("table_id", f"concat_ws(',', transform(columns, c -> {one})) AS columns")
