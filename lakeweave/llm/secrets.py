@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm import spans as S
-from lakeweave.llm.common import identified, within
+from lakeweave.llm.common import exploded, identified, within
 
 # Documents per block of the index; a posting list has this many entries on average at most.
 BLOCK_ROWS = 256
@@ -164,11 +164,10 @@ def postings(texts: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
     """
     low = texts.select("rk", F.lower("text").alias("low"))
     hits = low.select(
-        "rk", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("t")
+        "rk", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("ts")
     )
     lists = (
-        hits.where(F.size("t") > 0)
-        .select(F.pmod("rk", F.lit(blocks)).alias("block"), "rk", F.explode("t").alias("t"))
+        exploded(hits.select("*", F.pmod("rk", F.lit(blocks)).alias("block")), ["block", "rk"], "ts", "t")
         .repartition("block")
         .groupBy("block", "t")
         .agg(F.collect_set("rk").alias("keys"))
@@ -204,7 +203,8 @@ def candidates(texts: DataFrame, rules, blocks: int) -> DataFrame:
     def found(kind: str) -> Column:
         return F.transform(_evaluate(queries[kind]), lambda k: F.struct(k.alias("rk"), F.lit(kind).alias("kind")))
 
-    pairs = index.select("block", F.explode(F.flatten(F.array(*[found(kind) for kind in queries]))).alias("x"))
+    lists = index.select("block", F.flatten(F.array(*[found(kind) for kind in queries])).alias("xs"))
+    pairs = exploded(lists, ["block"], "xs", "x")
     return pairs.groupBy("block", F.col("x.rk").alias("rk")).agg(F.collect_set("x.kind").alias("kinds")).drop("block")
 
 
