@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import within
+from lakeweave.llm.common import bounded_batches, within
 from lakeweave.llm.quality import SPACES, SYMBOLS, _Numbered, repeated
 from lakeweave.session import materialize
 
@@ -139,7 +139,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_R
                 x = statistics(part["text"].tolist())
                 yield pd.DataFrame({"fold": part["fold"].to_numpy(), "y": part["y"].to_numpy(), "x": list(x)})
 
-    return materialize(joined.mapInPandas(run, "fold int, y double, x array<double>"), "statistics")
+    return materialize(bounded_batches(joined).mapInPandas(run, "fold int, y double, x array<double>"), "statistics")
 
 
 def _summed(rows: DataFrame, part) -> dict[int, np.ndarray]:
@@ -223,7 +223,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": model.score(statistics(part["text"].tolist()))})
 
     texts = documents.select(documents["doc_id"].cast("string").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return bounded_batches(texts).mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def judge(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

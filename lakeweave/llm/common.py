@@ -20,6 +20,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rows that a broadcast side may have, counted before the hint is given. Beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 SHINGLE = 5
+# Bytes of a batch that goes to Python, where the session doesn't set a bound of its own.
+BATCH_BYTES = "8m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches for Python are bounded by bytes and not by rows alone."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from lakeweave.llm import shingle_sets as S
 from lakeweave.llm import spans
-from lakeweave.llm.common import identified, within
+from lakeweave.llm.common import bounded_batches, identified, within
 from lakeweave.llm.graph import components
 from lakeweave.session import materialize
 
@@ -262,7 +262,7 @@ def linked(documents: DataFrame) -> DataFrame:
 
     ``component`` is a key that is there without ids too, and null where there are no shingles.
     """
-    texts = identified(documents)
+    texts = identified(bounded_batches(documents))
     rows = materialize(classes_of(texts), "classes")
     classes = materialize(
         rows.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("rk").alias("rk")),

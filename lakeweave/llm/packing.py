@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lakeweave.llm.common import BROADCAST_ROWS
+from lakeweave.llm.common import BROADCAST_ROWS, bounded_batches
 from lakeweave.session import materialize
 
 WINDOW = 2048
@@ -132,7 +132,7 @@ def encoded(documents: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "task", "n", "rest", "nth", "nth_window", "ids"])
 
     texts = documents.select(documents["doc_id"].cast("string").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    return texts.mapInPandas(run, _TOKENS)
+    return bounded_batches(texts).mapInPandas(run, _TOKENS)
 
 
 # -- the plan -----------------------------------------------------------------------------------

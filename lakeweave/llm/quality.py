@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import bounded_batches
+
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
@@ -235,7 +237,7 @@ def measured(documents: DataFrame, path: str | None = None) -> DataFrame:
     def metrics(texts: pd.Series) -> pd.DataFrame:
         return measure(texts, path)
 
-    rows = documents.select(F.struct("*").alias("row"), documents["text"].cast("string").alias("text"))
+    rows = bounded_batches(documents).select(F.struct("*").alias("row"), documents["text"].cast("string").alias("text"))
     return rows.select("row", metrics("text").alias("m"))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import LOWER, UPPER
+from lakeweave.llm.common import LOWER, UPPER, bounded_batches
 
 MAX_BYTES = 64 * 1024 * 1024
 _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -155,7 +155,7 @@ def judge(pages: DataFrame, rules: DataFrame, max_bytes: int = MAX_BYTES) -> Dat
     """``page_id, host, path, rule, verdict`` per page."""
     spark = pages.sparkSession
     url = pages["url"].cast("string")
-    out = pages.select(
+    out = bounded_batches(pages).select(
         pages["page_id"].cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"),
         F.lit(None).cast("string").alias("rule"), F.lit(0).alias("cut"), F.lit(False).alias("blocks"),
     )
