@@ -82,9 +82,17 @@ def fit(cells: np.ndarray, rows: np.ndarray, positive: np.ndarray, rounds: int =
 
 
 def threshold(margin: np.ndarray, rows: np.ndarray, positive: np.ndarray, precision: float) -> float:
-    """The smallest margin from which on the held-out rows reach the precision; infinite if none does."""
-    order = np.argsort(-margin, kind="stable")
-    m, n, y = margin[order], np.cumsum(rows[order]), np.cumsum(positive[order])
-    last = np.append(m[1:] != m[:-1], True) if len(m) else np.zeros(0, bool)
-    good = last & (n > 0) & (y >= precision * n)
-    return float(m[good].min()) if good.any() else float("inf")
+    """The smallest margin at which the rows of that score reach the precision; infinite if none does.
+
+    Rows of higher scores don't vouch for those of lower ones: a score counts by its own rows, and only
+    neighbours whose shares contradict the order are pooled (isotonic regression).
+    """
+    blocks: list[list[float]] = []  # smallest margin, rows, positive rows
+    for m in np.unique(margin[rows > 0]):
+        at = margin == m
+        blocks.append([float(m), float(rows[at].sum()), float(positive[at].sum())])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
+            _, n, y = blocks.pop()
+            blocks[-1][1] += n
+            blocks[-1][2] += y
+    return next((m for m, n, y in blocks if y >= precision * n), float("inf"))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
-from lakeweave.llm import pii, secrets
+from lakeweave.llm import boosting, pii, secrets
 
 
 def test_trigram_queries():
@@ -72,6 +72,33 @@ def test_trees_find_more_where_the_data_show_it(spark):
     assert model.trees and limits[3] < float("inf")
 
 
+@pytest.mark.parametrize("share", [1, 30])
+def test_other_ways_of_writing_at_any_share(spark, share):
+    written = ("user{0} at example{0} dot com", "user{0} (at) host{0} (dot) org", "a.user{0} [at] host{0}.net")
+    rows, want = [], {}
+    for i in range(600):
+        odd = i % 100 < share
+        mail = written[i % 3].format(i) if odd else f"user{i}@example{i}.com"
+        ip = f"2001:db8:0:0:0:0:{i:x}:1" if odd else f"10.0.{i % 256}.7"
+        wrong = f"10.0.{i}.{300 + i}"
+        device = "00:1b:44:11:3a:b7:00:" + f"{i % 90 + 10}"
+        text = f"mail {mail}. We wait. server {ip} is up, version {wrong} is not, nor {device} at the door"
+        rows.append((i, text))
+        want[i] = {("email", mail), ("ip", ip)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: {(x.kind, texts[r.doc_id][x.s : x.e]) for x in r.spans} for r in pii.scan(frame).collect()}
+    assert got == want
+
+
+def test_a_score_counts_by_its_own_rows():
+    import numpy as np
+
+    margin, rows = np.array([2.0, 1.0]), np.array([1000.0, 20.0])
+    assert boosting.threshold(margin, rows, np.array([1000.0, 0.0]), 0.95) == 2.0
+    assert boosting.threshold(margin, rows, np.array([0.0, 0.0]), 0.95) == float("inf")
+
+
 @pytest.mark.parametrize("scan", [secrets.scan, pii.scan])
 def test_empty(empty, scan):
     assert scan(empty).count() == 0
