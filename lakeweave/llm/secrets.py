@@ -52,6 +52,16 @@ BASE_RULES = (
     # Shorter runs are dropped anyway and hide no longer one, so the bound may stand in the expression.
     Rule("hex", r"[0-9a-f]{24,}", base=True),
 )
+# A private key goes to its END line, or else over its header lines and its lines of base64; line ends may be
+# written as \n and lines may be quoted. Possessive repeats keep the engine from retrying and from recursion.
+_BREAK = r"(?:\\[nr]|[\r\n])(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*+"
+PEM = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:"
+    r"[^-]*+(?:-(?!----)[^-]*+)*+-{5,}+END [A-Z ]{0,24}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
+    r"(?:(?:(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*+[A-Za-z0-9+/]{20,}+=*+)++"
+    rf"(?:{_BREAK}[A-Za-z0-9+/]++=*+(?=[\x20\x09\"',]*+(?:[\r\n\\]|$)))?+)?+)"
+)
 # Published formats of tokens and keys.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -59,8 +69,8 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
-    Rule("login_url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D:/@]{1,64}:[^\x20\x09-\x0D/@]{1,64}@"),
+    Rule("pem", PEM),
+    Rule("login_url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D:/@]++:[^\x20\x09-\x0D/@]++@"),
     Rule("bearer", r"[Bb]earer\x20{1,4}[A-Za-z0-9._~+/-]{20,}"),
 )
 RULES = BASE_RULES + MORE_RULES
