@@ -8,11 +8,12 @@ read as splits unless a quoted cell of it goes over several lines.
 from __future__ import annotations
 
 import csv
-import io
 from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,15 +154,35 @@ def inferred_type() -> Column:
 
 
 def nano_columns(spark: SparkSession, path: str) -> set[str]:
-    """Columns of a parquet file that hold times in nanoseconds, which Spark reads as numbers."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+    """Columns of a parquet file that hold times in nanoseconds, which Spark reads as numbers.
 
-    file = spark.read.format("binaryFile").load(_escaped([path]))
-    size = int.from_bytes(file.select(F.expr("substring(content, -8, 8)")).first()[0][:4], "little") + 8
-    footer = file.select(F.expr(f"substring(content, greatest(1, length - {size} + 1), {size})")).first()[0]
-    schema = pq.read_schema(io.BytesIO(b"PAR1" + bytes(footer)))
-    return {f.name for f in schema if pa.types.is_timestamp(f.type) and f.type.unit == "ns"}
+    Only the footer is read, without what it says of row groups.
+    """
+    jvm = spark.sparkContext._jvm
+    every = jvm.org.apache.parquet.format.converter.ParquetMetadataConverter.SKIP_ROW_GROUPS
+    footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(
+        spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(path), every
+    )
+    kinds = {f.getName(): f.getLogicalTypeAnnotation() for f in footer.getFileMetaData().getSchema().getFields()}
+    return {name for name, kind in kinds.items() if kind is not None and kind.toString().startswith("TIMESTAMP(NANOS")}
+
+
+def format_error(error: Exception) -> bool:
+    """Whether an error says that a parquet file is broken or holds what Spark cannot read.
+
+    Anything else (storage, memory, a lost executor) says nothing of the file.
+    """
+    if isinstance(error, AnalysisException):
+        return error.getCondition() != "PATH_NOT_FOUND"
+    cause = error.java_exception if isinstance(error, Py4JJavaError) else None
+    if cause is None:
+        return False
+    while cause.getCause() is not None:
+        cause = cause.getCause()
+    name, text = cause.getClass().getName(), cause.getMessage() or ""
+    if name == "java.lang.RuntimeException":
+        return "is not a Parquet file" in text or text.startswith("corrupted file")
+    return name.startswith(("shaded.parquet.org.apache.thrift.", "org.apache.parquet.", "org.apache.spark.sql.AnalysisException"))
 
 
 def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -195,11 +216,12 @@ def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFra
 
     def schema_of(path: str):
         try:
-            schema = spark.read.parquet(*_escaped([path])).schema
-            nanos = nano_columns(spark, path) if any(isinstance(f.dataType, T.LongType) for f in schema) else set()
-            return path, schema, nanos, None
-        except Exception as e:  # a broken footer is an error of this file alone
-            return path, None, set(), str(e)
+            nanos = nano_columns(spark, path)
+            return path, spark.read.parquet(*_escaped([path])).schema, nanos, None
+        except Exception as e:
+            if not format_error(e):
+                raise
+            return path, None, set(), str(e)  # a broken footer is an error of this file alone
 
     nanos_as_long = spark.conf.get(NANOS, "false")
     spark.conf.set(NANOS, "true")

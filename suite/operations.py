@@ -772,6 +772,26 @@ def bulk_ingest(spark, sf_dir):
     return tables.join(mean, "table_id").select(part.alias("part"), "row_count", "col_count", "status", "mean")
 
 
+@query(
+    "bulk_ingest_parquet",
+    """WITH t AS (SELECT c_mktsegment AS part, count(*) AS row_count, sum(c_custkey) AS keys FROM customer GROUP BY ALL)
+    SELECT part, CAST(sum(row_count) AS BIGINT) AS row_count, CAST(4 AS BIGINT) AS col_count, CAST(sum(keys) AS DOUBLE) AS keys FROM t GROUP BY ALL""",
+)
+def bulk_ingest_parquet(spark, sf_dir):
+    """Customers as parquet files in a folder per market segment, each file a table; counts and keys per folder."""
+    path = work_dir(spark, "bulk-parquet")
+    customers = C.table(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    customers.write.partitionBy("c_mktsegment").parquet(path)
+    tables, columns, cells = files.bulk_ingest(spark, path, "default", F.expr(NOW), pattern="*.parquet")
+    keys = columns.filter("col_name = 'c_custkey'").select("table_id", "ordinal")
+    total = cells.whole.join(keys, profile.KEY).groupBy("table_id").agg(F.sum("value").alias("keys"))
+    part = F.regexp_extract("source_uri", "c_mktsegment=([^/]*)", 1)
+    read = tables.filter("status = 'INGESTED'").join(total, "table_id")
+    return read.groupBy(part.alias("part")).agg(
+        F.sum("row_count").alias("row_count"), F.max("col_count").alias("col_count"), F.sum("keys").cast("double").alias("keys")
+    )
+
+
 @query(
     "clean_pairs",
     f"""WITH {C.SQL_COLUMNS}, sizes AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_id, count(*) AS row_count FROM {t}" for t in C.TABLES)}),

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lakeweave.operators import profile, registry, tasks
@@ -75,6 +76,34 @@ def test_lines_identify_a_file_beyond_one_value(spark, tmp_path, monkeypatch):
     assert len(got) == 3 and got["a.csv"] == got["b.csv"] != got["c.csv"]
 
 
+def test_parquet_footers_are_read_without_the_content(spark, tmp_path):
+    import pandas as pd
+
+    times = pd.to_datetime(["2024-01-01", "2024-01-02"]).astype("datetime64[ns]")
+    pd.DataFrame({"id": [1, 2], "t": times}).to_parquet(tmp_path / "p.parquet")
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 no footer")
+    (tmp_path / "short.parquet").write_bytes(b"PA")
+    (tmp_path / "thrift.parquet").write_bytes(b"PAR1" + b"\xff" * 50 + (50).to_bytes(4, "little") + b"PAR1")
+    listed = folder.listing(spark, str(tmp_path))
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1")  # as files of more than 2 GB: their content is no single value
+    try:
+        columns, cells, errors = folder.read_folder(listed)
+        got = {(r.col_name, r.col_type) for r in columns.collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert got == {("id", "int"), ("t", "date")}
+    failed = {r.path.rsplit("/", 1)[-1] for r in errors.collect()}
+    assert failed == {"broken.parquet", "short.parquet", "thrift.parquet"}
+
+
+def test_other_errors_are_not_the_files(spark, tmp_path):
+    spark.range(3).toPandas().to_parquet(tmp_path / "p.parquet")
+    listed = spark.createDataFrame([(f"file:{tmp_path}/gone.parquet", 10)], folder.LISTING)
+    with pytest.raises(Exception, match="gone.parquet"):
+        folder.read_folder(listed)
+
+
 def test_file_hashes(spark, tmp_path):
     import hashlib
 
