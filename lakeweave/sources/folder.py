@@ -14,16 +14,16 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave.functions import types
-from lakeweave.session import work_dir
+from lakeweave.session import materialize, work_dir
 
 BOM = "﻿"
-# The most bytes that one value can hold; files beyond it are identified by their lines instead.
-WHOLE_FILE = 2**31 - 2**16
+# The most bytes of a file that are hashed as one value; larger ones are hashed by their lines, in splits.
+WHOLE_FILE = 2**26
 # Cells that mean a missing value.
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A")
 NANOS = "spark.sql.legacy.parquet.nanosAsLong"
@@ -63,10 +63,35 @@ def _escaped(paths: list[str]) -> list[str]:
     return [p.translate(special) for p in paths]
 
 
+def line_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, s``: what the bytes of each file are, from its lines and their numbers.
+
+    Only a line feed ends a line, so other line ends stay part of it. The first pass counts the lines of every
+    split, which gives the number of a split's first line; so the result doesn't depend on the splits.
+    """
+    lines = spark.read.option("lineSep", "\n").text(_escaped(paths)).select(
+        source_path().alias("path"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    splits = lines.groupBy("path", "at").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = materialize(starts, "splits")
+    number = F.col("place") - F.col("first") + F.col("start")
+    hashed = lines.join(starts, ["path", "at"]).select(
+        "path", F.xxhash64(number, "line").alias("a"), F.xxhash64("line", number, F.lit(1)).alias("b")
+    )
+    total = [F.sum(F.col(c).cast("decimal(38,0)")) for c in ("a", "b")]
+    return hashed.groupBy("path").agg(F.concat_ws(":", F.count("*"), *total, F.bit_xor("a"), F.bit_xor("b")).alias("s"))
+
+
 def content_hashes(listed: DataFrame) -> DataFrame:
     """``path, length, content_hash``: the SHA-256 of a file's bytes, shortened.
 
-    A file too large for one value is identified by the number and the hashes of its lines.
+    That of a large file is taken of its length and the hashes of its numbered lines. Either way files have the
+    same hash where all bytes are the same, in the same order.
     """
     spark = listed.sparkSession
     rows = listed.select("path", "length").collect()  # the listing, as the scan's own planning holds it
@@ -80,12 +105,9 @@ def content_hashes(listed: DataFrame) -> DataFrame:
         scan = spark.read.format("binaryFile").load(_escaped(whole))
         parts.append(scan.select("path", "length", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash")))
     if large:
-        lines = spark.read.text(_escaped(large)).select(source_path().alias("path"), F.xxhash64("value").alias("h"))
-        sums = lines.groupBy("path").agg(
-            F.concat_ws(":", F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")).alias("s")
-        )
-        hashed = sums.select("path", F.substring(F.sha2("s", 256), 1, 16).alias("content_hash"))
-        parts.append(listed.join(hashed, "path").select("path", "length", "content_hash"))
+        digest = F.sha2(F.concat_ws(":", "length", "s"), 256)
+        hashed = listed.join(line_hashes(spark, large), "path")
+        parts.append(hashed.select("path", "length", F.substring(digest, 1, 16).alias("content_hash")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -104,6 +104,31 @@ def test_other_errors_are_not_the_files(spark, tmp_path):
         folder.read_folder(listed)
 
 
+def test_large_files_keep_order_and_line_ends(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folder, "WHOLE_FILE", 10)
+    body = [f"{i},x{i}" for i in range(5000)]
+    texts = {
+        "a.csv": "\n".join(body) + "\n", "copy.csv": "\n".join(body) + "\n", "turned.csv": "\n".join(body[::-1]) + "\n",
+        "returns.csv": "\r\n".join(body) + "\r\n", "mixed.csv": "\r".join(body[:2]) + "\n" + "\n".join(body[2:]) + "\n",
+        "open.csv": "\n".join(body), "blank.csv": "\n".join(body) + "\n\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+
+    def hashes():
+        return {r.path.rsplit("/", 1)[-1]: r.content_hash for r in files.file_hashes(spark, str(tmp_path)).collect()}
+
+    once = hashes()
+    assert once["a.csv"] == once["copy.csv"] and len(set(once.values())) == len(texts) - 1
+    size = "spark.sql.files.maxPartitionBytes"
+    for splits in ("1k", "10m"):
+        spark.conf.set(size, splits)
+        try:
+            assert hashes() == once
+        finally:
+            spark.conf.unset(size)
+
+
 def test_file_hashes(spark, tmp_path):
     import hashlib
 
