@@ -31,12 +31,17 @@ MAX_STRINGS = 32
 
 @dataclass(frozen=True)
 class Rule:
-    """``keep`` says of a match (field ``v`` is its text) whether it counts."""
+    """``keep`` says of a match (field ``v`` is its text) whether it counts.
+
+    ``plain`` is the pattern for engines without possessive repeats and look-aheads, if ``pattern`` has some: its groups
+    together are the match, what it takes beyond them is only looked at.
+    """
 
     kind: str
     pattern: str
     keep: Callable[[Column], Column] | None = None
     base: bool = False
+    plain: str | None = None
 
 
 # The three base kinds, in the order in which spans are listed.
@@ -62,6 +67,17 @@ PEM = (
     r"(?:(?:(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*+[A-Za-z0-9+/]{20,}+=*+)++"
     rf"(?:{_BREAK}[A-Za-z0-9+/]++=*+(?=[\x20\x09\"',]*+(?:[\r\n\\]|$)))?+)?+)"
 )
+# The same without possessive repeats: a key with its END line, one with base64, one with header lines only.
+_PLAIN_BREAK = _BREAK.replace("*+", "*")
+_BEGIN = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+_HEADERS = rf"(?:{_PLAIN_BREAK}[A-Z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*"
+PLAIN_PEM = (
+    rf"({_BEGIN}[^-]*(?:-{{1,4}}[^-]+)*-{{5,}}END [A-Z ]{{0,24}}PRIVATE KEY-----)"
+    rf"|({_BEGIN}{_HEADERS}(?:(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*[A-Za-z0-9+/]{{20,}}=*)+)"
+    rf"(?:({_PLAIN_BREAK}[A-Za-z0-9+/]+=*)[\x20\x09\"',]*(?:[\r\n\\]|$))?"
+    rf"|({_BEGIN}{_HEADERS})"
+)
+LOGIN_URL = r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D:/@]++:[^\x20\x09-\x0D/@]++@"
 # Published formats of tokens and keys.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -69,8 +85,8 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", PEM),
-    Rule("login_url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D:/@]++:[^\x20\x09-\x0D/@]++@"),
+    Rule("pem", PEM, plain=PLAIN_PEM),
+    Rule("login_url", LOGIN_URL, plain=f"({LOGIN_URL.replace('++', '+')})"),
     Rule("bearer", r"[Bb]earer\x20{1,4}[A-Za-z0-9._~+/-]{20,}"),
 )
 RULES = BASE_RULES + MORE_RULES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lakeweave.llm import secrets, sharding
 
 
@@ -25,11 +27,18 @@ def _secrets() -> str:
         "assign": f"length(regexp_replace(x.v, {_quoted(secrets.ASSIGN_HEAD)}, '')) >= 6",
         "access": "length(x.v) >= 20",
     }
-    found = ",\n".join(f"{spans_of('t', r.pattern)} AS f{i}" for i, r in enumerate(secrets.RULES))
+    found = ",\n".join(f"{spans_of('t', r.plain or r.pattern)} AS f{i}" for i, r in enumerate(secrets.RULES))
+
+    def length(r) -> str:
+        if not r.plain:
+            return "length(x.v)"
+        groups = range(1, re.compile(r.plain).groups + 1)
+        return " + ".join(f"length(regexp_extract(x.v, {_quoted(r.plain)}, {g}))" for g in groups)
+
     parts = []
     for i, r in enumerate(secrets.RULES):
         parts.append(
-            f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, CAST(x.s AS BIGINT) AS s, CAST(x.s + length(x.v) AS BIGINT) AS e"
+            f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, CAST(x.s AS BIGINT) AS s, CAST(x.s + {length(r)} AS BIGINT) AS e"
             f" FROM (SELECT doc_id, unnest(f{i}) AS x FROM found) WHERE {conditions.get(r.kind, 'true')}"
         )
     every = "\nUNION ALL\n".join(parts)

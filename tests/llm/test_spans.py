@@ -1,5 +1,6 @@
 """Secrets (op2) and personal data (op3) against plain versions."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -128,3 +129,19 @@ def test_a_score_counts_by_its_own_rows():
 @pytest.mark.parametrize("scan", [secrets.scan, pii.scan])
 def test_empty(empty, scan):
     assert scan(empty).count() == 0
+
+
+_PIECES = st.sampled_from(
+    ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----END X-----", "\n", "\\n", "\r\n", " ", "\t",
+     "Proc-Type: 4,X", "A: ", "A" * 20, "b" * 25 + "==", "Zz9=", "abc", "-", "--", "-----", '"', "',", ">", "end", "https://u:p@h", "a1://x:y:z@@", "ab://:p@", "/"]
+)
+
+
+@given(st.lists(_PIECES, max_size=14).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_plain_patterns_of_rules(text):
+    for rule in secrets.RULES:
+        if rule.plain:
+            want = [m.span() for m in re.finditer(rule.pattern, text)]
+            got = [(m.start(), m.start() + sum(len(g or "") for g in m.groups())) for m in re.finditer(rule.plain, text)]
+            assert got == want
