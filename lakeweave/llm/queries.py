@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import classifier, decontaminate, jaccard, packing, pii, quality, secrets, sharding, urls, warc
+from lakeweave.llm import alignment, classifier, decontaminate, jaccard, packing, periods, pii, quality, secrets, sharding, toxicity, urls, warc
 from lakeweave.llm import spans as S
 from lakeweave.llm import sql
 from lakeweave.session import literal_rows, work_dir
@@ -118,3 +118,21 @@ def extendible_shards(spark, sf_dir):
 def quality_classifier(spark, sf_dir):
     """A calibrated quality score for every document."""
     return classifier.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@add("op13_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers meet in every document, and how often each pair of ids is linked."""
+    return alignment.aligned_counts(read(spark, sf_dir, "documents"))
+
+
+@add("op12_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    """The runs of repeated words of every document, every tenth one with a periodic tail."""
+    return periods.detect(read(spark, sf_dir, "documents"), periods.periodic_tail)
+
+
+@add("op11_toxicity")
+def toxic_documents(spark, sf_dir):
+    """A calibrated toxicity score for every document, of its words as they are read through the disguise."""
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
