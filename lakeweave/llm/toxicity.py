@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.classifier import isotonic, remainder
+from lakeweave.llm.classifier import remainder
 from lakeweave.llm.common import bounded_batches, lower_ascii, shingles, within, words
 from lakeweave.llm.vectors import summed
 from lakeweave.session import materialize
@@ -65,7 +65,8 @@ BORDER, DIGIT, OTHER, SIZE = 0, 27, 28, 29
 _MARKS = re.compile("[̀-ͯ­​-‍⁠﻿]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
 _PLAIN = re.compile(r"[\"'(\[{]*([a-z]+)[.,;:!?\"')\]}]*")
-_DOUBLE = re.compile(r"(.)\1")
+# One doubled letter is usual spelling; two of them, or three letters in a row, may be a disguise.
+_STRETCHED = re.compile(r"(.)\1\1|(.)\2.*(.)\3")
 _RUNS = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -99,7 +100,8 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     joined = plain("\n" + "\n".join(texts) + "\n")
     c = _classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     c = np.concatenate(([0], c[1:][(c[1:] > 0) | (c[:-1] > 0)]))  # one border between words
-    one, two, three = (np.concatenate((np.zeros(k, np.int64), c[:-k])) for k in (1, 2, 3))
+    before = np.concatenate((np.zeros(3, np.int64), c))
+    one, two, three = before[2:-1], before[1:-2], before[:-3]
     two = np.where(one == 0, 0, two)
     three = np.where(two == 0, 0, three)
     codes = ((three * SIZE + two) * SIZE + one) * SIZE + c
@@ -204,7 +206,7 @@ class Reader:
         found = self.memory.get(token)
         if found is None:
             match = _PLAIN.fullmatch(token)
-            if match and not _DOUBLE.search(match[1]):
+            if match and not _STRETCHED.search(match[1]):
                 found = (match[1],)
             else:
                 disguised = any("a" <= c <= "z" for c in token)
@@ -220,8 +222,9 @@ class Reader:
 
     def words(self, text: str) -> set[str]:
         out: set[str] = set()
+        known = self.memory.get
         for token in set(self.tokens(text)):
-            out.update(self.read(token))
+            out.update(known(token) or self.read(token))
         return out
 
 
@@ -343,10 +346,24 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
         rows.mapInPandas(without_own, "bin long, n double, h double")
         .groupBy("bin").agg(F.sum("n").alias("n"), F.sum("h").alias("h")).orderBy("bin").collect()  # BINS + 1 rows at most
     )
-    knots, levels = isotonic(*(np.array([r[c] for r in binned], float) for c in ("bin", "n", "h")))
+    knots, levels = rising(*(np.array([r[c] for r in binned], float) for c in ("bin", "n", "h")))
     return Model(language, counts, toxic, others, knots * 10 / BINS, levels)
 
 
+def rising(score: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression: both ends of each pooled block, at its level; straight lines join the blocks."""
+    pools: list[list[float]] = []
+    for i, (n, h) in enumerate(zip(rows, hits)):
+        pools.append([i, n, h])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+            _, n, h = pools.pop()
+            pools[-1] = [pools[-1][0], pools[-1][1] + n, pools[-1][2] + h]
+    first = [p[0] for p in pools]
+    last = [x - 1 for x in first[1:]] + [len(score) - 1]
+    knots = np.array([score[x] for pair in zip(first, last) for x in pair])
+    return knots, np.repeat([p[2] / p[1] for p in pools], 2)
+
+
 def _own_sum(held, y: float, counts: dict, toxic: float, others: float) -> float:
     """A labelled text's sum by weights that it and its copies had no part in."""
     found = {f for w in held for f in features(w) if f in counts}
