@@ -8,8 +8,8 @@ search. The restored words, and the stems of the longer ones, are then scored.
 
 Weights are learned from labelled rows, at most ``MAX_ROWS``, chosen by a hash of the id, and none of which crc32 of the
 id modulo 5 is 0: the log odds of a word with its standard error, of which only those well beyond it
-are kept, at most ``MAX_FEATURES``. Texts that are copies of each other count as one, or a word of theirs would
-look like many. A text's sum is divided by the root of its number of different words; every labelled row's sum is taken
+are kept, at most ``MAX_FEATURES`` of at most ``MAX_CANDIDATES``. Texts that are copies of each other count as one, or a word of theirs would
+look like many. A text's sum is divided by the root of its number of different tokens; every labelled row's sum is taken
 with weights that its own copies had no part in, and isotonic regression turns sums into probabilities.
 
 Defined results: null and empty texts have a score too; a null label is no label; a document with several labels has
@@ -38,6 +38,7 @@ from lakeweave.llm.vectors import summed
 from lakeweave.session import materialize
 
 MAX_ROWS = 200_000
+MAX_CANDIDATES = 200_000  # features of toxic texts that others are searched for
 MAX_FEATURES = 50_000
 THRESHOLD = 0.5
 LEAST_ERRORS = 3.5  # standard errors by which the log odds of a feature must exceed 0
@@ -64,7 +65,8 @@ STRETCHED = 0.5  # three or more letters for one or two
 BORDER, DIGIT, OTHER, SIZE = 0, 27, 28, 29
 _MARKS = re.compile("[̀-ͯ­​-‍⁠﻿]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
-_PLAIN = re.compile(r"[\"'(\[{]*([a-z]+)[.,;:!?\"')\]}]*")
+# Signs at the ends of a word are borders unless they are ones that stand for a letter there.
+_PLAIN = re.compile(r"[\"'(\[{#%&*~<>=/\\-]*([a-z]+)[.,;:!?\"')\]}#%&*~<>=/\\-]*")
 # One doubled letter is usual spelling; two of them, or three letters in a row, may be a disguise.
 _STRETCHED = re.compile(r"(.)\1\1|(.)\2.*(.)\3")
 _RUNS = re.compile(r"(.)\1*", re.S)
@@ -98,14 +100,18 @@ def class_of(c: str) -> int:
 def gram_counts(texts: list[str]) -> np.ndarray:
     """Counts of four-grams of classes, each word on its own between borders."""
     joined = plain("\n" + "\n".join(texts) + "\n")
-    c = _classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    c = np.concatenate(([0], c[1:][(c[1:] > 0) | (c[:-1] > 0)]))  # one border between words
-    before = np.concatenate((np.zeros(3, np.int64), c))
+    if joined.isascii():
+        c = _classes()[np.frombuffer(joined.encode(), np.uint8)]
+    else:
+        c = _classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    letter = c > 0
+    c = c[1:][letter[1:] | letter[:-1]]  # one border between words, the first one aside
+    before = np.concatenate((np.zeros(3, np.uint8), c))
     one, two, three = before[2:-1], before[1:-2], before[:-3]
-    two = np.where(one == 0, 0, two)
-    three = np.where(two == 0, 0, three)
-    codes = ((three * SIZE + two) * SIZE + one) * SIZE + c
-    return np.bincount(codes[(one > 0) | (c > 0)], minlength=SIZE**4)
+    two = two * (one > 0)
+    three = three * (two > 0)
+    codes = (three.astype(np.int32) * SIZE + two) * (SIZE * SIZE) + one.astype(np.int32) * SIZE + c
+    return np.bincount(codes, minlength=SIZE**4)
 
 
 def language_model(documents: DataFrame) -> np.ndarray:
@@ -220,11 +226,35 @@ class Reader:
         """The text as it is read, in plain lower-case words."""
         return " ".join(w for t in self.tokens(text) for w in self.read(t))
 
-    def words(self, text: str) -> set[str]:
+    def words(self, text: str) -> tuple[set[str], int]:
+        """The different words of a text, and how many different tokens they came from."""
         out: set[str] = set()
-        known = self.memory.get
-        for token in set(self.tokens(text)):
+        known, tokens = self.memory.get, set(self.tokens(text))
+        for token in tokens:
             out.update(known(token) or self.read(token))
+        return out, len(tokens)
+
+
+class Finder:
+    """Finds features in texts; remembers those of tokens or words, most of which have none."""
+
+    def __init__(self, wanted, read=lambda word: (word,)):
+        self.wanted, self.read = wanted, read
+        self.heads = {f[: STEMS[0]] for f in wanted}  # most words begin like none of them
+        self.memory: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, parts) -> set[str]:
+        out: set[str] = set()
+        known = self.memory.get
+        for part in parts:
+            hits = known(part)
+            if hits is None:
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                likely = [w for w in self.read(part) if w[: STEMS[0]] in self.heads]
+                hits = self.memory[part] = tuple(f for w in likely for f in features(w) if f in self.wanted)
+            if hits:
+                out.update(hits)
         return out
 
 
@@ -275,7 +305,7 @@ class Model:
 
 
 def labelled_words(documents: DataFrame, labels: DataFrame, language: np.ndarray, max_rows: int) -> DataFrame:
-    """``y, share, words`` of the labelled texts; ``share`` is 1 over the number of copies of a text among them."""
+    """``y, share, tokens, words`` of the labelled texts; ``share`` is 1 over the number of copies of a text among them."""
     known = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("double").alias("y"))
         .where("doc_id IS NOT NULL AND y IS NOT NULL")
@@ -296,11 +326,13 @@ def labelled_words(documents: DataFrame, labels: DataFrame, language: np.ndarray
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(language)
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "family": batch["family"], "words": [sorted(reader.words(t)) for t in batch["text"]]})
+            found = [reader.words(t) for t in batch["text"]]
+            yield pd.DataFrame({"y": batch["y"], "family": batch["family"], "tokens": [n for _, n in found], "words": [sorted(w) for w, _ in found]})
 
-    read = materialize(bounded_batches(family).mapInPandas(run, "y double, family long, words array<string>"), "labelled")
+    schema = "y double, family long, tokens int, words array<string>"
+    read = materialize(bounded_batches(family).mapInPandas(run, schema), "labelled")
     copies = within(read.groupBy("family").agg((1 / F.count("*")).alias("share")))  # of the bounded sample
-    return read.join(copies, "family").select("y", "share", "words")
+    return read.join(copies, "family").select("y", "share", "tokens", "words")
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -313,32 +345,45 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
         level = 0.5 if every == 0 else float(toxic > 0)
         return Model(language, {}, toxic, others, np.zeros(1), np.full(1, level))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), CHUNK):
-                part, a, b = batch.iloc[at : at + CHUNK], Counter(), Counter()
+                part, a = batch.iloc[at : at + CHUNK], Counter()
                 for y, share, held in zip(part["y"], part["share"], part["words"]):
                     for f in {f for w in held for f in features(w)}:
                         a[f] += share * y
-                        b[f] += share * (1 - y)
-                yield pd.DataFrame({"f": list(a), "a": list(a.values()), "b": list(b.values())})
-
-    held = rows.mapInPandas(count, "f string, a double, b double").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (toxic + 1 - a)) - F.log(b / (others + 1 - b))
-    chosen = (
-        held.where(F.col("a") >= LEAST_TEXTS)
-        .withColumn("errors", odds / F.sqrt(1 / a + 1 / b))
-        .where(F.col("errors") >= LEAST_ERRORS)
-        .orderBy(F.desc("errors"), "f")
-        .limit(MAX_FEATURES)
-        .collect()  # MAX_FEATURES rows at most
-    )
-    counts = {r["f"]: (r["a"], r["b"]) for r in chosen}
+                if a:
+                    yield pd.DataFrame({"f": list(a), "a": list(a.values())})
+
+    # The evidence for a feature is greatest if no other text holds it, so this leaves out none that counts.
+    a = F.col("a") + 0.5
+    most = (F.log(a / (toxic + 1 - a)) + np.log((others + 0.5) / 0.5)) / F.sqrt(1 / a + 2)
+    in_toxic = rows.where("y > 0").mapInPandas(of_toxic, "f string, a double").groupBy("f").agg(F.sum("a").alias("a"))
+    likely = in_toxic.where(F.col("a") >= LEAST_TEXTS).withColumn("most", most).where(F.col("most") >= LEAST_ERRORS)
+    likely = {r["f"]: r["a"] for r in likely.orderBy(F.desc("most"), "f").limit(MAX_CANDIDATES).collect()}
+
+    def of_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, b = Finder(likely), Counter()
+        for batch in batches:
+            for y, share, held in zip(batch["y"], batch["share"], batch["words"]):
+                for f in find(held):
+                    b[f] += share * (1 - y)
+        if b:
+            yield pd.DataFrame({"f": list(b), "b": list(b.values())})
+
+    in_others = rows.where("y < 1").mapInPandas(of_others, "f string, b double").groupBy("f").agg(F.sum("b").alias("b"))
+    in_others = {r["f"]: r["b"] for r in in_others.collect()}  # MAX_CANDIDATES rows at most
+    evidence = []
+    for f, n in likely.items():
+        odds, error = log_odds(n, in_others.get(f, 0.0), toxic, others)
+        if odds >= LEAST_ERRORS * error:
+            evidence.append((-odds / error, f))
+    counts = {f: (likely[f], in_others.get(f, 0.0)) for _, f in sorted(evidence)[:MAX_FEATURES]}
 
     def without_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(counts)
         for batch in batches:
-            raw = [_own_sum(held, y, counts, toxic, others) for held, y in zip(batch["words"], batch["y"])]
+            raw = [_own_sum(find(held), n, y, counts, toxic, others) for held, n, y in zip(batch["words"], batch["tokens"], batch["y"])]
             bins = np.minimum(np.round(np.array(raw, float) * BINS / 10), BINS).astype(np.int64)
             yield pd.DataFrame({"bin": bins, "n": batch["share"], "h": batch["share"] * batch["y"]})
 
@@ -364,16 +409,15 @@ def rising(score: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> tuple[np.nd
     return knots, np.repeat([p[2] / p[1] for p in pools], 2)
 
 
-def _own_sum(held, y: float, counts: dict, toxic: float, others: float) -> float:
+def _own_sum(found: set[str], tokens: int, y: float, counts: dict, toxic: float, others: float) -> float:
     """A labelled text's sum by weights that it and its copies had no part in."""
-    found = {f for w in held for f in features(w) if f in counts}
     if not found:
         return 0.0
-    a, b = np.array([counts[f] for f in found]).T
+    a, b = np.array([counts[f] for f in sorted(found)]).T
     n_a, n_b = max(toxic - y, 0.0), max(others - (1 - y), 0.0)
     a, b = np.clip(a - y, 0, n_a), np.clip(b - (1 - y), 0, n_b)
     odds, error = log_odds(a, b, n_a, n_b)
-    return float(odds[odds >= LEAST_ERRORS * error].sum()) / np.sqrt(len(held) + 20)
+    return float(odds[odds >= LEAST_ERRORS * error].sum()) / np.sqrt(tokens + 20)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -381,19 +425,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     weights = model.weights()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, held = Reader(model.language), {}
+        reader = Reader(model.language)
+        find = Finder(weights, reader.read)
         for batch in batches:
             raw = []
             for text in batch["text"]:
-                found, read = set(), reader.words(text or "")
-                for w in read:
-                    hits = held.get(w)
-                    if hits is None:
-                        if len(held) >= MEMORY:
-                            held.clear()
-                        hits = held[w] = tuple(f for f in features(w) if f in weights)
-                    found.update(hits)
-                raw.append(sum(weights[f] for f in sorted(found)) / np.sqrt(len(read) + 20))
+                tokens = set(reader.tokens(text or ""))
+                raw.append(sum(weights[f] for f in sorted(find(tokens))) / np.sqrt(len(tokens) + 20))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score(np.array(raw, float))})
 
     scored = bounded_batches(_texts(documents)).mapInPandas(run, "doc_id string, score double")
