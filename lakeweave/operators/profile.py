@@ -337,6 +337,7 @@ def column_texts(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return joined.select(
         "table_id",
         "ordinal",
+        *[c for c in ("column_id", "col_name", "col_type") if c in columns.columns],
         text.column_text(
             F.col("table_name"), F.col("col_name"), F.col("col_type"), F.col("col_description")
         ).alias("encoder_text"),

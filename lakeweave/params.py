@@ -63,6 +63,9 @@ CANDIDATE_COLUMNS_SHOWN = 10
 VERDICT_TTL_HOURS = 168
 
 EMBEDDING_DIM = 384
+# Hits per asking column, and tables that they are rolled up to.
+TOP_COLUMNS = 5
+TOP_TABLES_BY_COLUMNS = 10
 ENCODE_BATCH = 256
 
 # Profiling.
@@ -133,6 +136,10 @@ class ScaleParams:
 
     block_queries: int = 4096
     block_candidates: int = 16384
+    # Vectors per cell on average, at most so many cells, and vectors from which centroids are learned.
+    cell_vectors: int = 8192
+    max_cells: int = 2048
+    centroid_sample: int = 16384
     exact_percentile_values: int = 1_000_000
 
 

@@ -20,7 +20,7 @@ class ProfileStore:
     ``tables``: catalog, texts, types and status. ``profiles``: one row per column.
     ``values``: different values per column as text, with counts. ``terms`` and
     ``vectors``: sparse and dense unit vectors per table. ``features``: what matching needs of
-    the columns of a table, one row each.
+    the columns of a table, one row each. ``column_vectors``: one dense vector per column.
     """
 
     tables: DataFrame
@@ -29,6 +29,7 @@ class ProfileStore:
     terms: DataFrame
     vectors: DataFrame
     features: DataFrame
+    column_vectors: DataFrame | None = None
 
 
 def column_values(counts: profile.ValueCounts) -> DataFrame:
@@ -46,8 +47,10 @@ def build_store(
     tokenizer: str = "name",
     encoder: Callable[[DataFrame], DataFrame] | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = materialize,
+    column_encoder: Callable[[DataFrame], DataFrame] | None = None,
 ) -> ProfileStore:
-    """Profile a lake. ``encoder`` maps ``table_id, encoder_text`` to ``table_id, vector``."""
+    """Profile a lake. ``encoder`` maps ``table_id, encoder_text`` to ``table_id, vector``, ``column_encoder`` the same
+    with ``column_id``."""
     columns = keep(L.lake_columns(groups), "columns")
     catalog = L.lake_tables(groups).join(L.row_counts(groups), "table_id", "left").na.fill(0, ["row_count"])
     tables = keep(
@@ -66,6 +69,7 @@ def build_store(
     stored = keep(
         dense.join(tables.select("table_id", "tenant_id", "status"), "table_id"), "vectors"
     )
+    texts = profile.column_texts(tables, columns)
     return ProfileStore(
         tables=tables,
         profiles=profiles,
@@ -73,4 +77,5 @@ def build_store(
         terms=unit,
         vectors=stored,
         features=keep(matching.column_features(profiles), "features"),
+        column_vectors=keep(vectors.column_collection(tables, texts, column_encoder), "column-vectors"),
     )

@@ -347,7 +347,7 @@ def column_texts(spark, sf_dir):
     columns = L.lake_columns(groups)
     texts = profile.column_texts(L.lake_tables(groups), columns)
     own = valued(columns, groups).select(*profile.KEY, "col_name", "n_values")
-    return texts.join(own, profile.KEY).select("table_id", "col_name", "n_values", "encoder_text")
+    return texts.drop("col_name").join(own, profile.KEY).select("table_id", "col_name", "n_values", "encoder_text")
 
 
 @query(

@@ -119,21 +119,22 @@ def vector_column_roll_up(spark, sf_dir):
 
 @query(
     "vector_upsert",
-    """WITH versions AS (
-      SELECT vec_id, label, 1 AS version, embedding[1]::DOUBLE AS first FROM embeddings
-      UNION ALL SELECT user_id AS vec_id, 100 AS label, 1 + event_id AS version, value AS first FROM events)
-    SELECT vec_id, arg_max(label, version) AS label, max(version) AS version, round(arg_max(first, version), 6) AS first
+    f"""WITH versions AS (
+      SELECT vec_id, label, 1 AS version, {C.SQL_SCALED} AS vector FROM embeddings
+      UNION ALL SELECT user_id AS vec_id, 100 AS label, 1 + event_id AS version,
+        list_transform(range(64), lambda i: CAST(round(value * 1000) AS BIGINT) + i) AS vector FROM events)
+    SELECT vec_id, arg_max(label, version) AS label, max(version) AS version,
+           array_to_string(arg_max(vector, version), ',') AS vector
     FROM versions GROUP BY vec_id""",
 )
 def vector_upsert(spark, sf_dir):
-    """Events re-write vectors; the last write per id wins."""
-    stored = C.table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id", "label", "1L AS version", "double(embedding[0]) AS first"
-    )
+    """Events re-write vectors; the last write per id wins, with all its components."""
+    stored = C.table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "1L AS version", f"{C.SCALED} AS vector")
     incoming = C.table(spark, sf_dir, "events").selectExpr(
-        "user_id AS vec_id", "100 AS label", "1 + event_id AS version", "value AS first"
-    )
-    return vectors.upsert(stored, incoming, "vec_id", "version").withColumn("first", F.round("first", 6))
+        "user_id AS vec_id", "100 AS label", "1 + event_id AS version",
+        "transform(sequence(0, 63), i -> cast(round(value * 1000) AS bigint) + i) AS vector",
+    )
+    return vectors.upsert(stored, incoming, "vec_id", "version").withColumn("vector", F.expr("array_join(vector, ',')"))
 
 
 # ---- the cascade over the benchmark lake ---------------------------------------------------
@@ -266,3 +267,52 @@ def l2_without_vectors(spark, sf_dir):
     queries = planned(store)
     none = spark.createDataFrame([], "query_id string, table_id string, s2 double")
     return cascade.layer_two(queries, lake_layer_one(store, queries), none, none)
+
+
+# ---- columns of the benchmark lake -----------------------------------------------------------
+
+SQL_COLUMN_HITS = f"""{C.SQL_BENCH_COLUMNS},
+texts AS (
+  SELECT table_id || '.' || ordinal AS col, table_id, 'Column ' || col_name || ' of type ' || col_type || '. In table ' || table_id || '.' AS t
+  FROM bcols),
+{sql_terms("texts", "col", f"regexp_extract_all(lower(regexp_replace(t, '([a-z0-9])([A-Z])', '{chr(92)}1 {chr(92)}2', 'g')), '{PART}')", "c_")},
+c_buckets AS (SELECT col, ('0x' || substr(md5(term), 1, 8))::BIGINT % {P.EMBEDDING_DIM} AS i, sum(weight) AS w FROM c_unit GROUP BY ALL),
+c_dense AS (SELECT col, i, w / sqrt(sum(w * w) OVER (PARTITION BY col)) AS w FROM c_buckets),
+c_owned AS (SELECT d.*, x.table_id FROM c_dense d JOIN texts x USING (col)),
+c_sims AS (
+  SELECT a.col AS query_id, a.table_id AS asking, b.col AS column_id, b.table_id, round(sum(a.w * b.w), 9) AS score
+  FROM c_owned a JOIN c_owned b ON a.i = b.i AND a.table_id <> b.table_id GROUP BY ALL),
+c_hits AS (
+  SELECT * FROM c_sims
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, column_id) <= {P.TOP_COLUMNS})"""
+
+
+def column_hits(spark, sf_dir):
+    """Over the lake's own columns, under ids that SQL can write too, as they break ties."""
+    store = C.store(spark, sf_dir)
+    named = store.profiles.select("table_id", "ordinal", "col_name")
+    columns = store.column_vectors.join(named, ["table_id", "col_name"]).withColumn(
+        "column_id", F.concat_ws(".", "table_id", "ordinal")
+    )
+    return vectors.column_top_k(columns, columns)
+
+
+@query("column_neighbours", f"WITH {SQL_COLUMN_HITS} SELECT * FROM c_hits")
+def column_neighbours(spark, sf_dir):
+    """The nearest columns in other tables of every column of the lake."""
+    return column_hits(spark, sf_dir)
+
+
+@query(
+    "tables_by_columns",
+    f"""WITH {SQL_COLUMN_HITS},
+    per_column AS (SELECT asking, table_id, query_id, max(score) AS best FROM c_hits GROUP BY ALL),
+    per_table AS (
+      SELECT asking AS query_table_id, table_id, count(*) AS n_columns, max(best) AS best, round(sum(best), 6) AS total
+      FROM per_column GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY query_table_id ORDER BY n_columns DESC, total DESC, table_id) AS rank
+    FROM per_table QUALIFY rank <= {P.TOP_TABLES_BY_COLUMNS}""",
+)
+def tables_by_columns(spark, sf_dir):
+    """Hits of single columns rolled up to the tables that hold them."""
+    return vectors.tables_by_columns(column_hits(spark, sf_dir))
