@@ -14,22 +14,28 @@ from lakeweave.sources.lake import Cells
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A parquet or CSV file (or folder of parts) with a header, by suffix; anything but parquet is CSV.
 
-    Encoding, header and quoting come from one pass over the lines; types are those that all values have.
+    Encoding, header and quoting come from one pass over the lines; types are those that all values have. Rows with
+    more cells than the header are an error, as they have cells of no column.
     """
     if path.lower().rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     heads = folder.csv_heads(spark, [path])
     shape = heads.agg(
-        F.bool_and("utf8").alias("utf8"), F.bool_or("multiline").alias("multiline"), F.min_by("head", "path").alias("head")
-    ).first()
+        F.bool_and("utf8").alias("utf8"), F.bool_or("multiline").alias("multiline"), F.min("path").alias("path"),
+        F.min_by("head", "path").alias("head"), F.min_by("head_open", "path").alias("head_open"),
+    ).first()
     if shape["head"] is None:
         raise ValueError(f"{path} is empty")
-    names = folder.header_names(shape["head"], shape["utf8"])
-    text = folder.read_csv(spark, [path], names, shape["utf8"], shape["multiline"])
-    cells = text.select(
-        F.posexplode(F.array(*[F.when(~F.col(c).isin(*folder.MISSING), F.col(c)) for c in text.columns])).alias("i", "value")
-    )
-    kinds = {r["i"]: r["kind"] for r in cells.groupBy("i").agg(folder.inferred_type().alias("kind")).collect()}
+    names = folder.header_names(spark, shape)
+    read = folder.read_csv(spark, [path], names, shape["utf8"], shape["multiline"])
+    text = read.drop("longer")
+    values = [F.when(~F.col(c).isin(*folder.MISSING), F.col(c)) for c in text.columns]
+    cells = read.select(F.posexplode(F.array(*values, F.when(F.col("longer"), F.lit("x")))).alias("i", "value"))
+    found = cells.groupBy("i").agg(folder.inferred_type().alias("kind"), F.count("value").alias("n")).collect()
+    kinds = {r["i"]: r["kind"] for r in found}
+    longer = sum(r["n"] for r in found if r["i"] == len(names))
+    if longer:
+        raise ValueError(f"{longer} rows of {path} have more cells than the header")
     cast = {"int": "bigint", "float": "double", "bool": "boolean"}
     return text.select(
         *[

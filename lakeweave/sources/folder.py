@@ -30,6 +30,8 @@ NANOS = "spark.sql.legacy.parquet.nanosAsLong"
 LISTING = "path string, length bigint"
 CELLS = "path string, ordinal int, value string"
 COLUMNS = "path string, ordinal int, col_name string, col_type string"
+# The ordinal under which a row with more cells than its header is noted.
+LONGER = -1
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -112,10 +114,10 @@ def content_hashes(listed: DataFrame) -> DataFrame:
 
 
 def csv_heads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, head, utf8, multiline`` per CSV file, from one pass over its lines.
+    """``path, head, head_open, utf8, multiline`` per CSV file, from one pass over its lines.
 
-    ``head`` are the bytes of the first line. A file whose quotes don't close within each line has cells
-    that go over several lines.
+    ``head`` are the bytes of the first line, whose quotes don't close if ``head_open``. A file whose quotes don't close
+    within each line has cells that go over several lines.
     """
     lines = spark.read.text(_escaped(paths)).select(
         source_path().alias("path"),
@@ -127,30 +129,52 @@ def csv_heads(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     return lines.groupBy("path").agg(
         F.expr("min_by(line, place) FILTER (WHERE at = 0)").alias("head"),
+        F.expr("min_by(open, place) FILTER (WHERE at = 0)").alias("head_open"),
         F.bool_and("ok").alias("utf8"),
         F.bool_or("open").alias("multiline"),
     )
 
 
-def header_names(head: bytes, utf8: bool) -> list[str]:
-    """Column names of a CSV file's first line; a repeated one gets a number."""
-    line = bytes(head).decode("utf-8" if utf8 else "latin-1").removeprefix(BOM).removeprefix("ï»¿")
+def header_names(spark: SparkSession, file) -> list[str]:
+    """Column names of a CSV file, given as a row of ``csv_heads``; a repeated one gets a number.
+
+    A header that goes over several lines is read as the first record by the reader of the rows.
+    """
+    if file["head_open"]:
+        options = {"quote": '"', "escape": '"', "multiLine": True, "encoding": _encoding(file["utf8"])}
+        record = [c or "" for c in spark.read.csv(_escaped([file["path"]]), header=False, **options).first() or []]
+    else:
+        line = bytes(file["head"] or b"").decode("utf-8" if file["utf8"] else "latin-1")
+        record = next(csv.reader([line.removeprefix(BOM).removeprefix("ï»¿")]), [])
     names, seen = [], {}
-    for name in next(csv.reader([line]), []):
-        name = name.strip()
+    for name in record:
+        name = name.removeprefix(BOM).strip()
         n = seen.get(name, 0)
         seen[name] = n + 1
         names.append(f"{name}.{n}" if n else name)
     return names
 
 
+def _encoding(utf8: bool) -> str:
+    return "UTF-8" if utf8 else "ISO-8859-1"
+
+
 def read_csv(spark: SparkSession, paths: list[str], names: list[str], utf8: bool, multiline: bool) -> DataFrame:
-    """CSV files with the same header as text columns ``c0, c1, ..``."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    return spark.read.csv(
-        _escaped(paths), schema=schema, header=True, quote='"', escape='"', multiLine=multiline,
-        encoding="UTF-8" if utf8 else "ISO-8859-1",
+    """CSV files with the same header as text columns ``c0, c1, ..`` and ``longer``.
+
+    Shorter rows are filled up with nulls; a row is ``longer`` if it has more cells than the header, some of which no
+    column shows.
+    """
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    rows = spark.read.csv(
+        _escaped(paths), schema=T.StructType([*fields, T.StructField("record", T.StringType())]), header=True, quote='"',
+        escape='"', multiLine=multiline, encoding=_encoding(utf8), columnNameOfCorruptRecord="record",
+        enforceSchema=True,
     )
+    # Only rows with another number of cells have a record; commas within quoted cells don't count.
+    bare = F.regexp_replace("record", r'(^|,)\s*"(?:[^"]|"")*"\s*(?=,|$)', "$1")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    return rows.withColumn("longer", F.coalesce(commas >= len(names), F.lit(False))).drop("record")
 
 
 def _long(df: DataFrame, values: list[Column]) -> DataFrame:
@@ -211,7 +235,8 @@ def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFra
     """Columns, cells as text, and errors of all listed files.
 
     ``path, ordinal, col_name, col_type``; ``path, ordinal, value``; ``path, error``. Cells are written once per
-    group of files with the same columns. Dates of parquet files become microseconds.
+    group of files with the same columns. Dates of parquet files become microseconds. A CSV file with a row that
+    has more cells than the header is an error, with the number of such rows; nothing of it is kept.
     """
     spark = listed.sparkSession
     rows = listed.select("path", "length").collect()
@@ -225,7 +250,7 @@ def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFra
     groups: dict[tuple, list[str]] = {}
     if text:
         for r in csv_heads(spark, text).collect():  # one row per file
-            names = header_names(r["head"] or b"", r["utf8"])
+            names = header_names(spark, r)
             if names:
                 groups.setdefault((tuple(names), r["utf8"], r["multiline"]), []).append(r["path"])
             else:
@@ -233,7 +258,10 @@ def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFra
     for (names, utf8, multiline), paths in sorted(groups.items()):
         df = read_csv(spark, paths, list(names), utf8, multiline)
         values = [F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}")) for i in range(len(names))]
-        _long(df, values).write.mode("append").parquet(out)
+        # A longer row leaves a cell of its own, so that its file can be told.
+        last = F.when(F.col("ordinal") == len(names), LONGER).otherwise(F.col("ordinal")).alias("ordinal")
+        every = _long(df, [*values, F.when(F.col("longer"), F.lit(""))]).select("path", last, "value")
+        every.filter(f"ordinal <> {LONGER} OR value IS NOT NULL").write.mode("append").parquet(out)
         columns += [(p, i, n, None) for p in paths for i, n in enumerate(names)]
 
     def schema_of(path: str):
@@ -268,8 +296,11 @@ def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFra
             _long(spark.read.schema(schema).parquet(*_escaped(paths)), values).write.mode("append").parquet(out)
     finally:
         spark.conf.set(NANOS, nanos_as_long)
-    cells = spark.read.schema(CELLS).parquet(out)
-    known = spark.createDataFrame(columns, COLUMNS)
+    written = spark.read.schema(CELLS).parquet(out)
+    # At most one row per file.
+    ragged = materialize(written.filter(f"ordinal = {LONGER}").groupBy("path").agg(F.count("*").alias("n")), "ragged")
+    cells = written.filter("ordinal >= 0").join(ragged, "path", "left_anti")
+    known = spark.createDataFrame(columns, COLUMNS).join(ragged, "path", "left_anti")
     kinds = cells.groupBy("path", "ordinal").agg(inferred_type().alias("kind"))
     typed = known.join(kinds, ["path", "ordinal"]).select(
         "path", "ordinal", "col_name", F.coalesce("col_type", "kind").alias("col_type")
@@ -278,5 +309,5 @@ def read_folder(listed: DataFrame, threads: int = 8) -> tuple[DataFrame, DataFra
     empty = known.select("path").distinct().join(cells.select("path").distinct(), "path", "left_anti")
     failed = spark.createDataFrame(errors, "path string, error string").unionByName(
         empty.select("path", F.lit("no rows").alias("error"))
-    )
+    ).unionByName(ragged.selectExpr("path", "concat(n, ' rows have more cells than the header') AS error"))
     return typed, cells, failed

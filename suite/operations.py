@@ -710,14 +710,41 @@ def csv_round_trip(spark, sf_dir):
     )
 
 
-@query("csv_quoting", "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents")
+@query(
+    "csv_ragged",
+    """WITH rows AS (SELECT o_orderkey // 4000 AS part, o_orderkey % 1999 = 7 AS longer, o_custkey FROM orders),
+    files AS (SELECT part, count(*) AS n, count_if(longer) AS n_longer, count(DISTINCT o_custkey) AS n_values FROM rows GROUP BY part)
+    SELECT part, CASE WHEN n_longer > 0 THEN 'FAILED' ELSE 'INGESTED' END AS status,
+           CASE WHEN n_longer > 0 THEN n_longer || ' rows have more cells than the header' END AS error,
+           CASE WHEN n_longer > 0 THEN 0 ELSE n END AS row_count, CAST(CASE WHEN n_longer > 0 THEN 0 ELSE 3 END AS BIGINT) AS col_count,
+           CASE WHEN n_longer = 0 THEN n_values END AS n_values
+    FROM files""",
+)
+def csv_ragged(spark, sf_dir):
+    """Orders as CSV files with a line break in the header and in cells; some files have rows with a cell too many."""
+    path = work_dir(spark, "ragged")
+    line = """concat(o_orderkey, ',"', o_orderstatus, chr(10), '",', o_custkey, if(o_orderkey % 1999 = 7, ',x', ''))"""
+    lines = C.table(spark, sf_dir, "orders").selectExpr("o_orderkey div 4000 AS part", f"{line} AS line")
+    # Files of 4000 rows at most, so their number grows with the table and not their size.
+    lines.groupBy("part").agg(
+        F.expr("""concat('"order', chr(10), 'key",status,customer', chr(10), concat_ws(chr(10), collect_list(line)))""").alias("value")
+    ).write.partitionBy("part").text(path)
+    tables, columns, cells = files.bulk_ingest(spark, path, "x", F.current_timestamp(), pattern="*.txt")
+    customers = columns.filter("col_name = 'customer'").select("table_id", "ordinal")
+    different = cells.whole.join(customers, ["table_id", "ordinal"]).groupBy("table_id").agg(F.countDistinct("value").alias("n_values"))
+    part = F.regexp_extract("source_uri", "part=([0-9]+)", 1).cast("bigint").alias("part")
+    shape = [F.col(c).cast("bigint") for c in ("row_count", "col_count")]
+    return tables.join(different, "table_id", "left").select(part, "status", "error", *shape, "n_values")
+
+
+@query("csv_quoting", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
 def csv_quoting(spark, sf_dir):
     """Documents, with their line breaks and quotes, written as CSV and read back."""
     path = work_dir(spark, "documents") + ".csv"
-    C.table(spark, sf_dir, "documents").select("doc_id", "lang", "text").write.csv(
+    C.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text").write.csv(
         path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    return files.read_table(spark, path).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+    return files.read_table(spark, path).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 @query(

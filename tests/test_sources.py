@@ -57,6 +57,47 @@ def test_bulk_ingest_counts_bad_files_and_skips_known(spark, tmp_path):
     assert again.isEmpty()
 
 
+def test_no_cell_of_a_csv_file_is_lost(spark, tmp_path):
+    """Headers over several lines are whole; rows with more cells than the header fail their file, with a count."""
+    texts = {
+        "lines": '"first\nname",b\n1,2\n3,"4\n5"\n',
+        "more": "a,b\n1,2\n1,2,3\n4,5,6,7\n",
+        "more_empty": "a,b\n1,2,,\n",
+        "quoted": 'a,b\n"1,2,3","x ""y"", z"\n"4,5",6\n',
+        "less": "a,b,c\n1,2\n3\n4,5,6\n",
+        "trail": 'a,"b\nb",c\n"1\n,,",2,3,4\n',
+        "same": '"a\n",a,x\n1,2,3\n',
+        "latin": "é,b\n1,2\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode("latin-1" if name == "latin" else "utf-8-sig"))
+    tables, columns, cells = files.bulk_ingest(spark, str(tmp_path), "x", F.current_timestamp())
+    rows = {r.table_name: r for r in tables.collect()}
+    errors = {n: r.error for n, r in rows.items() if r.status == "FAILED"}
+    assert errors == {
+        "more": "2 rows have more cells than the header",
+        "more_empty": "1 rows have more cells than the header",
+        "trail": "1 rows have more cells than the header",
+    }
+    named = {r.table_name: r.table_id for r in rows.values()}
+    found = {}
+    for r in columns.orderBy("ordinal").collect():
+        found.setdefault(r.table_id, []).append(r.col_name)
+    assert found[named["lines"]] == ["first\nname", "b"]
+    assert found[named["same"]] == ["a", "a.1", "x"]
+    assert found[named["latin"]] == ["é", "b"]
+    assert named["more"] not in found
+    counts = {n: (r.row_count, r.col_count) for n, r in rows.items()}
+    assert counts["lines"] == (2, 2) and counts["quoted"] == (2, 2) and counts["less"] == (3, 3)
+    values = {(r.table_id, r.ordinal, r.value) for r in cells.text.collect()}
+    assert (named["quoted"], 0, "1,2,3") in values and (named["quoted"], 1, 'x "y", z') in values
+    assert (named["lines"], 1, "4\n5") in values
+    with pytest.raises(ValueError, match="2 rows"):
+        files.read_table(spark, str(tmp_path / "more.csv"))
+    assert files.read_table(spark, str(tmp_path / "lines.csv")).columns == ["first\nname", "b"]
+    assert files.read_table(spark, str(tmp_path / "less.csv")).orderBy("a").collect()[1].c is None
+
+
 def test_a_large_file_is_a_table(spark, tmp_path):
     """Twenty megabytes, and the same types as a small file has."""
     line = "2024-01-01," + "x" * 90 + "\n"
