@@ -108,6 +108,8 @@ SCENARIOS = {
 # Task events.
 EVENTS_PER_TASK = 200
 TASKS_KEPT = 512
+# Heartbeats in a row after which a silent task gets no more: a day of them.
+MOST_HEARTBEATS = 2880
 HEARTBEAT_SECONDS = 10
 TERMINAL_EVENT = "task_completed"
 TIMELINE_NODES = (

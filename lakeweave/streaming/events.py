@@ -3,13 +3,12 @@
 An event has ``task_id, type, agent, layer, timestamp``, a unique ``seq`` that breaks
 ties in time, and the metrics ``input_size .. message``. The batch functions hold
 for any history. On a stream the timeline keeps no state, as its parts can be merged at any time; the
-history remembers sequence numbers until the watermark has passed them, and a task until it
-has been over for a while.
+history remembers sequence numbers until the watermark has passed them, and the end of each task that is over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave import params as P
@@ -167,42 +166,48 @@ def stream_history(
     terminal: str = P.TERMINAL_EVENT,
     idle_seconds: int | None = P.HEARTBEAT_SECONDS,
     delay: str = "1 hour",
-    forget_seconds: int = 3600,
+    most_beats: int = P.MOST_HEARTBEATS,
 ) -> DataFrame:
     """Events of each task up to its terminal event, with heartbeats while it idles.
 
     An event is passed on once: its number is remembered until the watermark, ``delay`` behind the
-    latest event, has passed it, and what comes later than that is dropped (``late_rows`` counts it).
-    A processing-time timer emits a heartbeat after ``idle_seconds`` without input, and removes a task
-    that has been over for ``forget_seconds``. Timers keep a stream alive, so one that shall end
-    with its input (``availableNow``) needs ``idle_seconds=None`` and keeps its ended tasks.
+    latest event, has passed it, and what comes later than that is dropped (``late_rows`` counts it). Of an ended task the
+    time and number of its end are kept, 16 bytes, so that events from before the end pass in whatever order they
+    come, and events from after it never do. One that came before the end was known has been passed on already.
+    A processing-time timer emits a heartbeat after ``idle_seconds`` without input, and no more than ``most_beats`` in a
+    row, so that a task whose end is lost falls silent. Timers keep a stream alive, so one that shall end
+    with its input (``availableNow``) needs ``idle_seconds=None``.
     """
     wait = idle_seconds * 1000 if idle_seconds else None
 
     def step(key, frames, state):
         import pandas as pd
 
-        ended = state.get[0] if state.exists else False
+        # No nulls, among which long numbers would turn into floating point.
+        ended, end_at, end_seq, beats = state.get if state.exists else (False, 0, 0, 0)
         if state.hasTimedOut:
-            if ended:
-                state.remove()
-                return
             now = state.getCurrentProcessingTimeMs()
+            beats += 1
             # The negative time tells heartbeats apart.
             out = pd.DataFrame(
                 {"task_id": [key[0]], "seq": [-now], "type": ["heartbeat"], "timestamp": [pd.Timestamp(now, unit="ms")]}
             )
         else:
+            beats = 0
             out = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
-            if ended:
-                out = out.iloc[:0]
+            micros = out["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+            seqs = out["seq"].to_numpy()
             stops = (out["type"] == terminal).to_numpy().nonzero()[0]
             if len(stops):
-                out, ended = out.iloc[: stops[0] + 1], True
+                first = int(micros[stops[0]]), int(seqs[stops[0]])
+                end_at, end_seq = min(first, (end_at, end_seq)) if ended else first
+                ended = True
+            if ended:
+                out = out[(micros < end_at) | ((micros == end_at) & (seqs <= end_seq))]
             out = out[["task_id", "seq", "type", "timestamp"]]
-        state.update((ended,))
-        if wait:
-            state.setTimeoutDuration(forget_seconds * 1000 if ended else wait)
+        state.update((ended, end_at, end_seq, beats))
+        if wait and not ended and beats < most_beats:
+            state.setTimeoutDuration(wait)
         yield out
 
     task_type = dict(events.dtypes)["task_id"]
@@ -214,13 +219,55 @@ def stream_history(
         .applyInPandasWithState(
             step,
             f"task_id {task_type}, seq bigint, type string, timestamp timestamp",
-            "ended boolean",
+            "ended boolean, end_at bigint, end_seq bigint, beats int",
             "append",
             "ProcessingTimeTimeout" if wait else "NoTimeout",
         )
     )
 
 
+def stream_recent(
+    events: DataFrame, path: str, checkpoint: str, per_task: int = P.EVENTS_PER_TASK, tasks: int = P.TASKS_KEPT
+):
+    """Keep the last ``per_task`` events of the ``tasks`` most recently active tasks of a stream.
+
+    Every batch is merged with what was kept and cut to the bounds again, so what is read and written per batch is
+    bounded by the batch and ``per_task * tasks`` rows, and events may come in any order. What was dropped
+    for its age stays dropped: a task that comes back after ``tasks`` others begins anew. Repeated numbers count once.
+    A replayed batch starts from the folder of the batch before it, which is kept as long as it can be needed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(conf)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        kept = sorted(int(n[6:]) for n in names if n.startswith("batch="))
+        before = [i for i in kept if i < batch_id]
+        if before:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch={before[-1]}"))
+        bounded_history(batch.dropDuplicates(["task_id", "seq"]), per_task, tasks).write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
+        )
+        for i in before[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/batch={i}"), True)
+
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def recent_events(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stream_recent`` keeps now: the folder of its last batch."""
+    kept = spark.read.option("basePath", path).parquet(path)
+    last = kept.agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{path}/batch={last}")
+
+
 def late_rows(query) -> int:
     """Events that a running or ended stream dropped as later than its watermark."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

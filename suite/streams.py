@@ -31,21 +31,30 @@ def task_events(events):
     return events.sparkSession.sql(_SPARK_COLUMNS, events=events)
 
 
-def stream_of(spark, sf_dir, name, time, parts=4):
-    """A given table as a stream of one file group per batch, in the order of its times, with repeats.
+def stream_of(spark, sf_dir, name, time, parts=4, late="false"):
+    """A given table as a stream of a few file groups, in the order of its times, with repeats.
 
-    Each part but the first brings a tenth of the rows before it once more.
+    Each part but the first brings the last tenth of the part before it once more; rows of that tenth that are ``late``
+    come with the next part only. A part has as many files as its rows need.
     """
     static = C.table(spark, sf_dir, name)
     folder = work_dir(spark, f"{name}-stream")
-    low, high = static.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))), F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()
-    part = F.least(F.floor((F.unix_micros(F.col(time).cast("timestamp")) - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = static.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.floor((micros - low) * parts / (high - low + 1)), F.lit(parts - 1))
     placed = static.withColumn("part", part)
     for i in range(parts):
         own = placed.filter(F.col("part") == i)
-        recent = (F.col("part") == i - 1) & (F.unix_micros(F.col(time).cast("timestamp")) > low + (i - 0.1) * (high - low) / parts)
-        own.unionByName(placed.filter(recent)).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        if i < parts - 1:
+            own = own.filter(~((micros > low + (i + 0.9) * (high - low) / parts) & F.expr(late)))
+        recent = (F.col("part") == i - 1) & (micros > low + (i - 0.1) * (high - low) / parts)
+        own.unionByName(placed.filter(recent)).drop("part").write.mode("append").parquet(f"{folder}/{i}")
+    files = sum(1 for i in range(parts) for _ in spark.read.parquet(f"{folder}/{i}").inputFiles())
+    return (
+        spark.readStream.schema(static.schema)
+        .option("maxFilesPerTrigger", max(1, files // parts))
+        .parquet(f"{folder}/*")
+    )
 
 
 _NODE = """CASE WHEN agent IN ('Retrieval', 'Matcher') THEN agent || ':' || layer ELSE agent END"""
@@ -93,6 +102,21 @@ def event_history(spark, sf_dir):
     return E.bounded_history(events, per_task=20, tasks=100).select("task_id", "seq", "type")
 
 
+@query(
+    "recent_stream",
+    f"""WITH {SQL_EVENTS},
+    recent AS (SELECT task_id FROM ev GROUP BY task_id ORDER BY max((timestamp, seq)) DESC, task_id LIMIT 100000)
+    SELECT task_id, seq, type, output_size FROM ev SEMI JOIN recent USING (task_id)
+    QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY timestamp DESC, seq DESC) <= {P.EVENTS_PER_TASK}""",
+)
+def recent_stream(spark, sf_dir):
+    """What a stream keeps of its events, which come out of order: the last ones of every task."""
+    out, checkpoint = work_dir(spark, "recent"), work_dir(spark, "recent-checkpoint")
+    source = stream_of(spark, sf_dir, "events", "ts", late="event_id % 2 = 0")
+    E.stream_recent(task_events(source), out, checkpoint, tasks=100_000).awaitTermination()
+    return E.recent_events(spark, out).select("task_id", "seq", "type", "output_size")
+
+
 # Repeats come up to a fortieth of the table's time late.
 STREAM_DELAY = "30 days"
 
@@ -110,9 +134,10 @@ def events_until_terminal(spark, sf_dir):
 
 @query("event_stream", f"WITH {SQL_ENDS}")
 def event_stream(spark, sf_dir):
-    """The same on a stream with state per task."""
+    """The same on a stream with state per task, where a third of the rows at a part's end come a part late."""
     out, checkpoint = work_dir(spark, "history"), work_dir(spark, "history-checkpoint")
-    history = E.stream_history(task_events(stream_of(spark, sf_dir, "events", "ts")), "agent_failed", None, STREAM_DELAY)
+    source = stream_of(spark, sf_dir, "events", "ts", late="event_type <> 'error' AND event_id % 3 = 0")
+    history = E.stream_history(task_events(source), "agent_failed", None, STREAM_DELAY)
     (
         history.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)

@@ -3,6 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from lakeweave import params as P
 from lakeweave.streaming import events as E
 from lakeweave.streaming import ingest
 
@@ -69,6 +70,70 @@ def test_stream_history_stops_and_drops_repeats(spark, tmp_path):
     assert got == [1, 2, 3, 4, 5, 6, 7, 8]
 
 
+def streamed(spark, source, out, checkpoint, parts, **options):
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        history = E.stream_history(spark.readStream.schema(SCHEMA).parquet(source), idle_seconds=None, **options)
+        (history.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .start(out, format="parquet").awaitTermination())
+    return sorted((r.task_id, r.seq) for r in spark.read.parquet(out).collect())
+
+
+def test_events_from_before_the_end_pass_in_any_order(spark, tmp_path):
+    """Events and ends come late; what the stream gives is what the batch gives."""
+    paths = [str(tmp_path / n) for n in ("in", "out", "cp")]
+    end = P.TERMINAL_EVENT
+    parts = (
+        [event("a", 1, "progress", at=1), event("a", 3, "progress", at=3), event("a", 9, end, at=9), event("b", 2, "progress", at=2)],
+        [event("a", 5, "progress", at=5), event("a", 20, "progress", at=20), event("b", 4, end, at=4)],
+        [event("a", 8, end, at=8), event("a", 9, "progress", at=9), event("b", 3, "progress", at=3), event("b", 5, "progress", at=5)],
+        [event("a", 6, "progress", at=6), event("a", 30, "progress", at=30), event("c", 1, "progress", at=1)],
+    )
+    got = streamed(spark, *paths, parts)
+    # The end at 9 was passed on before the one at 8 was known.
+    assert got == [("a", 1), ("a", 3), ("a", 5), ("a", 6), ("a", 8), ("a", 9), ("b", 2), ("b", 3), ("b", 4), ("c", 1)]
+
+
+def test_recent_events_of_a_stream(spark, tmp_path):
+    import random
+
+    rows = [event(t, 100 * k + i, "progress", at=10 * i + k) for k, t in enumerate("abcdef") for i in range(30)]
+    random.Random(4).shuffle(rows)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for i in range(0, len(rows), 45):
+        spark.createDataFrame(rows[i : i + 45] + rows[max(0, i - 9) : i], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        E.stream_recent(spark.readStream.schema(SCHEMA).parquet(source), out, checkpoint, per_task=7, tasks=10).awaitTermination()
+    want = E.bounded_history(spark.createDataFrame(rows, SCHEMA), per_task=7, tasks=10)
+    key = lambda df: sorted((r.task_id, r.seq) for r in df.collect())
+    assert key(E.recent_events(spark, out)) == key(want) and len(key(want)) == 42
+    import os
+
+    assert len([n for n in os.listdir(out) if n.startswith("batch=")]) == 2  # earlier ones are gone
+
+
+def test_tasks_beyond_the_bound_begin_anew(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    parts = ([event("a", 1, "progress", at=1)], [event("b", 2, "progress", at=2), event("c", 3, "progress", at=3)], [event("a", 4, "progress", at=4)])
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        E.stream_recent(spark.readStream.schema(SCHEMA).parquet(source), out, checkpoint, tasks=2).awaitTermination()
+    assert sorted((r.task_id, r.seq) for r in E.recent_events(spark, out).collect()) == [("a", 4), ("c", 3)]
+
+
+def test_silent_tasks_stop_beating(spark, tmp_path):
+    """A task whose end is lost gets a bounded number of heartbeats."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.createDataFrame([event("a", 1, "progress", at=1)], SCHEMA).write.parquet(source)
+    history = E.stream_history(spark.readStream.schema(SCHEMA).parquet(source), idle_seconds=1, most_beats=2)
+    run = history.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start(out, format="parquet")
+    try:
+        time.sleep(20)
+    finally:
+        run.stop()
+    beats = spark.read.schema("task_id string, type string").parquet(out).filter("type = 'heartbeat'").count()
+    assert beats == 2
+
+
 def test_replayed_and_late_events(spark, tmp_path):
     """Replays are dropped however many events lie between, late rows are counted, and state is bounded."""
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
