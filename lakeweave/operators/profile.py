@@ -9,6 +9,7 @@ values are combined before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Executor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,15 +35,17 @@ class ValueCounts:
     numeric: DataFrame | None
     text: DataFrame | None
 
-    def kept(self, keep: Callable[[DataFrame, str], DataFrame], columns: DataFrame) -> ValueCounts:
-        """Written once, for the columns of the catalog only."""
+    def kept(
+        self, keep: Callable[[DataFrame, str], DataFrame], columns: DataFrame, pool: Executor | None = None
+    ) -> ValueCounts:
+        """Written once, for the columns of the catalog only; both kinds side by side if there is a pool."""
         wanted = columns.select(*KEY)
-        return ValueCounts(
-            *[
-                keep(df.join(wanted, KEY, "left_semi"), name) if df is not None else None
-                for df, name in ((self.numeric, "numbers"), (self.text, "texts"))
-            ]
-        )
+
+        def written(df: DataFrame | None, name: str) -> DataFrame | None:
+            return None if df is None else keep(df.join(wanted, KEY, "left_semi"), name)
+
+        run = map if pool is None else pool.map
+        return ValueCounts(*run(written, (self.numeric, self.text), ("numbers", "texts")))
 
 
 def _both(whole: DataFrame | None, real: DataFrame | None) -> DataFrame | None:
@@ -76,6 +79,16 @@ def value_counts(cells: Cells) -> ValueCounts:
     )
 
 
+def column_key() -> Column:
+    """A column of the lake as one number."""
+    return F.xxhash64(*KEY)
+
+
+def value_keys() -> list[Column]:
+    """``v1, v2``: 128 bits of a value, by which equal values meet without their text."""
+    return [F.xxhash64("value").alias("v1"), F.xxhash64(F.lit(1), "value").alias("v2")]
+
+
 def cell_summary(cells: Cells) -> DataFrame:
     """Rows, nulls, mean and sample deviation of every column, in the stored unit."""
     numbers, parts = _numbers(cells), []
@@ -267,13 +280,17 @@ def head_rows(df: DataFrame, order: list[str], n: int = P.HEAD_ROWS) -> DataFram
 
 
 def column_profiles(
-    columns: DataFrame, cells: Cells, largest: int | None = None, counts: ValueCounts | None = None
+    columns: DataFrame,
+    cells: Cells,
+    largest: int | None = None,
+    counts: ValueCounts | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per catalog column with ratios, statistics, top values and samples.
 
-    ``counts`` are the value counts where they have been written already.
+    ``counts`` and ``sizes`` are the value counts and the summary of the cells where they have been written already.
     """
-    counts, sizes = counts or value_counts(cells), cell_summary(cells)
+    counts, sizes = counts or value_counts(cells), cell_summary(cells) if sizes is None else sizes
     quarts = quartiles(counts.numeric, cells, largest)
     ranked = (
         top_values(frequencies(counts, sizes))

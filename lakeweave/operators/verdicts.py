@@ -251,43 +251,40 @@ def joinable_columns(c2: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def containment(pairs: DataFrame, values: DataFrame) -> DataFrame:
+def containment(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """Share of the smaller column's different values that both columns hold.
 
-    The values of the source columns are joined on (target column, value), a key that
-    occurs once per target column, so a value that is common in the whole lake does
-    not gather in one task.
+    ``keys`` has ``c, v1, v2``, the column and 128 bits of the value, so that no text is read or shuffled. The keys
+    of the source columns are joined on (target column, value), which occurs once per target column, so a value that is
+    common in the whole lake does not gather in one task.
     """
     return pairs.sparkSession.sql(
         """
-        WITH named AS (
-          SELECT query_id AS table_id, src_idx AS ordinal FROM {pairs} UNION SELECT table_id, tgt_idx FROM {pairs}),
-        sizes AS (
-          SELECT table_id, ordinal, count(*) AS n FROM {values} LEFT SEMI JOIN named USING (table_id, ordinal)
-          GROUP BY table_id, ordinal),
-        wanted AS (
-          SELECT p.query_id, p.src_idx, p.table_id, p.tgt_idx, v.value
-          FROM {pairs} p JOIN {values} v ON v.table_id = p.query_id AND v.ordinal = p.src_idx),
+        WITH asked AS (
+          SELECT *, xxhash64(query_id, src_idx) AS src, xxhash64(table_id, tgt_idx) AS tgt FROM {pairs}),
+        named AS (SELECT src AS c FROM asked UNION SELECT tgt FROM asked),
+        sizes AS (SELECT c, count(*) AS n FROM {keys} LEFT SEMI JOIN named USING (c) GROUP BY c),
+        wanted AS (SELECT a.src, a.tgt, v.v1, v.v2 FROM asked a JOIN {keys} v ON v.c = a.src),
         shared AS (
-          SELECT w.query_id, w.src_idx, w.table_id, w.tgt_idx, count(*) AS n_shared
-          FROM wanted w JOIN {values} v ON v.table_id = w.table_id AND v.ordinal = w.tgt_idx AND v.value = w.value
-          GROUP BY w.query_id, w.src_idx, w.table_id, w.tgt_idx)
-        SELECT s.*, s.n_shared / least(a.n, b.n) AS containment
-        FROM shared s JOIN sizes a ON a.table_id = s.query_id AND a.ordinal = s.src_idx
-        JOIN sizes b ON b.table_id = s.table_id AND b.ordinal = s.tgt_idx
+          SELECT w.src, w.tgt, count(*) AS n_shared
+          FROM wanted w JOIN {keys} v ON v.c = w.tgt AND v.v1 = w.v1 AND v.v2 = w.v2
+          GROUP BY w.src, w.tgt)
+        SELECT p.query_id, p.src_idx, p.table_id, p.tgt_idx, s.n_shared, s.n_shared / least(a.n, b.n) AS containment
+        FROM shared s JOIN asked p ON p.src = s.src AND p.tgt = s.tgt
+        JOIN sizes a ON a.c = s.src JOIN sizes b ON b.c = s.tgt
         """,
         pairs=pairs,
-        values=values.select("table_id", "ordinal", "value"),
+        keys=keys.select("c", "v1", "v2"),
     )
 
 
-def judge_joins(c2: DataFrame, features: DataFrame, values: DataFrame) -> DataFrame:
+def judge_joins(c2: DataFrame, features: DataFrame, keys: DataFrame) -> DataFrame:
     """``query_id, table_id, s3``: the best containment over similarly named columns.
 
-    ``features`` comes from ``matching.column_features``.
+    ``features`` comes from ``matching.column_features``, ``keys`` are the value keys of the store.
     """
     best = (
-        containment(joinable_columns(c2, features), values)
+        containment(joinable_columns(c2, features), keys)
         .groupBy("query_id", "table_id")
         .agg(F.max("containment").alias("s3"))
     )

@@ -36,7 +36,7 @@ def built_in_judge(store: ProfileStore) -> Callable[[DataFrame, DataFrame], Data
 
     def judge(queries: DataFrame, c2: DataFrame) -> DataFrame:
         tasks = c2.join(queries.select("query_id", "subtask"), "query_id")
-        joins = verdicts.judge_joins(tasks.filter("subtask = 'JOIN'"), store.features, store.values)
+        joins = verdicts.judge_joins(tasks.filter("subtask = 'JOIN'"), store.features, store.value_keys)
         unions = verdicts.judge_unions(tasks.filter("subtask = 'UNION'"), store.features)
         return joins.unionByName(unions)
 

@@ -319,7 +319,7 @@ def _shown(ranking):
 def value_containment(spark, sf_dir):
     store = C.store(spark, sf_dir)
     c2 = R.lake_layer_two(store, R.planned(store))
-    found = verdicts.containment(verdicts.joinable_columns(c2, matching.column_features(store.profiles)), store.values)
+    found = verdicts.containment(verdicts.joinable_columns(c2, store.features), store.value_keys)
     return found.selectExpr(
         "query_id", "table_id", "bigint(src_idx) AS src_idx", "bigint(tgt_idx) AS tgt_idx", "n_shared",
         "round(containment, 9) AS containment",

@@ -181,3 +181,19 @@ def test_literal_tenants_leave_no_nested_loops(spark, sf_dir):
                 assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_containment_by_keys(spark):
+    """Numbers and texts, a common value, and a column without values of the other."""
+    from lakeweave.operators import profile, verdicts
+
+    rows = [("q", 0, str(v)) for v in range(10)] + [("t", 1, str(v)) for v in range(5, 25)] + [("u", 0, "5"), ("u", 0, "x")]
+    values = spark.createDataFrame(rows, "table_id string, ordinal int, value string")
+    keys = values.select(profile.column_key().alias("c"), *profile.value_keys())
+    pairs = spark.createDataFrame([("q", 0, "t", 1), ("q", 0, "u", 0), ("t", 1, "u", 0), ("q", 0, "w", 3)], "query_id string, src_idx int, table_id string, tgt_idx int")
+    got = {(r.query_id, r.table_id): (r.n_shared, r.containment) for r in verdicts.containment(pairs, keys).collect()}
+    assert got == {("q", "t"): (5, 0.5), ("q", "u"): (1, 0.5), ("t", "u"): (1, 0.5)}
+    assert keys.dtypes == [("c", "bigint"), ("v1", "bigint"), ("v2", "bigint")]
+    assert keys.select("v1").distinct().count() == keys.select("v1", "v2").distinct().count() == 26
+    apart = keys.selectExpr("shiftright(v1, 1) = shiftright(v2, 1) AS alike").filter("alike").count()
+    assert apart == 0
