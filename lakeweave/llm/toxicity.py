@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.classifier import remainder
-from lakeweave.llm.common import bounded_batches, lower_ascii, shingles, within, words
+from lakeweave.llm.common import bounded_batches, exploded, lower_ascii, shingles, within, words
 from lakeweave.llm.vectors import summed
 from lakeweave.session import materialize
 
@@ -205,7 +205,10 @@ class Reader:
     def tokens(self, text: str) -> list[str]:
         """Tokens of a text, single letters between blanks already joined as the model likes."""
         text = plain(text)
-        return _SPACED.sub(lambda m: decode(re.sub(r"\s+", " ", m[0]), self.model), text).split()
+        found = text.split()
+        if "111" in "".join(["1" if len(t) == 1 else "0" for t in found]):
+            found = _SPACED.sub(lambda m: decode(re.sub(r"\s+", " ", m[0]), self.model), text).split()
+        return found
 
     def read(self, token: str) -> tuple[str, ...]:
         """The words of a token."""
@@ -362,17 +365,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
     likely = in_toxic.where(F.col("a") >= LEAST_TEXTS).withColumn("most", most).where(F.col("most") >= LEAST_ERRORS)
     likely = {r["f"]: r["a"] for r in likely.orderBy(F.desc("most"), "f").limit(MAX_CANDIDATES).collect()}
 
-    def of_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, b = Finder(likely), Counter()
+    # From here on only the likely features of each row matter.
+    def likely_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(likely)
         for batch in batches:
-            for y, share, held in zip(batch["y"], batch["share"], batch["words"]):
-                for f in find(held):
-                    b[f] += share * (1 - y)
-        if b:
-            yield pd.DataFrame({"f": list(b), "b": list(b.values())})
-
-    in_others = rows.where("y < 1").mapInPandas(of_others, "f string, b double").groupBy("f").agg(F.sum("b").alias("b"))
-    in_others = {r["f"]: r["b"] for r in in_others.collect()}  # MAX_CANDIDATES rows at most
+            rest = batch[["y", "share", "tokens"]].copy()
+            rest["found"] = [sorted(find(held)) for held in batch["words"]]
+            yield rest
+
+    rows = materialize(rows.mapInPandas(likely_ones, "y double, share double, tokens int, found array<string>"), "likely")
+    each = exploded(rows.where("y < 1").withColumn("b", F.expr("share * (1 - y)")), ["b"], "found", "f")
+    in_others = {r["f"]: r["b"] for r in each.groupBy("f").agg(F.sum("b").alias("b")).collect()}  # MAX_CANDIDATES rows at most
     evidence = []
     for f, n in likely.items():
         odds, error = log_odds(n, in_others.get(f, 0.0), toxic, others)
@@ -381,9 +384,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
     counts = {f: (likely[f], in_others.get(f, 0.0)) for _, f in sorted(evidence)[:MAX_FEATURES]}
 
     def without_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = Finder(counts)
         for batch in batches:
-            raw = [_own_sum(find(held), n, y, counts, toxic, others) for held, n, y in zip(batch["words"], batch["tokens"], batch["y"])]
+            found = [{f for f in held if f in counts} for held in batch["found"]]
+            raw = [_own_sum(held, n, y, counts, toxic, others) for held, n, y in zip(found, batch["tokens"], batch["y"])]
             bins = np.minimum(np.round(np.array(raw, float) * BINS / 10), BINS).astype(np.int64)
             yield pd.DataFrame({"bin": bins, "n": batch["share"], "h": batch["share"] * batch["y"]})
 
