@@ -210,19 +210,21 @@ class Reader:
             found = _SPACED.sub(lambda m: decode(re.sub(r"\s+", " ", m[0]), self.model), text).split()
         return found
 
-    def read(self, token: str) -> tuple[str, ...]:
+    def interpret(self, token: str) -> tuple[str, ...]:
         """The words of a token."""
+        match = _PLAIN.fullmatch(token)
+        if match and not _STRETCHED.search(match[1]):
+            return (match[1],)
+        disguised = any("a" <= c <= "z" for c in token)
+        return tuple(_WORDS.findall(decode(token, self.model) if disguised else token))
+
+    def read(self, token: str) -> tuple[str, ...]:
+        """The same, remembered."""
         found = self.memory.get(token)
         if found is None:
-            match = _PLAIN.fullmatch(token)
-            if match and not _STRETCHED.search(match[1]):
-                found = (match[1],)
-            else:
-                disguised = any("a" <= c <= "z" for c in token)
-                found = tuple(_WORDS.findall(decode(token, self.model) if disguised else token))
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            self.memory[token] = found
+            found = self.memory[token] = self.interpret(token)
         return found
 
     def restore(self, text: str) -> str:
@@ -429,7 +431,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.language)
-        find = Finder(weights, reader.read)
+        find = Finder(weights, reader.interpret)
         for batch in batches:
             raw = []
             for text in batch["text"]:
