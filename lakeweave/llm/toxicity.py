@@ -310,7 +310,7 @@ class Model:
 
 
 def labelled_words(documents: DataFrame, labels: DataFrame, language: np.ndarray, max_rows: int) -> DataFrame:
-    """``y, share, tokens, words`` of the labelled texts; ``share`` is 1 over the number of copies of a text among them."""
+    """``y, share, tokens, words`` (between blanks) of the labelled texts; ``share`` is 1 over the number of copies of a text among them."""
     known = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("double").alias("y"))
         .where("doc_id IS NOT NULL AND y IS NOT NULL")
@@ -332,9 +332,9 @@ def labelled_words(documents: DataFrame, labels: DataFrame, language: np.ndarray
         reader = Reader(language)
         for batch in batches:
             found = [reader.words(t) for t in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "family": batch["family"], "tokens": [n for _, n in found], "words": [sorted(w) for w, _ in found]})
+            yield pd.DataFrame({"y": batch["y"], "family": batch["family"], "tokens": [n for _, n in found], "words": [" ".join(sorted(w)) for w, _ in found]})
 
-    schema = "y double, family long, tokens int, words array<string>"
+    schema = "y double, family long, tokens int, words string"
     read = materialize(bounded_batches(family).mapInPandas(run, schema), "labelled")
     copies = within(read.groupBy("family").agg((1 / F.count("*")).alias("share")))  # of the bounded sample
     return read.join(copies, "family").select("y", "share", "tokens", "words")
@@ -355,7 +355,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
             for at in range(0, len(batch), CHUNK):
                 part, a = batch.iloc[at : at + CHUNK], Counter()
                 for y, share, held in zip(part["y"], part["share"], part["words"]):
-                    for f in {f for w in held for f in features(w)}:
+                    for f in {f for w in held.split(" ") if w for f in features(w)}:
                         a[f] += share * y
                 if a:
                     yield pd.DataFrame({"f": list(a), "a": list(a.values())})
@@ -372,7 +372,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
         find = Finder(likely)
         for batch in batches:
             rest = batch[["y", "share", "tokens"]].copy()
-            rest["found"] = [sorted(find(held)) for held in batch["words"]]
+            rest["found"] = [sorted(find(held.split(" "))) for held in batch["words"]]
             yield rest
 
     rows = materialize(rows.mapInPandas(likely_ones, "y double, share double, tokens int, found array<string>"), "likely")

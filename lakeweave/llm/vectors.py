@@ -25,14 +25,15 @@ def summed(rows: DataFrame, per_task: Callable[[Iterator[pd.DataFrame]], Iterato
         for vector in per_task(batches):
             pieces = [(i, vector[i : i + PIECE]) for i in range(0, size, PIECE)]
             salt = TaskContext.get().partitionId() % SALTS
-            yield pd.DataFrame([(i, salt, x) for i, x in pieces if x.any()], columns=["i", "salt", "v"])
+            yield pd.DataFrame([(i, salt, x.astype("<i8").tobytes()) for i, x in pieces if x.any()], columns=["i", "salt", "v"])
 
     def add(key, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "salt": [key[-1]], "v": [np.sum(np.array(group["v"].tolist()), axis=0)]})
+        total = sum(np.frombuffer(v, "<i8") for v in group["v"])
+        return pd.DataFrame({"i": [key[0]], "salt": [key[-1]], "v": [total.tobytes()]})
 
-    schema = "i long, salt long, v array<long>"
+    schema = "i long, salt long, v binary"
     total = np.zeros(size, np.int64)
     parts = rows.mapInPandas(run, schema).groupBy("i", "salt").applyInPandas(add, schema)
     for r in parts.groupBy("i").applyInPandas(add, schema).collect():
-        total[r["i"] : r["i"] + PIECE] = r["v"]
+        total[r["i"] : r["i"] + PIECE] = np.frombuffer(r["v"], "<i8")
     return total
