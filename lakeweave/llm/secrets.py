@@ -60,22 +60,27 @@ BASE_RULES = (
 # A private key goes to its END line, or else over its header lines and its lines of base64; line ends may be
 # written as \n and lines may be quoted. Possessive repeats keep the engine from retrying and from recursion.
 _BREAK = r"(?:\\[nr]|[\r\n])(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*+"
+# The first part of a header's name is shorter than any line of base64, so a line is one or the other.
+_NAME = r"[A-Z][A-Za-z0-9]{0,18}+(?:-[A-Za-z0-9]*+)*+"
 PEM = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:"
     r"[^-]*+(?:-(?!----)[^-]*+)*+-{5,}+END [A-Z ]{0,24}PRIVATE KEY-----"
-    rf"|(?:{_BREAK}[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
+    rf"|(?:{_BREAK}{_NAME}:\x20[^\r\n\\]*+)*+"
     r"(?:(?:(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*+[A-Za-z0-9+/]{20,}+=*+)++"
     rf"(?:{_BREAK}[A-Za-z0-9+/]++=*+(?=[\x20\x09\"',]*+(?:[\r\n\\]|$)))?+)?+)"
 )
 # The same without possessive repeats: a key with its END line, one with base64, one with header lines only.
 _PLAIN_BREAK = _BREAK.replace("*+", "*")
 _BEGIN = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-_HEADERS = rf"(?:{_PLAIN_BREAK}[A-Z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*"
+_HEADER = rf"(?:{_PLAIN_BREAK}{_NAME.replace('}+', '}').replace('*+', '*')}:\x20[^\r\n\\]*)"
+_SEPARATOR = r"(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*"
+_BASE64 = rf"[A-Za-z0-9+/]{{20,}}=*(?:{_SEPARATOR}[A-Za-z0-9+/]{{20,}}=*)*"
 PLAIN_PEM = (
     rf"({_BEGIN}[^-]*(?:-{{1,4}}[^-]+)*-{{5,}}END [A-Z ]{{0,24}}PRIVATE KEY-----)"
-    rf"|({_BEGIN}{_HEADERS}(?:(?:\\[nrt]|[\x20\x09\r\n\"',>|*#])*[A-Za-z0-9+/]{{20,}}=*)+)"
+    # A line of headers goes to its end, so what follows the last one begins with a line end.
+    rf"|({_BEGIN}(?:{_HEADER}+(?:\\[nrt]|[\r\n]))?{_SEPARATOR}{_BASE64})"
     rf"(?:({_PLAIN_BREAK}[A-Za-z0-9+/]+=*)[\x20\x09\"',]*(?:[\r\n\\]|$))?"
-    rf"|({_BEGIN}{_HEADERS})"
+    rf"|({_BEGIN}{_HEADER}*)"
 )
 LOGIN_URL = r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D:/@]++:[^\x20\x09-\x0D/@]++@"
 # Published formats of tokens and keys.
