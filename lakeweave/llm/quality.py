@@ -2,14 +2,26 @@
 
 Words are encoded on their own with a public vocabulary that falls back to bytes. Characters per token,
 the share of byte tokens and the entropy of a text's tokens are held against bands of its
-language, or of its main script where the language has none. Texts with too few words or too many
+language, or of its main script where it has none. Texts with too few words or too many
 repeated ones fail before that.
 
+The bands are fitted to all texts that didn't fail. Both metrics of a text change with its length, so a language has a band
+per size class (half a power of two of characters): the median, and ``WIDTH`` robust deviations to both sides. The
+deviation is 1.4826 times the median distance from the median, at least what chance alone gives to a text of that many
+tokens, so a class full of near copies doesn't close its band around them; a class of ``n`` texts widens its band by
+``1 + 4 / sqrt(n)``. Texts that are low in characters per token and in entropy at once are held against a band of
+their mean deviation too. Medians come from counts of rounded metrics, so they are exact for these, don't depend on
+partitions and take as many rows as there are bins. Texts with equal metrics count once per class. The bands hold as long as
+more than half of the different texts of a class are prose.
+
+Texts inside the bands with more than ``MAX_SYMBOLS_PER_WORD`` symbols a word go as well; ``rejected_by`` tells which rule
+decided.
+
 Every text is measured whole. A worker remembers how it encoded a word, up to ``MEMORY_WORDS``
 words, then starts over; results don't depend on it.
 
 Defined results: null and empty texts have zero words and fail; texts without a token have no fertility;
-a null or unknown language takes the script's band; repeated rows are judged alike; an empty table gives
+a null language takes the script's band; repeated rows are judged alike; an empty table gives
 an empty result; further columns are passed on as they are.
 """
 
@@ -20,10 +32,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import bounded_batches
+from lakeweave.llm.common import bounded_batches, within
+from lakeweave.session import materialize
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -33,26 +46,15 @@ WINDOW = 5
 MEMORY_WORDS = 100_000
 CHUNK_WORDS = 100_000
 
-# Rejection bands: characters per token from, to; most byte tokens per token; least entropy in bits of a
-# text's tokens, as a share of the entropy that as many different tokens would have.
-BANDS = {
-    "en": (1.4, 8.0, 0.10, 0.40),
-    "de": (1.2, 8.0, 0.15, 0.40),
-    "fr": (1.2, 8.0, 0.15, 0.40),
-    "es": (1.2, 8.0, 0.15, 0.40),
-    "latin": (1.1, 9.0, 0.25, 0.40),
-    "cyrillic": (0.9, 8.0, 0.30, 0.40),
-    "cjk": (0.3, 4.0, 0.80, 0.35),
-    "other": (0.2, 10.0, 1.00, 0.30),
-}
-# Beyond so many tokens a vocabulary is used up and the entropy no longer grows with the length.
-ENTROPY_TOKENS = 512
-# A document's symbols per word beyond which it is no prose.
+# How many robust deviations a band reaches to either side.
+WIDTH = 5.0
+# Metrics with bands: the width of a bin, and the least deviation of a text of one token (it falls with the root of the tokens).
+BANDED = {"chars_per_token": (0.01, 0.6), "token_entropy": (0.02, 1.0), "byte_share": (0.005, 0.5)}
+# A document's symbols per word beyond which it is no prose, whatever its band.
 MAX_SYMBOLS_PER_WORD = 0.30
-MAX_DUP_LINE_SHARE = 0.50
 
 METRICS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
 )
 
@@ -190,10 +192,10 @@ def _measure_chunk(texts: list[str], split: list[list[bytes]], path: str) -> pd.
     doc = np.repeat(np.arange(docs), n_words)
     tokens, in_bytes, entropy = _fertility(memory, ids, doc, docs)
     chars = np.array([len(t) - sum(map(t.count, SPACES)) for t in texts], np.int64)
-    dup, lines = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+    dup = np.zeros(docs, np.int64)
     for i, t in enumerate(texts):
         full = [x for x in t.split("\n") if x.strip(SPACES)]
-        lines[i], dup[i] = len(full), len(full) - len(set(full))
+        dup[i] = len(full) - len(set(full))
     some = np.maximum(tokens, 1)
     return pd.DataFrame(
         {
@@ -202,7 +204,6 @@ def _measure_chunk(texts: list[str], split: list[list[bytes]], path: str) -> pd.
             "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts],
             "n_dup_lines": dup,
             "n_repeat_words": repeated(ids, doc, docs),
-            "n_lines": lines,
             "n_tokens": tokens,
             "chars_per_token": np.where(tokens > 0, chars / some, 0.0),
             "byte_share": np.where(tokens > 0, in_bytes / some, 0.0),
@@ -229,38 +230,92 @@ def measure(texts, path: str) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def measured(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """``row`` (all columns) and ``m`` (the metrics) per document."""
+def measured(documents: DataFrame, path: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``row`` (``columns``, else all) and ``m`` (the metrics) per document."""
     path = path or vocabulary_path()
 
     @F.pandas_udf(METRICS)
     def metrics(texts: pd.Series) -> pd.DataFrame:
         return measure(texts, path)
 
-    rows = bounded_batches(documents).select(F.struct("*").alias("row"), documents["text"].cast("string").alias("text"))
-    return rows.select("row", metrics("text").alias("m"))
+    kept = F.struct(*[documents[c] for c in (documents.columns if columns is None else columns)])
+    rows = bounded_batches(documents).select(kept.alias("row"), documents["text"].cast("string").alias("text"), _language(documents))
+    return rows.select("row", metrics("text").alias("m"), "lang").select(
+        "row",
+        "m",
+        F.coalesce("lang", F.concat(F.lit("script "), F.col("m.script"))).alias("band"),
+        F.floor(2 * F.log2(F.greatest(F.col("m.word_chars"), F.lit(1)))).alias("size"),
+        (
+            (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("m.n_words"))
+        ).alias("base_failed"),
+    )
 
 
-def _verdict(lang: str, m: str):
-    """``base_failed`` and ``kept`` as SQL over the metrics."""
-    failed = f"({m}.n_words < {MIN_WORDS} OR 100 * {m}.n_repeat_words > {MAX_REPEATED_PERCENT} * {m}.n_words)"
-    band = (
-        f"CASE WHEN {lang} IN ({', '.join(repr(b) for b in BANDS if len(b) == 2)}) THEN {lang} ELSE {m}.script END"
-    )
-    inside = " ".join(
-        f"WHEN '{name}' THEN {m}.chars_per_token BETWEEN {lo}D AND {hi}D AND {m}.byte_share <= {most}D "
-        f"AND {m}.token_entropy >= {least}D * log2(least({m}.n_tokens, {ENTROPY_TOKENS}))"
-        for name, (lo, hi, most, least) in BANDS.items()
-    )
-    prose = f"{m}.n_symbols <= {MAX_SYMBOLS_PER_WORD}D * {m}.n_words AND {m}.n_dup_lines <= {MAX_DUP_LINE_SHARE}D * {m}.n_lines"
-    fits = f"coalesce(CASE {band} {inside} ELSE false END, false)"
-    return F.expr(failed), F.expr(f"NOT {failed} AND {prose} AND {fits}")
+def _language(documents: DataFrame) -> Column:
+    known = documents["lang"].cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    return known.alias("lang")
+
+
+def _weighted_median(keys: list[str], value: str) -> Column:
+    """The smallest value that half of the counted texts of a group don't exceed, of a table of counts ``cnt``."""
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    reached = F.when(2 * F.sum("cnt").over(upto) >= F.sum("cnt").over(whole), F.col(value))
+    return reached
 
 
-def judge(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """``row, m, base_failed, kept`` per document. ``lang`` is used where there is such a column."""
-    failed, kept = _verdict("row.lang" if "lang" in documents.columns else "cast(null AS string)", "m")
-    return measured(documents, path).select("row", "m", failed.alias("base_failed"), kept.alias("kept"))
+def bands(scored: DataFrame) -> DataFrame:
+    """``band, size`` and per metric its median, deviation and number of different texts.
+
+    ``scored`` is the result of ``measured``. The windows run over counts per bin, whose number doesn't grow with the texts.
+    """
+    bins = [F.round(F.col(f"m.{name}") / width).cast("long").alias(name) for name, (width, _) in BANDED.items()]
+    texts = scored.where("NOT base_failed").select("band", "size", "m.n_words", "m.word_chars", "m.n_tokens", *bins).distinct()
+    each = ", ".join(f"'{name}', {name}" for name in BANDED)
+    keys = ["band", "size", "metric"]
+    counts = texts.selectExpr("band", "size", f"stack({len(BANDED)}, {each}) AS (metric, bin)").groupBy(*keys, "bin").agg(
+        F.count("*").alias("cnt")
+    )
+    centred = counts.withColumn("reached", _weighted_median(keys, "bin")).withColumn(
+        "mid", F.min("reached").over(Window.partitionBy(*keys))
+    )
+    spread = centred.groupBy(*keys, "mid", F.abs(F.col("bin") - F.col("mid")).alias("far")).agg(F.sum("cnt").alias("cnt"))
+    found = spread.withColumn("reached", _weighted_median(keys, "far")).groupBy(*keys, "mid").agg(
+        F.min("reached").alias("far"), F.sum("cnt").alias("n")
+    )
+    columns = []
+    for name, (width, _) in BANDED.items():
+        here = F.col("metric") == name
+        columns += [
+            F.max(F.when(here, F.col("mid") * width)).alias(f"{name}_mid"),
+            F.max(F.when(here, 1.4826 * F.col("far") * width)).alias(f"{name}_dev"),
+        ]
+    return found.groupBy("band", "size").agg(*columns, F.max("n").alias("n"))
+
+
+def judge(documents: DataFrame, path: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``row, m, base_failed, rejected_by, kept`` per document; ``row`` holds ``columns``, else all of them.
+
+    ``rejected_by`` is ``base``, the first metric that lies outside its band, ``both`` for their mean, ``symbols``, or null.
+    """
+    scored = materialize(measured(documents, path, columns), "metrics")
+    joined = scored.join(within(bands(scored)), ["band", "size"], "left")
+    wide = WIDTH * (1 + 4 / F.sqrt("n"))
+
+    def deviation(name: str) -> Column:
+        least = F.lit(BANDED[name][1]) / F.sqrt(F.greatest(F.col("m.n_tokens"), F.lit(1)))
+        return (F.col(f"m.{name}") - F.col(f"{name}_mid")) / F.greatest(F.col(f"{name}_dev"), least)
+
+    outside = F.when(F.col("base_failed"), "base")
+    for name in BANDED:
+        outside = outside.when(F.abs(deviation(name)) > wide, name)
+    both = (deviation("chars_per_token") + deviation("token_entropy")) / F.sqrt(F.lit(2.0))
+    outside = outside.when(both < -wide, "both").when(
+        F.col("m.n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("m.n_words"), "symbols"
+    )
+    return joined.select("row", "m", "base_failed", outside.alias("rejected_by")).withColumn(
+        "kept", F.col("rejected_by").isNull()
+    )
 
 
 def keep(documents: DataFrame, path: str | None = None) -> DataFrame:

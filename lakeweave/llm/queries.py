@@ -68,12 +68,13 @@ def personal_data(spark, sf_dir):
 @add("op5_token_fertility")
 def token_fertility(spark, sf_dir):
     """Quality rules for every document, with the fertility of its tokens."""
-    judged = quality.judge(read(spark, sf_dir, "documents"))
+    judged = quality.judge(read(spark, sf_dir, "documents"), columns=["doc_id"])
     return judged.select(
         F.col("row.doc_id").alias("doc_id"),
         *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
         "kept",
+        "rejected_by",
         *[f"m.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")],
     )
 

@@ -1,6 +1,6 @@
 """Quality rules (op5) and the classifier (op4)."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
@@ -48,6 +48,48 @@ def test_fertility():
     assert abs(got.token_entropy + (counts * np.log2(counts)).sum()) < 1e-8
 
 
+def test_bands_by_definition(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scored = quality.measured(documents)
+    got = {(r.band, r["size"]): r for r in quality.bands(scored).collect()}
+    classes = defaultdict(set)
+    for r in scored.where("NOT base_failed").collect():
+        bins = [int(np.floor(r.m[name] / width + 0.5)) for name, (width, _) in quality.BANDED.items()]
+        classes[r.band, r["size"]].add((r.m.n_words, r.m.word_chars, r.m.n_tokens, *bins))
+    assert set(got) == set(classes)
+    for key, texts in classes.items():
+        for i, (name, (width, _)) in enumerate(quality.BANDED.items()):
+            values = sorted(t[3 + i] for t in texts)
+            middle = values[(len(values) - 1) // 2]
+            far = sorted(abs(v - middle) for v in values)[(len(values) - 1) // 2]
+            assert abs(got[key][f"{name}_mid"] - middle * width) < 1e-9
+            assert abs(got[key][f"{name}_dev"] - 1.4826 * far * width) < 1e-9
+        assert got[key].n == len(texts)
+
+
+def test_bands_alone_reject_junk(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    judged = quality.judge(documents, columns=["doc_id"]).where("NOT base_failed")
+    junk = f"m.n_symbols > {quality.MAX_SYMBOLS_PER_WORD} * m.n_words"
+    rows = judged.selectExpr(f"{junk} AS junk", "rejected_by").collect()
+    by = Counter((r.junk, r.rejected_by) for r in rows)
+    by_bands = sum(n for (is_junk, rule), n in by.items() if is_junk and rule != "symbols")
+    assert by_bands >= 0.6 * sum(n for (is_junk, _), n in by.items() if is_junk)
+    assert by_bands > by[True, "symbols"]
+    clean = sum(n for (is_junk, _), n in by.items() if not is_junk)
+    assert by[False, None] >= 0.998 * clean
+
+
+def test_near_copies_do_not_close_a_band(spark):
+    rows = [(i, brute.prose(i, 200), "en") for i in range(60)]
+    copy = brute.prose(1000, 200).split(" ")
+    rows += [(100 + i, " ".join([*copy[:i], "x" * (i % 7 + 1), *copy[i + 1 :]]), "en") for i in range(150)]
+    rows += [(900, "zq|#&" * 300 + " xj" * 20, "en")]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r.row.doc_id for r in judged.select("row", "kept").collect() if r.kept}
+    assert set(range(60)) <= kept and 900 not in kept
+
+
 def test_kept_documents_are_unchanged(documents, empty):
     kept = quality.keep(documents)
     assert kept.columns == documents.columns
