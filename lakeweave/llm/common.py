@@ -17,8 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Rows that a broadcast side may have, counted before the hint is given. Beyond it the join shuffles.
+# Rows and bytes that a broadcast side may have, counted before the hint is given. Beyond them the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SHINGLE = 5
 # Bytes of a batch that goes to Python, where the session doesn't set a bound of its own.
 BATCH_BYTES = "8m"
@@ -85,6 +86,12 @@ def shingle_texts(words_column: str, width: int = SHINGLE) -> Column:
     return _runs(words_column, width, f"array_join({words_column}, ' ')", "concat_ws(' ', {})", "string")
 
 
+def runs_of(words_column: str, widths: list[int], texts: bool = False) -> Column:
+    """The different runs of each of several widths, as hashes or as texts."""
+    one = shingle_texts if texts else shingles
+    return F.array_distinct(F.concat(*[one(words_column, width) for width in widths]))
+
+
 def exploded(df: DataFrame, keep: list[str], array: str, name: str) -> DataFrame:
     """``keep`` and one row per element of an array without nulls.
 
@@ -94,10 +101,22 @@ def exploded(df: DataFrame, keep: list[str], array: str, name: str) -> DataFrame
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written to the shared folder, with a broadcast hint if its counted rows are few.
+def within(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written to the shared folder, with a broadcast hint if its counted rows are few and small.
 
     Without the hint the join shuffles both sides and adaptive execution splits skewed keys.
     """
     kept = materialize(df, "side")
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return F.broadcast(kept) if kept.count() <= rows and value_bytes(kept) <= size else kept
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values: eight for one of fixed width, else those of its text form."""
+    wide = ("string", "binary", "array", "struct", "map")
+    each = [
+        F.coalesce(F.octet_length(F.col(f"`{name}`") if kind == "binary" else F.col(f"`{name}`").cast("string")), F.lit(0))
+        if kind.startswith(wide)
+        else F.lit(8)
+        for name, kind in df.dtypes
+    ]
+    return df.agg(F.sum(sum(each, F.lit(0)).cast("long")).alias("bytes")).first()["bytes"] or 0

@@ -66,12 +66,12 @@ SHINGLES = (
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 CONTAINED = f"""
-WITH items AS (
-  SELECT item_id, unnest(list_distinct({SHINGLES})) AS sh
-  FROM (SELECT item_id, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark)),
+WITH listed AS (SELECT item_id, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
+items AS (SELECT item_id, unnest(list_distinct({SHINGLES})) AS sh FROM listed),
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM listed WHERE len(w) > 0),
 held AS (
-  SELECT doc_id, unnest(list_distinct({SHINGLES})) AS sh
-  FROM (SELECT doc_id, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents)),
+  SELECT DISTINCT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' ')))) AS sh
+  FROM (SELECT doc_id, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents), widths),
 sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item
 FROM held JOIN items USING (sh) JOIN sizes USING (item_id)

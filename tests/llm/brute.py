@@ -99,12 +99,18 @@ def components(sets):
 
 def contained(documents, items):
     """Pairs (doc_id, item_id, shared, n_item)."""
-    out = set()
+    wanted = []
     for item_id, text in set(items):
-        want = shingles(words((text or "").lower()))
-        for doc_id, body in documents:
-            shared = len(want & shingles(words((body or "").lower())))
-            if want and 100 * shared >= 80 * len(want):
+        item = words((text or "").lower())
+        if item:
+            wanted.append((item_id, min(5, len(item)), shingles(item)))
+    out = set()
+    for doc_id, body in documents:
+        held = words((body or "").lower())
+        runs = {k: {tuple(held[i : i + k]) for i in range(len(held) - k + 1)} for k in {k for _, k, _ in wanted}}
+        for item_id, width, want in wanted:
+            shared = len(want & runs[width])
+            if 100 * shared >= 80 * len(want):
                 out.add((doc_id, item_id, shared, len(want)))
     return out
 

@@ -6,11 +6,13 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from brute import prose
 from lakeweave.llm import decontaminate, jaccard
 from lakeweave.llm import shingle_sets as S
+from lakeweave.llm.common import value_bytes, within
 from lakeweave.llm.graph import components
 
 
@@ -41,6 +43,48 @@ def test_contained_items(spark, documents, texts, empty):
     assert decontaminate.search(documents, frame.where("false")).count() == 0
 
 
+def test_short_items_inside_long_texts(spark):
+    body = prose(8, 104).split()
+    rows = [
+        (1, " ".join([*body[:50], "Alpha", "beta\ngamma", "delta", *body[50:]])),
+        (2, " ".join([*body[:50], "alpha", "beta", "x", "gamma", "delta", *body[50:]])),
+        (3, "alpha beta gamma delta"),
+        (4, "alpha"),
+        (5, prose(9, 5000) + " solo"),
+        (6, None),
+    ]
+    items = [(1, "alpha beta gamma delta"), (2, "gamma delta"), (3, "solo"), (4, "beta alpha"), (5, "alpha"), (6, "")]
+    got = decontaminate.search(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    got = {tuple(r) for r in got.select("doc_id", "item_id", "shared", "n_item").collect()}
+    pairs = {(1, 1), (1, 2), (1, 5), (2, 2), (2, 5), (3, 1), (3, 2), (3, 5), (4, 5), (5, 3)}
+    assert got == {(*p, 1, 1) for p in pairs} == brute.contained(rows, items)
+
+
+def test_partitions_by_size(spark):
+    """A text enters only the partitions of which it can hold an item, and none of its items is missed."""
+    items = [(n, prose(200 + n, n, 10**6)) for n in (1, 5, 7, 12, 40, 41, 90, 300, 1000)]
+    rows = [(n, f"{prose(n, 9)} {text} {prose(n + 1, 9)}") for n, text in items]
+    rows += [(n + 1, text.rsplit(" ", max(1, n // 9))[0]) for n, text in items if n > 1]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.sketches(decontaminate.item_shingles(frame))
+    floors = decontaminate.partitions(index).orderBy("part").collect()
+    assert len(floors) >= 6 and [r.least for r in floors] == sorted(r.least for r in floors)
+    reach = spark.range(2000).select("id", decontaminate._reach(F.col("id"), floors).alias("reach")).collect()
+    for r in reach:
+        assert r.reach == max((f.part for f in floors if f.least <= r.id), default=-1)
+    got = decontaminate.search(spark.createDataFrame(rows, "doc_id long, text string"), frame)
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "shared", "n_item").collect()} == brute.contained(rows, items)
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    frame = spark.createDataFrame([(i, "x" * 1000) for i in range(20)], "a long, t string")
+    plan = lambda side: spark.range(5).withColumnRenamed("id", "a").join(side, "a")._jdf.queryExecution().logical().toString()
+    assert value_bytes(frame) == 20 * 1008
+    assert "broadcast" in plan(within(frame)) and "broadcast" not in plan(within(frame, size=10_000))
+
+
 def test_sketch_reaches_every_threshold(spark):
     """Of an item's shingles any 80 percent meet its sketch."""
     r = random.Random(5)
