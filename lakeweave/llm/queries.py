@@ -99,7 +99,10 @@ def warc_archive(spark, sf_dir):
     """All pages written to a content-addressed archive and read back."""
     folder = work_dir(spark, "archive")
     warc.write(read(spark, sf_dir, "pages"), folder)
-    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"), F.sha1("record").alias("record_sha1"),
+    )
 
 
 @add("op8_url_filter", sql.URLS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lakeweave.llm import secrets, sharding
+from lakeweave.llm import secrets, sharding, warc
 
 
 def _quoted(s: str) -> str:
@@ -92,14 +92,22 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.x, l.y FROM reac
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id
 FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n"""
 
-ARCHIVE = """
-WITH r AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS digest FROM r),
-t AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM d)
+ARCHIVE = f"""
+WITH r AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, octet_length(encode(h)) AS n, sha1(h) AS digest FROM r),
+t AS (SELECT *, n >= 1000 AND page_id <> max(page_id) OVER same AS again, max(page_id) OVER same AS top, chr(13) || chr(10) AS nl
+  FROM d WINDOW same AS (PARTITION BY digest, n)),
+x AS (SELECT *, 'WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || nl
+  || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Date: {warc.DATE}' || nl
+  || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || nl, '')
+  || 'WARC-Payload-Digest: sha1:' || digest || nl
+  || CASE WHEN again THEN 'WARC-Profile: {warc.PROFILE}' || nl || 'WARC-Refers-To: <urn:page:' || top || '>' || nl ELSE '' END
+  || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || nl || nl
+  || CASE WHEN again THEN '' ELSE h END || nl || nl AS record FROM t)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
-  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
-FROM t"""
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to,
+  CAST(octet_length(encode(record)) AS BIGINT) AS record_bytes, sha1(record) AS record_sha1
+FROM x"""
 
 # The rules of the contract.
 URL_RULES = [
