@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 
 from lakeweave import params as P
 from lakeweave.functions import text
+from lakeweave.session import materialize
 from lakeweave.sources.lake import Cells
 
 KEY = ["table_id", "ordinal"]
 STATS = ("mean", "std", "q25", "q50", "q75")
 _QUARTILES = (0.25, 0.5, 0.75)
 
+# Parts of a range of values (a power of two), and tasks over which the values of one column are divided.
+_PARTS = 128
+_SALTS = 16
+
 
 @dataclass(frozen=True)
 class ValueCounts:
@@ -121,87 +126,122 @@ def distinct_counts(counts: ValueCounts) -> DataFrame:
 
 def quartiles(
     numeric: DataFrame,
-    cells: Cells,
     largest: int | None = None,
-    max_values: int = P.SCALE.exact_percentile_values,
+    max_values: int = P.SCALE.values_in_order,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> DataFrame:
-    """Exact linearly interpolated quartiles of every numeric column.
+    """Exact linearly interpolated quartiles of every numeric column, by selection of ranks.
 
-    A column with at most ``max_values`` different values fits an aggregation
-    buffer. For a larger one a sketch brackets each quartile within a few
-    ten-thousandths of the ranks; exact counts below the bracket and a running sum
-    inside it then give the same value. ``largest``, the row count of the largest
-    table where it is known, tells when no column can be that large.
+    A range of a column's values has some of the ranks that its quartiles need, and the number of rows below
+    it. At first it is the whole column. A range with more than ``max_values`` different values is cut
+    into parts of about as many different values each, with edges from a sketch; the rows of each part are counted, and
+    the parts that hold a wanted rank are the next ranges. The sketch decides only how even the parts are.
+    So at most ``max_values`` values per range are ever put in order, however large or skewed a column is.
+
+    Each round reads ``numeric`` twice, so it should be a written table, and fetches one number, the size of the
+    largest range. ``largest``, the row count of the largest table where it is known, may spare that.
     """
-    names = [F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
-
-    def buffered(df: DataFrame) -> DataFrame:
-        q = F.percentile("value", list(_QUARTILES), F.col("cnt"))
-        return df.groupBy(*KEY).agg(q.alias("q")).select(*KEY, *names)
-
-    if largest is not None and largest <= max_values:
-        return buffered(numeric)
-    sizes = numeric.groupBy(*KEY).agg(F.count("*").alias("n_values"), F.sum("cnt").alias("n"))
-    large = sizes.filter(F.col("n_values") > max_values).select(*KEY, "n")
-    small = numeric.join(large.select(*KEY), KEY, "left_anti")
-    return buffered(small).unionByName(_bracketed_quartiles(numeric, cells, large))
-
-
-def _bracketed_quartiles(numeric: DataFrame, cells: Cells, large: DataFrame) -> DataFrame:
-    accuracy, slack = 10_000, 3 / 10_000
-    edges = [max(0.0, q - slack) for q in _QUARTILES] + [min(1.0, q + slack) for q in _QUARTILES]
-    brackets = (
-        _numbers(cells)
-        .filter(F.col("value").isNotNull())
-        .join(large, KEY, "left_semi")
-        .groupBy(*KEY)
-        .agg(F.percentile_approx("value", edges, accuracy).alias("e"))
-        .join(large, KEY)
-        .select(
-            *KEY,
-            F.posexplode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(q).alias("q"), F.col("e")[i].alias("low"), F.col("e")[i + 3].alias("high")
-                        )
-                        for i, q in enumerate(_QUARTILES)
-                    ]
-                )
-            ).alias("target", "b"),
-            ((F.col("n") - 1) * F.col("b.q")).alias("position"),
+    ranges = _whole_columns(numeric)
+    if largest is None or largest > max_values:
+        # A range of one number is not cut: different whole numbers beyond 2^53 may be the same double.
+        wide = (F.col("n_values") > max_values) & (F.col("low") < F.col("high"))
+        ranges, before = keep(ranges, "ranges"), None
+        while (size := ranges.agg(F.max(F.when(wide, F.col("n_values")))).first()[0]) and size != before:
+            before = size
+            ranges = keep(ranges.filter(~wide).unionByName(_cut(numeric, ranges.filter(wide))), "ranges")
+    return _interpolated(_at_ranks(numeric, ranges))
+
+
+def _position(q: float) -> Column:
+    return (F.col("n") - 1) * F.lit(q)
+
+
+def _whole_columns(numeric: DataFrame) -> DataFrame:
+    ranks = [f(_position(q)).cast("long") for q in _QUARTILES for f in (F.floor, F.ceil)]
+    return (
+        numeric.groupBy(*KEY)
+        .agg(
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.count("*").alias("n_values"),
+            F.sum("cnt").alias("n"),
         )
-        .select(*KEY, "target", "position", F.col("b.low").alias("low"), F.col("b.high").alias("high"))
+        .select("*", F.lit(0).cast("long").alias("below"), F.array_distinct(F.array(*ranks)).alias("ranks"))
     )
-    rows = numeric.join(brackets, KEY)
-    below = rows.groupBy(*KEY, "target").agg(
-        F.sum(F.when(F.col("value") < F.col("low"), F.col("cnt")).otherwise(0)).alias("below")
+
+
+def _inside(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The values inside the ranges. A column is divided by a salt, as one may hold most of the values."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    salt = F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int")
+    return (
+        numeric.select(*KEY, "value", "cnt", salt.alias("salt"))
+        .join(ranges.withColumn("salt", salts), [*KEY, "salt"])
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
     )
-    running = Window.partitionBy(*KEY, "target").orderBy("value")
-    ranked = (
-        rows.filter(F.col("value").between(F.col("low"), F.col("high")))
-        .withColumn("inside", F.sum("cnt").over(running))
-        .join(below, [*KEY, "target"])
-        .withColumn("upto", F.col("inside") + F.col("below"))
+
+
+def _cut(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The parts of the ranges that hold a wanted rank."""
+    shares = [i / _PARTS for i in range(1, _PARTS)]
+    edges = (
+        _inside(numeric, ranges.select(*KEY, "low", "high"))
+        .groupBy(*KEY, "low")
+        .agg(F.percentile_approx("value", shares, 10_000).alias("edges"))
     )
-    floor, ceil = F.floor("position"), F.ceil("position")
-    return (
-        ranked.groupBy(*KEY, "target", "position")
-        .agg(
-            F.min(F.when(F.col("upto") > floor, F.col("value"))).alias("lower"),
-            F.min(F.when(F.col("upto") > ceil, F.col("value"))).alias("upper"),
-        )
-        .withColumn(
-            "v", F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("position") - floor)
-        )
-        .groupBy(*KEY)
+    # Binary search: the number of edges up to the value.
+    steps = F.array(*[F.lit(_PARTS >> i) for i in range(1, _PARTS.bit_length())])
+    part = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.col("value") >= F.get("edges", at + step - 1), at + step).otherwise(at),
+    )
+    counted = (
+        _inside(numeric, ranges.select(*KEY, "low", "high").join(edges, [*KEY, "low"]))
+        .groupBy(*KEY, F.col("low").alias("outer_low"), part.alias("part"))
         .agg(
-            *[
-                F.max(F.when(F.col("target") == i, F.col("v"))).alias(n)
-                for i, n in enumerate(("q25", "q50", "q75"))
-            ]
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.count("*").alias("n_values"),
+            F.sum("cnt").alias("n_inside"),
         )
     )
+    before = Window.partitionBy(*KEY, "outer_low").orderBy("part")
+    outer = ranges.select(*KEY, F.col("low").alias("outer_low"), "n", "below", "ranks")
+    upto = F.col("below") + F.sum("n_inside").over(before)
+    parts = counted.join(outer, [*KEY, "outer_low"]).withColumn("upto", upto)
+    parts = parts.withColumn("below", F.col("upto") - F.col("n_inside"))
+    held = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto")))
+    return (
+        parts.withColumn("ranks", held)
+        .filter(F.size("ranks") > 0)
+        .select(*KEY, "low", "high", "n_values", "n", "below", "ranks")
+    )
+
+
+def _at_ranks(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``n, rank, value`` for every wanted rank of every column."""
+    order = Window.partitionBy(*KEY, "low").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _inside(numeric, ranges).withColumn("upto", F.col("below") + F.sum("cnt").over(order))
+    held = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("cnt")) & (r < F.col("upto")))
+    return rows.select(*KEY, "n", "value", F.explode(held).alias("rank"))
+
+
+def _interpolated(found: DataFrame) -> DataFrame:
+    def at(rank: Column) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col("value")))
+
+    ends = []
+    for q, name in zip(_QUARTILES, STATS[2:]):
+        ends += [at(F.floor(_position(q))).alias(f"{name}_low"), at(F.ceil(_position(q))).alias(f"{name}_high")]
+    out = found.groupBy(*KEY, "n").agg(*ends)
+
+    def between(q: float, name: str) -> Column:
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        share = _position(q) - F.floor(_position(q))
+        return F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name)
+
+    return out.select(*KEY, *[between(q, name) for q, name in zip(_QUARTILES, STATS[2:])])
 
 
 def numeric_stats(
@@ -213,7 +253,7 @@ def numeric_stats(
     deviation of a single value.
     """
     stats = cell_summary(cells).select(*KEY, "mean", "std").join(
-        quartiles(counts.numeric, cells, largest), KEY, "left"
+        quartiles(counts.numeric, largest), KEY, "left"
     )
     return _in_units(columns.filter(F.col("col_type").isin(*P.NUMERIC_TYPES)).join(stats, KEY, "left"))
 
@@ -291,7 +331,7 @@ def column_profiles(
     ``counts`` and ``sizes`` are the value counts and the summary of the cells where they have been written already.
     """
     counts, sizes = counts or value_counts(cells), cell_summary(cells) if sizes is None else sizes
-    quarts = quartiles(counts.numeric, cells, largest)
+    quarts = quartiles(counts.numeric, largest)
     ranked = (
         top_values(frequencies(counts, sizes))
         .groupBy(*KEY)

@@ -142,7 +142,8 @@ class ScaleParams:
     cell_vectors: int = 8192
     max_cells: int = 2048
     centroid_sample: int = 16384
-    exact_percentile_values: int = 1_000_000
+    # Values of one column, or of a range of it, that one task puts in order.
+    values_in_order: int = 30_000
 
 
 SCALE = ScaleParams()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeweave import params as P
 from lakeweave.functions import ids
 from lakeweave.operators import profile
+from lakeweave.session import materialize
 from lakeweave.sources import lake as L
 from suite import common as C
 from suite.common import query
@@ -148,12 +149,10 @@ def _rounded_stats(df):
 @query("numeric_stats", f"WITH cells AS ({SQL_NUM}) {SQL_NUMERIC_STATS}")
 def numeric_stats(spark, sf_dir):
     groups = C.lake(spark, sf_dir)
-    cells = L.lake_cells(groups)
-    return _rounded_stats(
-        profile.numeric_stats(
-            L.lake_columns(groups), cells, profile.value_counts(cells), L.largest_table(groups)
-        )
-    )
+    cells, columns = L.lake_cells(groups), L.lake_columns(groups)
+    # The quartiles read the counts several times.
+    counts = profile.ValueCounts(profile.value_counts(cells).numeric, None).kept(materialize, columns)
+    return _rounded_stats(profile.numeric_stats(columns, cells, counts, L.largest_table(groups)))
 
 
 SPARSE_SQL = """

@@ -20,7 +20,7 @@ def test_bracketed_quartiles_equal_exact_ones(spark):
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, i bigint")
     columns, cells = cells_of(df)
     counts = profile.value_counts(cells)
-    got = {r.ordinal: r for r in profile.quartiles(counts.numeric, cells, max_values=100).collect()}
+    got = {r.ordinal: r for r in profile.quartiles(counts.numeric, max_values=100).collect()}
     for ordinal, data in ((0, values), (1, np.arange(len(values)))):
         want = np.percentile(data, [25, 50, 75], method="linear")
         assert [got[ordinal].q25, got[ordinal].q50, got[ordinal].q75] == pytest.approx(list(want))
@@ -29,10 +29,54 @@ def test_bracketed_quartiles_equal_exact_ones(spark):
 def test_small_and_large_columns_are_both_reported(spark):
     df = spark.range(1000).selectExpr("id AS many", "id % 5 AS few")
     _, cells = cells_of(df)
-    got = profile.quartiles(profile.value_counts(cells).numeric, cells, max_values=50)
+    got = profile.quartiles(profile.value_counts(cells).numeric, max_values=50)
     assert {(r.ordinal, r.q50) for r in got.collect()} == {(0, 499.5), (1, 2.0)}
 
 
+@pytest.mark.parametrize("max_values", [1, 7, 60, 5000])
+def test_quartiles_of_any_range_size(spark, max_values):
+    """Heavy tails, ties, both infinities, whole numbers that are one double, single rows, nulls and an empty column."""
+    rng = np.random.default_rng(11)
+    tails = rng.standard_cauchy(3000) ** 3
+    ties = rng.integers(0, 5, 3000).astype(float)
+    ends = np.concatenate([[-np.inf] * 20, rng.normal(size=2960), [np.inf] * 20])
+    close = (1 << 62) + np.arange(3000)
+    rows = [
+        (float(a), float(b), float(c), int(d), 4 if i == 5 else None, None)
+        for i, (a, b, c, d) in enumerate(zip(tails, ties, ends, close))
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d bigint, e int, f double")
+    _, cells = cells_of(df)
+    got = {r.ordinal: r for r in profile.quartiles(profile.value_counts(cells).numeric, None, max_values).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for ordinal, data in enumerate((tails, ties, ends, close.astype(float), np.array([4.0]))):
+        want = np.percentile(data, [25, 50, 75], method="linear")
+        assert [got[ordinal].q25, got[ordinal].q50, got[ordinal].q75] == pytest.approx(list(want), rel=1e-12)
+
+
+def test_quartiles_order_few_values(spark):
+    """After two cuts a column of 200,000 different values keeps six small ranges, and counts below them are exact."""
+    df = spark.range(200_000).selectExpr("id * id AS v")
+    _, cells = cells_of(df)
+    kept = []
+
+    def keep(frame, name):
+        kept.append(frame.cache())
+        return kept[-1]
+
+    numeric = profile.value_counts(cells).numeric.cache()
+    got = profile.quartiles(numeric, None, 100, keep).first()
+    want = np.percentile(np.arange(200_000, dtype=float) ** 2, [25, 50, 75], method="linear")
+    assert [got.q25, got.q50, got.q75] == pytest.approx(list(want))
+    sizes = [frame.agg(F.max("n_values"), F.sum("n_values")).first() for frame in kept]
+    assert sizes[0][0] == 200_000 and sizes[1][0] < 200_000 / 100 and sizes[-1][1] <= 600
+    assert len(kept) <= 4
+    for r in kept[-1].collect():
+        assert r.below == numeric.filter(F.col("value") < r.low).agg(F.sum("cnt")).first()[0]
+    for frame in [*kept, numeric]:
+        frame.unpersist()
+
+
 def test_edge_cases_of_column_profiles(spark):
     df = spark.createDataFrame(
         [(1, float("nan"), None, "x", None), (1, 2.0, None, "x", True), (2, None, None, "y", True)],
