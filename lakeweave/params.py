@@ -143,7 +143,7 @@ class ScaleParams:
     max_cells: int = 2048
     centroid_sample: int = 16384
     # Values of one column, or of a range of it, that one task puts in order.
-    values_in_order: int = 30_000
+    values_in_order: int = 1_000_000
 
 
 SCALE = ScaleParams()
