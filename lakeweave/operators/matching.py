@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave import params as P
 from lakeweave.functions import similarity as sim
+from lakeweave.session import materialize
 
 PAIR = ["source_table_id", "target_table_id"]
 
+# Columns with the same value that one task compares with all others.
+_COLUMNS_AT_ONCE = 256
+
 
 def column_features(profiles: DataFrame) -> DataFrame:
     """One row per table with the columns as an array of what matching reads.
@@ -223,29 +229,47 @@ def match_targets(
     return out
 
 
-def full_category_similarity(pairs: DataFrame, freqs: DataFrame) -> DataFrame:
+def full_category_similarity(
+    pairs: DataFrame, freqs: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialize
+) -> DataFrame:
     """Category similarity over all values of the given column pairs that share any.
 
     ``pairs`` has ``source_table_id, src_idx, target_table_id, tgt_idx`` and ``freqs`` has
-    ``table_id, ordinal, value, freq``. The second join is on (target
-    column, value), which is unique, so a value common to many columns does no harm.
+    ``table_id, ordinal, value, freq``. Values meet as 128 bits, and only those that more than one column holds go on, so
+    nothing is copied per pair of columns. A value with more than ``_COLUMNS_AT_ONCE`` columns is divided over tasks.
     """
     w_set, w_freq = P.CATEGORY_WEIGHTS
-    return pairs.sparkSession.sql(
+    spark = pairs.sparkSession
+    freqs = freqs.selectExpr(
+        "xxhash64(table_id, ordinal) AS c", "xxhash64(value) AS v1", "xxhash64(1, value) AS v2", "freq"
+    )
+    held = keep(
+        freqs.withColumn("m", F.count("*").over(Window.partitionBy("v1", "v2"))).filter("m > 1")
+        .withColumn("blocks", F.expr(f"int(ceil(m / {_COLUMNS_AT_ONCE}))")),
+        "shared-values",
+    )
+    # A value is held once by a column, so a pair of the same column is none of two.
+    shared = spark.sql(
+        """
+        WITH one AS (SELECT c, v1, v2, freq, int(pmod(c, blocks)) AS block FROM {held}),
+        other AS (SELECT c, v1, v2, freq, explode(sequence(0, blocks - 1)) AS block FROM {held})
+        SELECT a.c AS src, b.c AS tgt, count(*) AS n_shared, sum(a.freq * b.freq) AS dot
+        FROM one a JOIN other b ON a.v1 = b.v1 AND a.v2 = b.v2 AND a.block = b.block AND a.c <> b.c
+        GROUP BY a.c, b.c
+        """,
+        held=held,
+    )
+    return spark.sql(
         f"""
-        WITH sizes AS (
-          SELECT table_id, ordinal, count(*) AS n, sqrt(sum(freq * freq)) AS norm FROM {{freqs}} GROUP BY table_id, ordinal),
-        wanted AS (
-          SELECT p.*, f.value, f.freq FROM {{pairs}} p
-          JOIN {{freqs}} f ON f.table_id = p.source_table_id AND f.ordinal = p.src_idx),
-        shared AS (
-          SELECT w.source_table_id, w.src_idx, w.target_table_id, w.tgt_idx, count(*) AS n_shared, sum(w.freq * f.freq) AS dot
-          FROM wanted w JOIN {{freqs}} f ON f.table_id = w.target_table_id AND f.ordinal = w.tgt_idx AND f.value = w.value
-          GROUP BY w.source_table_id, w.src_idx, w.target_table_id, w.tgt_idx)
-        SELECT s.*, {w_set}D * n_shared / (a.n + b.n - n_shared) + {w_freq}D * dot / (a.norm * b.norm) AS sim_cat
-        FROM shared s JOIN sizes a ON a.table_id = s.source_table_id AND a.ordinal = s.src_idx
-        JOIN sizes b ON b.table_id = s.target_table_id AND b.ordinal = s.tgt_idx
+        WITH sizes AS (SELECT c, count(*) AS n, sqrt(sum(freq * freq)) AS norm FROM {{freqs}} GROUP BY c),
+        asked AS (
+          SELECT *, xxhash64(source_table_id, src_idx) AS src, xxhash64(target_table_id, tgt_idx) AS tgt FROM {{pairs}})
+        SELECT p.source_table_id, p.src_idx, p.target_table_id, p.tgt_idx, s.n_shared, s.dot,
+               {w_set}D * n_shared / (a.n + b.n - n_shared) + {w_freq}D * dot / (a.norm * b.norm) AS sim_cat
+        FROM {{shared}} s JOIN asked p ON p.src = s.src AND p.tgt = s.tgt
+        JOIN sizes a ON a.c = s.src JOIN sizes b ON b.c = s.tgt
         """,
         pairs=pairs,
         freqs=freqs,
+        shared=shared,
     )

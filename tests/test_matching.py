@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakeweave import params as P
 from lakeweave.operators import evaluate, matching, verdicts
 from lakeweave.plans import jobs
 from lakeweave.plans.store import build_store
@@ -190,3 +191,29 @@ def test_match_quality(spark):
     truth = spark.createDataFrame([("s", "a", "t", "a"), ("s", "b", "t", "b"), ("s", "d", "t", "d")], schema)
     r = evaluate.match_quality(found, truth).first()
     assert (r.precision, r.recall, r.f1) == (0.5, pytest.approx(1 / 3), pytest.approx(0.4))
+
+
+def test_full_category_similarity_copies_only_shared_values(spark, monkeypatch):
+    """Many columns with one common value and otherwise their own; the common one may be divided over tasks."""
+    rows = [(f"t{t}", 0, "common", 0.5) for t in range(7)] + [(f"t{t}", 0, f"own {t} {i}", 0.1) for t in range(7) for i in range(5)]
+    rows += [("t0", 0, "two", 0.25), ("t1", 0, "two", 0.5)]
+    freqs = spark.createDataFrame(rows, "table_id string, ordinal int, value string, freq double")
+    pairs = spark.createDataFrame(
+        [(f"t{a}", 0, f"t{b}", 0) for a in range(7) for b in range(7) if a != b and (a, b) != (5, 6)],
+        "source_table_id string, src_idx int, target_table_id string, tgt_idx int",
+    )
+    for at_once in (256, 3):
+        monkeypatch.setattr(matching, "_COLUMNS_AT_ONCE", at_once)
+        held = []
+
+        def keep(frame, name):
+            held.append(frame.cache())
+            return held[-1]
+
+        got = {(r.source_table_id, r.target_table_id): r for r in matching.full_category_similarity(pairs, freqs, keep).collect()}
+        assert held[0].count() == 9
+        assert len(got) == 41 and ("t5", "t6") not in got
+        assert (got["t0", "t1"].n_shared, got["t0", "t1"].dot) == (2, 0.25 + 0.125)
+        norm = (0.25 + 5 * 0.01) ** 0.5
+        want = P.CATEGORY_WEIGHTS[0] * 1 / 11 + P.CATEGORY_WEIGHTS[1] * 0.25 / (norm * norm)
+        assert got["t3", "t4"].sim_cat == pytest.approx(want)
