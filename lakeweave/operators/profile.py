@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import Executor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,13 +29,20 @@ _QUARTILES = (0.25, 0.5, 0.75)
 _PARTS = 128
 _SALTS = 16
 
+# Length of the stand-in of a text that has at least as many bytes, and characters of its beginning kept beside it.
+_STAND_IN = 48
+_HEAD = 64
+# Groups of a column's values of which the smallest digests are compared.
+_LANES = 64
+
 
 @dataclass(frozen=True)
 class ValueCounts:
     """Different non-null values per column with their counts.
 
     ``numeric`` has ``table_id, ordinal, value`` (double), ``shown`` (the stored value as
-    text) and ``cnt``; ``text`` has ``table_id, ordinal, value, cnt``.
+    text) and ``cnt``; ``text`` has ``table_id, ordinal, value, cnt``, and ``head`` where ``value`` is a
+    stand-in (``key_counts``).
     """
 
     numeric: DataFrame | None
@@ -53,6 +61,10 @@ class ValueCounts:
         return ValueCounts(*run(written, (self.numeric, self.text), ("numbers", "texts")))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _both(whole: DataFrame | None, real: DataFrame | None) -> DataFrame | None:
     if whole is None or real is None:
         return whole if real is None else real
@@ -84,6 +96,44 @@ def value_counts(cells: Cells) -> ValueCounts:
     )
 
 
+def stand_in(value: Column) -> Column:
+    """The text itself, or 192 bits of digests of a long one; no short text is as long as those."""
+    digest = F.concat(F.md5(value), F.lpad(F.hex(F.xxhash64(value)), 16, "0"))
+    return F.when(F.octet_length(value) < _STAND_IN, value).otherwise(digest)
+
+
+def key_counts(cells: Cells) -> ValueCounts:
+    """``value_counts`` with stand-ins for texts, so that no long text is shuffled, sorted or written.
+
+    ``head`` is the beginning of a long text and null for one that stands for itself.
+    """
+    text, value = cells.text, F.col("value")
+    if text is not None:
+        head = F.when(F.octet_length(value) >= _STAND_IN, F.left(value, F.lit(_HEAD)))
+        short = text.filter(value.isNotNull()).select(*KEY, stand_in(value).alias("value"), head.alias("head"))
+        text = short.groupBy(*KEY, "value", "head").agg(F.count("*").alias("cnt"))
+    return ValueCounts(numeric=value_counts(Cells(cells.whole, cells.real, None)).numeric, text=text)
+
+
+def with_texts(text: DataFrame, *picked: DataFrame) -> DataFrame:
+    """``table_id, ordinal, value, whole``: the long texts that the stand-ins of ``picked`` stand for.
+
+    ``text`` are the cells. ``picked`` should be written, as its size decides whether the cells are shuffled.
+    """
+    wanted = _union([df.select(*KEY, "value") for df in picked]).filter(F.octet_length("value") == _STAND_IN).distinct()
+    long = text.filter(F.octet_length("value") >= _STAND_IN).select(
+        *KEY, stand_in(F.col("value")).alias("key"), F.col("value").alias("whole")
+    )
+    return long.withColumnRenamed("key", "value").join(wanted, [*KEY, "value"]).distinct()
+
+
+def resolved(picked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``picked`` with whole texts instead of stand-ins."""
+    whole = F.coalesce("whole", "value").alias("value")
+    rest = [c for c in picked.columns if c not in (*KEY, "value", "head")]
+    return picked.join(texts, [*KEY, "value"], "left").select(*KEY, whole, *rest)
+
+
 def column_key() -> Column:
     """A column of the lake as one number."""
     return F.xxhash64(*KEY)
@@ -170,6 +220,12 @@ def _whole_columns(numeric: DataFrame) -> DataFrame:
     )
 
 
+def _inside_few(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The same for ranges of many values each, of which there can be but few; the values are not shuffled."""
+    inside = F.col("value").between(F.col("low"), F.col("high"))
+    return numeric.select(*KEY, "value", "cnt").join(F.broadcast(ranges), KEY).filter(inside)
+
+
 def _inside(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
     """The values inside the ranges. A column is divided by a salt, as one may hold most of the values."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
@@ -185,7 +241,7 @@ def _cut(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
     """The parts of the ranges that hold a wanted rank."""
     shares = [i / _PARTS for i in range(1, _PARTS)]
     edges = (
-        _inside(numeric, ranges.select(*KEY, "low", "high"))
+        _inside_few(numeric, ranges.select(*KEY, "low", "high"))
         .groupBy(*KEY, "low")
         .agg(F.percentile_approx("value", shares, 10_000).alias("edges"))
     )
@@ -197,7 +253,7 @@ def _cut(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
         lambda at, step: F.when(F.col("value") >= F.get("edges", at + step - 1), at + step).otherwise(at),
     )
     counted = (
-        _inside(numeric, ranges.select(*KEY, "low", "high").join(edges, [*KEY, "low"]))
+        _inside_few(numeric, ranges.select(*KEY, "low", "high").join(edges, [*KEY, "low"]))
         .groupBy(*KEY, F.col("low").alias("outer_low"), part.alias("part"))
         .agg(
             F.min("value").alias("low"),
@@ -289,18 +345,64 @@ def aligned_frequencies(freqs: DataFrame, vocab: DataFrame) -> DataFrame:
     return freqs.join(vocab.select("value"), "value", "left_semi")
 
 
-def sample_values(counts: ValueCounts, columns: DataFrame, k: int = P.SAMPLE_VALUES) -> DataFrame:
+def top_texts(
+    cells: Cells,
+    keys: DataFrame,
+    k: int = P.TOP_VALUES,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
+    """``top_values`` of stand-ins (``key_counts``), with the texts that they stand for."""
+    picked = keep(_top_keys(keys, k), "top-keys")
+    return top_values(resolved(picked, with_texts(cells.text, picked)), k)
+
+
+def _top_keys(keys: DataFrame, k: int) -> DataFrame:
+    """Stand-ins that may be among the ``k`` most frequent; those with equal beginnings tie."""
+    w = Window.partitionBy(*KEY).orderBy(F.col("cnt").desc(), F.coalesce("head", "value"))
+    return keys.withColumn("place", F.rank().over(w)).filter(F.col("place") <= k).drop("place")
+
+
+def _sampled(
+    counts: ValueCounts, k: int, keep: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """``table_id, ordinal, value, digest`` of the values with the smallest digests, ``k`` per column and ties.
+
+    The smallest digest of each lane of a column is found first. The ``k``-th of these is one that the
+    ``k``-th of all cannot exceed, so only values up to it are put in order. ``counts`` are read twice.
+    """
+    parts = []
+    if counts.numeric is not None:
+        parts.append(counts.numeric.select(*KEY, F.col("shown").alias("value"), F.md5("shown").alias("digest")))
+    if counts.text is not None:
+        of_text = F.md5("value")
+        if "head" in counts.text.columns:
+            of_text = F.when(F.octet_length("value") == _STAND_IN, F.left("value", F.lit(32))).otherwise(of_text)
+        parts.append(counts.text.select(*KEY, "value", of_text.alias("digest")))
+    values = _union(parts).withColumn("first", F.conv(F.left("digest", F.lit(15)), 16, 10).cast("long"))
+    least = values.groupBy(*KEY, F.pmod(F.xxhash64("first"), F.lit(_LANES)).alias("lane")).agg(F.min("first").alias("first"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first"))
+    kth = F.max(F.when(F.col("place") == k, F.col("first")))
+    bounds = keep(least.withColumn("place", place).groupBy(*KEY).agg(kth.alias("bound")), "sample-bounds")
+    return values.join(bounds, KEY).filter("bound IS NULL OR first <= bound").select(*KEY, "value", "digest")
+
+
+def sample_values(
+    counts: ValueCounts,
+    columns: DataFrame,
+    k: int = P.SAMPLE_VALUES,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
     """Up to ``k`` different values per column as text.
 
     Distributed rows have no first five, so the values with the smallest digests
     stand for them; the choice does not depend on partitioning.
     """
-    values = _both(
-        counts.numeric.selectExpr(*KEY, "shown AS value") if counts.numeric is not None else None,
-        counts.text.select(*KEY, "value") if counts.text is not None else None,
-    )
-    w = Window.partitionBy(*KEY).orderBy(F.md5("value"), "value")
-    picked = values.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _shown_samples(_sampled(counts, k, keep), columns, k)
+
+
+def _shown_samples(sampled: DataFrame, columns: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy(*KEY).orderBy("digest", "value")
+    picked = sampled.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     # Dates are counted in microseconds.
     return picked.join(columns.select(*KEY, "col_type"), KEY).selectExpr(
         *KEY,
@@ -325,20 +427,28 @@ def column_profiles(
     largest: int | None = None,
     counts: ValueCounts | None = None,
     sizes: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> DataFrame:
     """One row per catalog column with ratios, statistics, top values and samples.
 
-    ``counts`` and ``sizes`` are the value counts and the summary of the cells where they have been written already.
+    ``counts`` (``key_counts``) and ``sizes`` are the value counts and the summary of the cells where they have been
+    written already.
     """
-    counts, sizes = counts or value_counts(cells), cell_summary(cells) if sizes is None else sizes
-    quarts = quartiles(counts.numeric, largest)
+    counts = counts or key_counts(cells).kept(keep, columns)
+    sizes = keep(cell_summary(cells), "summary") if sizes is None else sizes
+    quarts = quartiles(counts.numeric, largest, keep=keep)
+    top = keep(_top_keys(counts.text, P.TOP_VALUES), "top-keys")
+    sampled = keep(_sampled(counts, P.SAMPLE_VALUES, keep), "sampled")
+    texts = keep(with_texts(cells.text, top, sampled), "long-texts")
     ranked = (
-        top_values(frequencies(counts, sizes))
+        top_values(resolved(top, texts))
+        .join(sizes.select(*KEY, "n_rows"), KEY)
+        .withColumn("freq", F.col("cnt") / F.col("n_rows"))
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "freq"))).alias("ranked"))
     )
     samples = (
-        sample_values(counts, columns)
+        _shown_samples(resolved(sampled, texts), columns, P.SAMPLE_VALUES)
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("samples"))
     )

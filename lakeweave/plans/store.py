@@ -23,7 +23,8 @@ class ProfileStore:
     """Tables written to the shared folder.
 
     ``tables``: catalog, texts, types and status. ``profiles``: one row per column.
-    ``values``: different values per column as text, with counts. ``value_keys``: the same as numbers. ``terms`` and
+    ``values``: different values per column as text, with counts; long texts by their stand-ins
+    (``profile.stand_in``). ``value_keys``: the same as numbers. ``terms`` and
     ``vectors``: sparse and dense unit vectors per table. ``features``: what matching needs of
     the columns of a table, one row each. ``column_vectors``: one dense vector per column.
     """
@@ -86,7 +87,7 @@ def build_store(
         asked = pool.submit(written_tables)
         summary = pool.submit(lambda: keep(profile.cell_summary(cells), "summary"))
         largest = pool.submit(L.largest_table, groups)
-        counts = profile.value_counts(cells).kept(keep, columns, pool)
+        counts = profile.key_counts(cells).kept(keep, columns, pool)
         tables = asked.result()
         unit = pool.submit(lambda: keep(terms.unit_terms(tables, "table_id", "text_blob", tokenizer), "terms"))
         dense = pool.submit(written_vectors, tables)
@@ -94,7 +95,7 @@ def build_store(
         of_columns = pool.submit(lambda: keep(vectors.column_collection(tables, texts, column_encoder), "column-vectors"))
         keys = pool.submit(lambda: keep(value_keys(counts), "value-keys"))
         profiles = keep(
-            profile.column_profiles(columns, cells, largest.result(), counts, summary.result()), "profiles"
+            profile.column_profiles(columns, cells, largest.result(), counts, summary.result(), keep), "profiles"
         )
         features = keep(matching.column_features(profiles), "features")
         return ProfileStore(

@@ -211,7 +211,8 @@ def _text_cells(spark, sf_dir):
 )
 def value_frequencies(spark, sf_dir):
     cells = _text_cells(spark, sf_dir)
-    freqs = profile.frequencies(profile.value_counts(cells), profile.cell_summary(cells))
+    sizes = materialize(profile.cell_summary(cells), "summary")
+    freqs = profile.frequencies(profile.value_counts(cells), sizes)
     return freqs.select(
         "table_id",
         F.col("ordinal").cast("long").alias("ordinal"),
@@ -231,9 +232,11 @@ def value_frequencies(spark, sf_dir):
 )
 def top_values(spark, sf_dir):
     cells = _text_cells(spark, sf_dir)
-    freqs = profile.frequencies(profile.value_counts(cells), profile.cell_summary(cells))
+    sizes = materialize(profile.cell_summary(cells), "summary")
+    top = profile.top_texts(cells, profile.key_counts(cells).text)
     return (
-        profile.top_values(freqs)
+        top.join(sizes.select(*profile.KEY, "n_rows"), profile.KEY)
+        .withColumn("freq", F.col("cnt") / F.col("n_rows"))
         .select(
             "table_id",
             F.col("ordinal").cast("long").alias("ordinal"),
@@ -277,7 +280,8 @@ def sample_values(spark, sf_dir):
     """Doubles and times print differently in SQL; the check covers texts and integers."""
     groups = C.lake(spark, sf_dir)
     columns = L.lake_columns(groups)
-    samples = profile.sample_values(profile.value_counts(L.lake_cells(groups)), columns)
+    counts = profile.value_counts(L.lake_cells(groups)).kept(materialize, columns)
+    samples = profile.sample_values(counts, columns)
     shown = columns.filter("col_type in ('int', 'str')")
     return samples.join(shown.select(*profile.KEY), profile.KEY, "left_semi").select(
         "table_id",

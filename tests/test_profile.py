@@ -1,3 +1,4 @@
+import hashlib
 import statistics
 
 import numpy as np
@@ -142,3 +143,58 @@ def test_refit_rule(spark):
         profile.needs_refit(F.lit(100), F.lit(149)), profile.needs_refit(F.lit(100), F.lit(150))
     ).first()
     assert tuple(row) == (False, True)
+
+
+def test_long_texts_are_not_shuffled_but_shown(spark):
+    """Long texts with one beginning, short ones, copies, nulls: top values and samples are those of the texts themselves."""
+    head = "the same long beginning of a text " * 4
+    texts = [head + str(i % 60) for i in range(150)] + [f"w{i % 9}" for i in range(40)] + ["é" * 24, "é" * 23, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    columns, cells = cells_of(df)
+    keys = profile.key_counts(cells)
+    assert keys.text.selectExpr("max(octet_length(value))").first()[0] == 48
+    whole = profile.value_counts(cells)
+    want = [(r["rank"], r.value, r.cnt) for r in profile.top_values(whole.text).orderBy("rank").collect()]
+    got = [(r["rank"], r.value, r.cnt) for r in profile.top_texts(cells, keys.text).orderBy("rank").collect()]
+    assert got == want and len(got) == 20
+    plain = {(r.ordinal, r["rank"], r.value) for r in profile.sample_values(whole, columns).collect()}
+    digests = sorted({t for t in texts if t is not None}, key=lambda t: hashlib.md5(t.encode()).hexdigest())[:5]
+    assert {v for i, _, v in plain if i == 1} == set(digests)
+    shown = {r.ordinal: r for r in profile.column_profiles(columns, cells, len(texts)).collect()}
+    assert shown[1].sample_values == digests
+    assert [v.value for v in shown[1].top_k] == [v for _, v, _ in want]
+    assert shown[1].distinct_ratio == pytest.approx(len(set(texts) - {None}) / len(texts))
+
+
+def test_samples_of_a_large_column(spark):
+    """Bounds by lanes leave the values with the five smallest digests, of many values and of few."""
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS few")
+    columns, cells = cells_of(df)
+    counts, bounds = profile.value_counts(cells), []
+
+    def keep(frame, name):
+        bounds.append(frame)
+        return frame
+
+    got = {}
+    for r in profile.sample_values(counts, columns, keep=keep).orderBy("rank").collect():
+        got.setdefault(r.ordinal, []).append(r.value)
+    for ordinal, n in ((0, 20_000), (1, 3)):
+        assert got[ordinal] == sorted(map(str, range(n)), key=lambda t: hashlib.md5(t.encode()).hexdigest())[:5]
+    assert len(bounds) == 1
+    few = profile._sampled(counts, 5, keep).filter("ordinal = 0").count()
+    assert few < 20
+
+
+def test_cuts_leave_the_values_in_place(spark, monkeypatch):
+    """Cutting ranges shuffles no values, whatever the size of the table they come from is taken for."""
+    _, cells = cells_of(spark.range(1000).selectExpr("id AS v"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numeric = profile.value_counts(cells).numeric.localCheckpoint()
+        plan = profile._cut(numeric, profile._whole_columns(numeric).localCheckpoint())
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "salt" not in text and text.count("BroadcastHashJoin") >= 2
