@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lakeweave import params as P
 from lakeweave.functions import similarity as sim
 from lakeweave.operators import matching
+from lakeweave.session import materialize
 
 _BATCH_JSON = "struct<scores:array<struct<candidate_idx:int,score:double,reason:string>>>"
 _PAIR_JSON = "struct<reasoning:string,score:double,is_equivalent:boolean>"
@@ -251,30 +252,59 @@ def joinable_columns(c2: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def containment(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+def containment(
+    pairs: DataFrame, keys: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialize
+) -> DataFrame:
     """Share of the smaller column's different values that both columns hold.
 
-    ``keys`` has ``c, v1, v2``, the column and 128 bits of the value, so that no text is read or shuffled. The keys
-    of the source columns are joined on (target column, value), which occurs once per target column, so a value that is
-    common in the whole lake does not gather in one task.
+    ``keys`` has ``c, v1, v2``, the column and 128 bits of the value, so that no text is read or shuffled. Values that the
+    same columns hold are counted together under a digest of these columns, once, and only such classes are copied per pair. They
+    are joined on (target column, class), which occurs once per target column, so a value that is common in the
+    whole lake does not gather in one task.
     """
-    return pairs.sparkSession.sql(
+    spark = pairs.sparkSession
+    asked = keep(
+        pairs.selectExpr("*", "xxhash64(query_id, src_idx) AS src", "xxhash64(table_id, tgt_idx) AS tgt"), "asked-columns"
+    )
+    named = spark.sql(
         """
-        WITH asked AS (
-          SELECT *, xxhash64(query_id, src_idx) AS src, xxhash64(table_id, tgt_idx) AS tgt FROM {pairs}),
-        named AS (SELECT src AS c FROM asked UNION SELECT tgt FROM asked),
-        sizes AS (SELECT c, count(*) AS n FROM {keys} LEFT SEMI JOIN named USING (c) GROUP BY c),
-        wanted AS (SELECT a.src, a.tgt, v.v1, v.v2 FROM asked a JOIN {keys} v ON v.c = a.src),
+        WITH named AS (SELECT src AS c FROM {asked} UNION SELECT tgt FROM {asked})
+        SELECT c, v1, v2 FROM {keys} LEFT SEMI JOIN named USING (c)
+        """,
+        asked=asked,
+        keys=keys.select("c", "v1", "v2"),
+    )
+    # A column may hold a value more than once, as whole numbers beyond 2^53 can be one double. Sums over halves
+    # of the hashes of the columns, which cannot overflow, stand for the columns that hold a value.
+    classes = keep(
+        spark.sql(
+            """
+            WITH held AS (
+              SELECT c, count(*) OVER (PARTITION BY v1, v2, c) AS times, count(*) OVER v AS m,
+                     struct(sum(c & 4294967295) OVER v AS a, sum(shiftrightunsigned(c, 32)) OVER v AS b,
+                            sum(xxhash64(c) & 4294967295) OVER v AS d, sum(shiftrightunsigned(xxhash64(c), 32)) OVER v AS e) AS class
+              FROM {named} WINDOW v AS (PARTITION BY v1, v2))
+            SELECT class, c, times, count(*) / times AS n_values FROM held WHERE m > times GROUP BY class, c, times
+            """,
+            named=named,
+        ),
+        "value-classes",
+    )
+    return spark.sql(
+        """
+        WITH sizes AS (SELECT c, count(*) AS n FROM {named} GROUP BY c),
+        wanted AS (SELECT a.src, a.tgt, v.class, v.times, v.n_values FROM {asked} a JOIN {classes} v ON v.c = a.src),
         shared AS (
-          SELECT w.src, w.tgt, count(*) AS n_shared
-          FROM wanted w JOIN {keys} v ON v.c = w.tgt AND v.v1 = w.v1 AND v.v2 = w.v2
+          SELECT w.src, w.tgt, bigint(sum(w.n_values * w.times * v.times)) AS n_shared
+          FROM wanted w JOIN {classes} v ON v.c = w.tgt AND v.class = w.class
           GROUP BY w.src, w.tgt)
         SELECT p.query_id, p.src_idx, p.table_id, p.tgt_idx, s.n_shared, s.n_shared / least(a.n, b.n) AS containment
-        FROM shared s JOIN asked p ON p.src = s.src AND p.tgt = s.tgt
+        FROM shared s JOIN {asked} p ON p.src = s.src AND p.tgt = s.tgt
         JOIN sizes a ON a.c = s.src JOIN sizes b ON b.c = s.tgt
         """,
-        pairs=pairs,
-        keys=keys.select("c", "v1", "v2"),
+        asked=asked,
+        classes=classes,
+        named=named,
     )
 
 

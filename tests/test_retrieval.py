@@ -5,6 +5,7 @@ import pytest
 
 from lakeweave import params as P
 from lakeweave.operators import blocks, cascade, rules, terms, vectors
+from lakeweave.session import materialize
 
 
 def brute(points, tenants, k, theta=None):
@@ -197,3 +198,36 @@ def test_containment_by_keys(spark):
     assert keys.select("v1").distinct().count() == keys.select("v1", "v2").distinct().count() == 26
     apart = keys.selectExpr("shiftright(v1, 1) = shiftright(v2, 1) AS alike").filter("alike").count()
     assert apart == 0
+
+
+def test_containment_copies_classes_of_values(spark):
+    """Values that the same columns hold are one class, whatever their number; a value that a column holds twice counts so."""
+    from lakeweave.operators import profile, verdicts
+
+    rows = [("q", 0, str(v)) for v in range(1000)] + [("t", 1, str(v)) for v in range(400, 2000)] + [("u", 0, "5")] * 2
+    values = spark.createDataFrame(rows, "table_id string, ordinal int, value string")
+    keys = values.select(profile.column_key().alias("c"), *profile.value_keys())
+    pairs = spark.createDataFrame([("q", 0, "t", 1), ("t", 1, "q", 0), ("q", 0, "u", 0)], "query_id string, src_idx int, table_id string, tgt_idx int")
+    kept = {}
+
+    def keep(frame, name):
+        kept[name] = frame.cache()
+        return kept[name]
+
+    got = {(r.query_id, r.table_id): (r.n_shared, r.containment) for r in verdicts.containment(pairs, keys, keep).collect()}
+    assert got == {("q", "t"): (600, 0.6), ("t", "q"): (600, 0.6), ("q", "u"): (2, 1.0)}
+    assert kept["value-classes"].count() == 4
+
+
+def test_vocabulary_of_known_size(spark):
+    """The model is written, so that a small one is not joined by shuffling all counts by term."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "b c"), (4, "d")], "id int, t string")
+    names = []
+
+    def keep(frame, name):
+        names.append(name)
+        return materialize(frame, name)
+
+    plan = terms.unit_terms(docs, "id", "t", keep=keep)._jdf.queryExecution().executedPlan().toString()
+    assert names == ["term-counts", "vocabulary"]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
