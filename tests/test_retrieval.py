@@ -231,3 +231,28 @@ def test_vocabulary_of_known_size(spark):
     plan = terms.unit_terms(docs, "id", "t", keep=keep)._jdf.queryExecution().executedPlan().toString()
     assert names == ["term-counts", "vocabulary"]
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_sparse_scores_of_coded_terms(spark):
+    """Numbers stand for terms, beyond 2^53 too, next to texts without any; large inputs get large blocks of queries."""
+    import pandas as pd
+
+    big = 1 << 62
+    frame = pd.DataFrame({"terms": [np.array([big, big + 1]), np.array([]), np.array([big + 1])], "weights": [[0.6, 0.8], [], [1.0]]})
+    got = list(blocks.sparse_scorer(1.0, 0.0, [])(frame, frame))
+    assert np.allclose(got, [[1.0, 0.0, 0.8], [0.0, 0.0, 0.0], [0.8, 0.0, 1.0]])
+    assert [blocks.query_rows(n, 12) for n in (100, 48_000, 10_000_000)] == [1024, 2000, P.SCALE.block_candidates]
+
+
+def test_blocks_of_neighbours_hold_numbers(spark, sf_dir, monkeypatch):
+    from suite import REGISTRY
+
+    seen = {}
+
+    def block_top_k(q, c, scorer, **sizes):
+        seen.update(q=dict(q.dtypes), c=dict(c.dtypes), **sizes)
+        return q
+
+    monkeypatch.setattr(blocks, "block_top_k", block_top_k)
+    REGISTRY["document_neighbours"].run(spark, sf_dir)
+    assert seen["q"]["terms"] == seen["c"]["terms"] == "array<bigint>" and seen["q_rows"] == 1024
