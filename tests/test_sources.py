@@ -98,6 +98,31 @@ def test_no_cell_of_a_csv_file_is_lost(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path / "less.csv")).orderBy("a").collect()[1].c is None
 
 
+def test_headers_over_several_lines_are_read_once_per_kind(spark, tmp_path, monkeypatch):
+    """Not a job per file; line ends, quotes and encodings keep headers apart."""
+    kinds = {
+        "lf": (b'"k\ney",v\n', ["k\ney", "v"]),
+        "crlf": (b'"k\r\ney",v\r\n', ["k\ney", "v"]),
+        "more": (b'"k\ney",v,\n', ["k\ney", "v", ""]),
+        "one": (b'"k\ney"\n', ["k\ney"]),
+        "latin": ('"k\n\xe9",v\n'.encode("latin-1"), ["k\n\xe9", "v"]),
+        "utf8": ('"k\n\xe9",v\n'.encode(), ["k\n\xe9", "v"]),
+    }
+    for name, (head, _) in kinds.items():
+        for i in range(4):
+            (tmp_path / f"{name}_{i}.csv").write_bytes(head + f"{i},\n".encode())
+    asked, plain = [], folder.header_names
+    monkeypatch.setattr(folder, "header_names", lambda spark, file: asked.append(file["path"]) or plain(spark, file))
+    tables, columns, _ = files.bulk_ingest(spark, str(tmp_path), "x", F.current_timestamp())
+    assert len(asked) == len(kinds)
+    found = {r.table_name: [] for r in tables.collect()}
+    names = {r.table_id: r.table_name for r in tables.collect()}
+    for r in columns.orderBy("ordinal").collect():
+        found[names[r.table_id]].append(r.col_name)
+    # A comma after the last name of a row makes a longer row where there is one name.
+    assert found == {f"{n}_{i}": [] if n == "one" else want for n, (_, want) in kinds.items() for i in range(4)}
+
+
 def test_a_large_file_is_a_table(spark, tmp_path):
     """Twenty megabytes, and the same types as a small file has."""
     line = "2024-01-01," + "x" * 90 + "\n"
