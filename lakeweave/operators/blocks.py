@@ -75,11 +75,8 @@ def block_top_k(
     smaller id, and a query never meets itself. Both inputs are read twice, for their
     sizes and for their rows, so costly ones should be written first.
     """
-    q, c = _grid(queries, candidates, q_rows, c_rows)
-
     def best(q_frame, c_frame):
         import numpy as np
-        import pandas as pd
 
         out = {"query_id": [], "k": [], "table_id": [], "score": []}
         c_frame = c_frame.sort_values("table_id", kind="stable").reset_index(drop=True)
@@ -101,16 +98,28 @@ def block_top_k(
                 out["k"] += [k] * len(found)
                 out["table_id"] += list(ids[found])
                 out["score"] += list(scores[found])
+        return out
+
+    return _merged(queries, candidates, best, q_rows, c_rows)
+
+
+def _merged(queries: DataFrame, candidates: DataFrame, best: Callable, q_rows: int, c_rows: int) -> DataFrame:
+    """The best ``k`` over all cells, of each of which ``best(queries, candidates)`` gives those of one."""
+    q, c = _grid(queries, candidates, q_rows, c_rows)
+
+    def of_cell(q_frame, c_frame):
+        import pandas as pd
+
         # Explicit types: a cell without results must have the same columns.
         kinds = {"query_id": object, "k": "int64", "table_id": object, "score": "float64"}
-        return pd.DataFrame({n: pd.Series(v, dtype=kinds[n]) for n, v in out.items()})
+        return pd.DataFrame({n: pd.Series(v, dtype=kinds[n]) for n, v in best(q_frame, c_frame).items()})
 
     id_type = dict(queries.dtypes)["query_id"], dict(candidates.dtypes)["table_id"]
     cells = (
         q.groupBy(*_CELL)
         .cogroup(c.groupBy(*_CELL))
         .applyInPandas(
-            best, f"query_id {id_type[0]}, k int, table_id {id_type[1]}, score double"
+            of_cell, f"query_id {id_type[0]}, k int, table_id {id_type[1]}, score double"
         )
     )
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "table_id")
@@ -121,6 +130,125 @@ def block_top_k(
     )
 
 
+def dense_top_k(
+    queries: DataFrame,
+    candidates: DataFrame,
+    q_rows: int = P.SCALE.block_queries,
+    c_rows: int = P.SCALE.block_candidates,
+) -> DataFrame:
+    """``block_top_k`` with ``dense_scorer``, for which most pairs are only compared in single precision.
+
+    A pair whose rough score, with room for its error, cannot be among the best ``k`` is done with; the others are scored
+    in double precision, so the result is the same. ``queries`` may have ``cells``, the only ones it meets of the candidates'
+    ``cell``, and ``floor``, a score below which nothing matters.
+    """
+    return _merged(queries, candidates, _dense_best(), q_rows, c_rows)
+
+
+# Rough scores, and numbers of exact ones, that are held at once.
+_ROUGH = 2**22
+_EXACT = 2**22
+
+
+def _dense_best() -> Callable:
+    """What ``dense_top_k`` does with a block of queries and one of candidates; it carries all that its tasks need."""
+
+    def matrix(column):
+        import numpy as np
+
+        found = np.stack(column.to_numpy())
+        return found if found.dtype.kind == "f" else found.astype("float64")
+
+    def best(q_frame, c_frame):
+        import numpy as np
+        import pandas as pd
+
+        if not len(q_frame) or not len(c_frame):
+            return {"query_id": [], "k": [], "table_id": [], "score": []}
+        # In id order within a cell; the place in the order of all ids breaks ties.
+        c_frame = c_frame.sort_values("table_id", kind="stable").reset_index(drop=True)
+        place = np.arange(len(c_frame))
+        if "cells" in q_frame:
+            place = np.argsort(c_frame["cell"].to_numpy(), kind="stable")
+            c_frame = c_frame.iloc[place]
+        ids, query_ids = c_frame["table_id"].to_numpy(), q_frame["query_id"].to_numpy()
+        codes, _ = pd.factorize(np.concatenate([ids.astype(object), query_ids.astype(object)]))
+        own, asking = codes[: len(ids)], codes[len(ids) :]
+        left, right = matrix(q_frame["vector"]), matrix(c_frame["vector"])
+        lengths = [np.sqrt(np.einsum("ij,ij->i", m, m, dtype="float64")) for m in (left, right)]
+        rough = "float32" if max(x.max() for x in lengths) < 1e15 else "float64"
+        rough_left, rough_right = left.astype(rough, copy=False), right.astype(rough, copy=False)
+        # More than a rough score and a limit can be wrong by, and half of the last place of a rounded score.
+        slack = (left.shape[1] + 8) * 2.0**-23 * lengths[0] * lengths[1].max() + 1e-9
+        k = q_frame["k"].to_numpy()
+        theta = q_frame["theta"].to_numpy(dtype="float64", na_value=np.nan)
+        floor = q_frame["floor"].to_numpy(dtype="float64", na_value=np.nan) if "floor" in q_frame else np.full(len(k), np.nan)
+        low = np.nan_to_num(np.fmax(theta, floor), nan=-np.inf) - slack
+
+        def hits(rows, start, stop):
+            """Pairs of ``rows`` and the candidates from ``start`` to ``stop`` that may be among the best, and their scores."""
+            scores = rough_left[rows] @ rough_right[start:stop].T
+            order = np.argsort(own[start:stop], kind="stable")
+            known = own[start:stop][order]
+            first, last = (np.searchsorted(known, asking[rows], side) for side in ("left", "right"))
+            for i in np.flatnonzero(last > first):  # a query never meets itself
+                scores[i, order[first[i] : last[i]]] = -np.inf
+            least = low[rows].astype(scores.dtype)
+            kept = scores >= least[:, None]
+            most = int(k[rows].max())
+            if stop - start > most:
+                # Few are left where the floor is high; else the k-th best of these candidates is found.
+                many = np.flatnonzero(np.count_nonzero(kept, axis=1) > 4 * most + 64)
+                if len(many):
+                    edge = np.partition(scores[many], stop - start - most, axis=1)[:, stop - start - most]
+                    least[many] = np.maximum(least[many], (edge - 2 * slack[rows[many]]).astype(scores.dtype))
+                    kept[many] = scores[many] >= least[many][:, None]
+            i, j = np.nonzero(kept)
+            other = own[start + j] != asking[rows[i]]
+            i, j = i[other], j[other]
+            exact = np.empty(len(i))
+            step = max(1, _EXACT // left.shape[1])
+            for at in range(0, len(i), step):
+                part = slice(at, at + step)
+                a, b = left[rows[i[part]]].astype("float64"), right[start + j[part]].astype("float64")
+                exact[part] = np.einsum("ij,ij->i", a, b)
+            exact = np.round(exact, 9)
+            limit = theta[rows[i]]
+            keep = np.isnan(limit) | (exact > limit)
+            return best_of(rows[i][keep], start + j[keep], exact[keep])
+
+        def best_of(row, at, score):
+            order = np.lexsort((place[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            starts = np.searchsorted(row, row, "left")
+            keep = np.arange(len(row)) - starts < k[row]
+            return row[keep], at[keep], score[keep]
+
+        if "cells" in q_frame:
+            cell = c_frame["cell"].to_numpy()
+            met = [np.asarray(x, dtype=cell.dtype) for x in q_frame["cells"]]
+            flat = np.concatenate(met)
+            by_cell = np.argsort(flat, kind="stable")
+            flat, owner = flat[by_cell], np.repeat(np.arange(len(met)), [len(x) for x in met])[by_cell]
+            names, starts = np.unique(cell, return_index=True)
+            stops = [*starts[1:], len(cell)]
+            segments = [
+                (owner[np.searchsorted(flat, n, "left") : np.searchsorted(flat, n, "right")], a, b)
+                for n, a, b in zip(names, starts, stops)
+            ]
+        else:
+            segments = [(np.arange(len(q_frame)), 0, len(c_frame))]
+        found = []
+        for rows, start, stop in segments:
+            step = max(1, _ROUGH // (stop - start))
+            found += [hits(rows[at : at + step], start, stop) for at in range(0, len(rows), step)]
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, int), np.empty(0, int), np.empty(0)]
+        row, at, score = best_of(*parts)
+        return {"query_id": query_ids[row], "k": k[row], "table_id": ids[at], "score": score}
+
+    return best
+
+
 def dense_scorer() -> Callable:
     """Dot products of the ``vector`` columns, a bounded number of queries at a time."""
 

@@ -4,12 +4,12 @@ Candidates belong to the cell of the nearest of a few centroids, and a cell know
 shortest vector. The angle between a query and any vector of a cell is at least the angle to the centroid less the
 cell's widest one, so no dot product of the cell can exceed a bound. A query first meets the cells nearest to it that
 together hold more than ``k`` vectors; its ``k``-th best score there is one that it will reach at least, and it then is
-copied only to those other cells whose bound is no lower. The result is that of comparing everything, whatever the
+compared only with those other cells whose bound is no lower. The result is that of comparing everything, whatever the
 centroids are; how much is left out depends on how well the vectors gather. Vectors without any structure are all
 compared.
 
-Within a cell, blocks of queries meet blocks of candidates, so neither a popular cell nor a large tenant makes a
-large task.
+Cells are searched in blocks of several, so a query is copied once per block and not once per cell. Within a block
+of cells, blocks of queries meet blocks of candidates, so neither a popular cell nor a large tenant makes a large task.
 """
 
 from __future__ import annotations
@@ -29,80 +29,107 @@ from lakeweave.session import materialize
 SLACK = 1e-6
 ROUNDS = 4
 CHUNK = 1024
+# Vectors of a block of cells at most, however short they are.
+MOST_ROWS = 65536
 
 
 @dataclass(frozen=True)
 class Cells:
-    """``rows``: ``table_id, tenant_id, vector, cell``. ``bounds``: per tenant an array of its cells, at most as many
-    as there are centroids."""
+    """``rows``: ``table_id, tenant_id, vector, cell``. ``bounds``: per tenant arrays of what is known of its cells, at most
+    as many as there are centroids. ``groups``: ``tenant_id, cell, block``, the neighbouring cells that are searched
+    together, about ``block_rows`` vectors."""
 
     centroids: np.ndarray
     rows: DataFrame
     bounds: DataFrame
+    groups: DataFrame
+    block_rows: int
 
 
-def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norms = np.linalg.norm(x, axis=1)
-    return x / np.where(norms > 0, norms, 1.0)[:, None], norms
+def _tools() -> tuple[Callable, Callable]:
+    """Unit vectors with their lengths, and a matrix of a column, as functions that tasks get by value."""
 
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norms = np.linalg.norm(x, axis=1)
+        return x / np.where(norms > 0, norms, 1.0)[:, None], norms
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype="float64") for v in column])
+    def matrix(column) -> np.ndarray:
+        return np.stack([np.asarray(v, dtype="float64") for v in column])
+
+    return unit, matrix
 
 
 def centroids_of(candidates: DataFrame, n_cells: int, sample: int = P.SCALE.centroid_sample) -> np.ndarray:
     """Means of a few rounds over at most ``sample`` vectors, those with the smallest hashes."""
+    unit, matrix = _tools()
     chosen = candidates.orderBy(F.xxhash64("table_id"), "table_id").limit(sample).select("vector").toPandas()
-    points, _ = _unit(_matrix(chosen["vector"]))
+    points, _ = unit(matrix(chosen["vector"]))
     centres = points[:n_cells]
     for _ in range(ROUNDS):
         nearest = (points @ centres.T).argmax(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, points)
-        moved, lengths = _unit(sums)
+        moved, lengths = unit(sums)
         centres = np.where(lengths[:, None] > 0, moved, centres)
     return centres
 
 
 def build(
-    candidates: DataFrame, n_cells: int, keep: Callable[[DataFrame, str], DataFrame] = materialize
+    candidates: DataFrame,
+    n_cells: int,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+    block_rows: int | None = None,
 ) -> Cells:
     """Cells of ``table_id, tenant_id, vector``."""
     centres = centroids_of(candidates, n_cells)
     id_type = dict(candidates.dtypes)["table_id"]
+    unit, matrix = _tools()
 
     def assign(frames):
         for frame in frames:
             for at in range(0, len(frame), CHUNK):
                 part = frame.iloc[at : at + CHUNK].copy()
-                units, norms = _unit(_matrix(part["vector"]))
+                units, norms = unit(matrix(part["vector"]))
                 dots = units @ centres.T
                 part["cell"] = dots.argmax(1).astype("int32")
                 part["toward"] = dots.max(1)
                 part["norm"] = norms
-                part["vector"] = [np.asarray(v, dtype="float64") for v in part["vector"]]
                 yield part
 
+    kind = _vector_type(candidates)
     rows = keep(
         candidates.select("table_id", "tenant_id", "vector").mapInPandas(
-            assign, f"table_id {id_type}, tenant_id string, vector array<double>, cell int, toward double, norm double"
+            assign, f"table_id {id_type}, tenant_id string, vector {kind}, cell int, toward double, norm double"
         ),
         "cells",
     )
-    bounds = (
+    if block_rows is None:
+        block_rows = min(MOST_ROWS, max(1024, P.SCALE.block_bytes // (4 * centres.shape[1])))
+    before = Window.partitionBy("tenant_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    known = keep(
         rows.groupBy("tenant_id", "cell")
         .agg(F.count("*").alias("n"), F.min("toward").alias("toward"), F.min("norm").alias("low"), F.max("norm").alias("high"))
-        .groupBy("tenant_id")
-        .agg(F.sort_array(F.collect_list(F.struct("cell", "n", "toward", "low", "high"))).alias("cells"))
+        .withColumn("block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block_rows).cast("int")),
+        "cell-bounds",
     )
-    return Cells(centres, rows.drop("toward", "norm"), keep(bounds, "cell-bounds"))
+    listed = F.sort_array(F.collect_list(F.struct("cell", "n", "toward", "low", "high", "block"))).alias("c")
+    fields = [F.col(f"c.{n}").alias(n) for n in ("cell", "n", "toward", "low", "high", "block")]
+    bounds = known.groupBy("tenant_id").agg(listed).select("tenant_id", *fields)
+    groups = known.select("tenant_id", "cell", "block")
+    return Cells(centres, rows.drop("toward", "norm"), keep(bounds, "tenant-bounds"), groups, block_rows)
+
+
+def _vector_type(df: DataFrame) -> str:
+    """Single precision stays as it is."""
+    return "array<float>" if dict(df.dtypes)["vector"] == "array<float>" else "array<double>"
 
 
 def route(queries: DataFrame, cells: Cells, reached: DataFrame | None = None) -> DataFrame:
-    """Queries copied to cells, as ``query_id, tenant_id, k, theta, vector, cell``.
+    """Queries copied to blocks of cells, as ``query_id, tenant_id, k, theta, floor, vector, block, cells``.
 
     Without ``reached``, the nearest cells that hold more than ``k`` vectors. With it (``query_id, floor``: the least
-    score that still matters), all others that can hold such a score.
+    score that still matters), all others that can hold such a score. A query has one copy per block, however many
+    cells of the block it meets.
     """
     centres = cells.centroids
     id_type = dict(queries.dtypes)["query_id"]
@@ -112,6 +139,27 @@ def route(queries: DataFrame, cells: Cells, reached: DataFrame | None = None) ->
     else:
         asked = asked.withColumn("floor", F.lit(None).cast("double"))
     rest = reached is not None
+    unit, matrix = _tools()
+
+    def picked_cells(part, rows, units, norms) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of the tenant of ``rows``, and which of them each row meets."""
+        known = part.iloc[rows[0]]
+        ids, held = np.asarray(known["cell"]), np.asarray(known["n"])
+        dots = np.clip(units[rows] @ centres[ids].T, -1.0, 1.0)
+        near = np.argsort(-dots, axis=1, kind="stable")
+        # Those before the place where the number held first exceeds k, and that one.
+        upto = np.cumsum(held[near], axis=1) - held[near] <= part["k"].to_numpy()[rows][:, None]
+        first = np.zeros(dots.shape, dtype=bool)
+        np.put_along_axis(first, near, upto, axis=1)
+        if not rest:
+            return ids, first
+        toward = np.clip(np.asarray(known["toward"]), -1.0, 1.0)
+        cosine = np.cos(np.maximum(0.0, np.arccos(dots) - np.arccos(toward) - SLACK))
+        length = np.where(cosine > 0, np.asarray(known["high"]), np.asarray(known["low"]))
+        bound = norms[rows][:, None] * length * cosine + SLACK
+        floors = [part[c].to_numpy(dtype="float64", na_value=np.nan)[rows] for c in ("floor", "theta")]
+        least = np.nan_to_num(np.fmax(*floors), nan=-np.inf)
+        return ids, (bound >= least[:, None]) & ~first
 
     def run(frames):
         import pandas as pd
@@ -119,65 +167,62 @@ def route(queries: DataFrame, cells: Cells, reached: DataFrame | None = None) ->
         for frame in frames:
             for at in range(0, len(frame), CHUNK):
                 part = frame.iloc[at : at + CHUNK].reset_index(drop=True)
-                units, norms = _unit(_matrix(part["vector"]))
-                dots = np.clip(units @ centres.T, -1.0, 1.0)
-                chosen, owner = [], []
-                for i, known in enumerate(part["cells"]):
-                    ids = np.array([c["cell"] for c in known])
-                    held = np.array([c["n"] for c in known])
-                    near = np.argsort(-dots[i, ids], kind="stable")
-                    # Those before the place where the number held first exceeds k, and that one.
-                    first = near[: int(np.searchsorted(np.cumsum(held[near]), int(part["k"][i]), "right")) + 1]
-                    if not rest:
-                        picked = first
-                    else:
-                        toward = np.clip([c["toward"] for c in known], -1.0, 1.0)
-                        least = np.maximum(0.0, np.arccos(dots[i, ids]) - np.arccos(toward) - SLACK)
-                        cosine = np.cos(least)
-                        length = np.where(cosine > 0, [c["high"] for c in known], [c["low"] for c in known])
-                        bound = norms[i] * length * cosine + SLACK
-                        floors = [x for x in (part["floor"][i], part["theta"][i]) if x is not None and not np.isnan(x)]
-                        usable = bound >= max(floors, default=-np.inf)
-                        usable[first] = False
-                        picked = np.flatnonzero(usable)
-                    chosen += ids[picked].tolist()
-                    owner += [i] * len(picked)
-                out = part.loc[owner, ["query_id", "tenant_id", "k", "theta", "vector"]].reset_index(drop=True)
-                out["cell"] = pd.Series(chosen, dtype="int32")
-                out["vector"] = [np.asarray(v, dtype="float64") for v in out["vector"]]
-                yield out
+                units, norms = unit(matrix(part["vector"]))
+                for rows in part.groupby("tenant_id").indices.values():
+                    ids, picked = picked_cells(part, rows, units, norms)
+                    of = np.asarray(part["block"].iloc[rows[0]])
+                    for block in np.unique(of):
+                        inside = np.flatnonzero(of == block)
+                        owner = rows[picked[:, inside].any(1)]
+                        if not len(owner):
+                            continue
+                        out = part.loc[owner, ["query_id", "tenant_id", "k", "theta", "floor", "vector"]].reset_index(drop=True)
+                        out["block"] = pd.Series(block, index=out.index, dtype="int32")
+                        met = picked[:, inside]
+                        out["cells"] = [ids[inside[m]] for m in met[met.any(1)]]
+                        yield out
 
     return asked.join(cells.bounds, "tenant_id").mapInPandas(
-        run, f"query_id {id_type}, tenant_id string, k int, theta double, vector array<double>, cell int"
+        run,
+        f"query_id {id_type}, tenant_id string, k int, theta double, floor double, vector {_vector_type(queries)}, "
+        "block int, cells array<int>",
     )
 
 
-def _compare(routed: DataFrame, cells: Cells, **sizes) -> DataFrame:
-    """Best ``k`` of every query over the cells it was copied to; the tenant's cell plays the tenant."""
-    own = F.concat_ws("#", F.col("cell").cast("string"), "tenant_id")
-    return blocks.block_top_k(
-        routed.withColumn("tenant_id", own).drop("cell"),
-        cells.rows.withColumn("tenant_id", own).drop("cell"),
-        blocks.dense_scorer(),
-        **sizes,
+def _compare(routed: DataFrame, cells: Cells, q_rows: int, c_rows: int) -> DataFrame:
+    """Best ``k`` of every query over the cells it was copied to; the tenant's block of cells plays the tenant."""
+    own = F.concat_ws("#", F.col("block").cast("string"), "tenant_id")
+    return blocks.dense_top_k(
+        routed.withColumn("tenant_id", own).drop("block"),
+        cells.rows.join(cells.groups, ["tenant_id", "cell"]).withColumn("tenant_id", own).drop("block"),
+        q_rows,
+        c_rows,
     )
 
 
 def top_k(
-    queries: DataFrame, cells: Cells, keep: Callable[[DataFrame, str], DataFrame] = materialize, **sizes
+    queries: DataFrame,
+    cells: Cells,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+    q_rows: int | None = None,
+    c_rows: int | None = None,
 ) -> DataFrame:
     """``query_id, table_id, score`` as ``blocks.block_top_k`` gives it for dot products.
 
     ``queries`` has ``query_id, tenant_id, k, theta, vector``, one row per query.
     """
-    first = keep(_compare(keep(route(queries, cells), "nearest"), cells, **sizes), "nearest-hits")
+    if q_rows is None:
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        q_rows = blocks.query_rows(queries.count(), cores, most=cells.block_rows)
+    sizes = q_rows, c_rows or 2 * cells.block_rows
+    first = keep(_compare(keep(route(queries, cells), "nearest"), cells, *sizes), "nearest-hits")
     reached = (
         first.groupBy("query_id")
         .agg(F.count("*").alias("n"), F.min("score").alias("least"))
         .join(queries.select("query_id", "k"), "query_id")
         .select("query_id", F.when(F.col("n") >= F.col("k"), F.col("least")).alias("floor"))
     )
-    more = _compare(keep(route(queries, cells, reached), "others"), cells, **sizes)
+    more = _compare(keep(route(queries, cells, reached), "others"), cells, *sizes)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "table_id")
     return (
         first.unionByName(more)

@@ -97,7 +97,7 @@ def top_k(
     if n_cells > 1:
         hits = cells.top_k(q, cells.build(c, n_cells), **sizes)
     else:
-        hits = blocks.block_top_k(q, c, blocks.dense_scorer(), **sizes)
+        hits = blocks.dense_top_k(q, c, **sizes)
     return hits.withColumnRenamed("score", "s2")
 
 

@@ -64,6 +64,39 @@ def test_queries_meet_few_cells(spark, gathered):
     assert first.count() + others.count() < 0.15 * 1200 * n_cells
 
 
+def test_queries_are_copied_per_block_of_cells(spark):
+    """Vectors without structure meet every cell, but a query has one copy per block of cells."""
+    rows, df = frame(spark, np.random.default_rng(5).normal(size=(1500, 8)))
+    built = cells.build(df, 30, block_rows=800)
+    q = asked(df).selectExpr("*", "5 AS k", "double(NULL) AS theta")
+    first, others = cells.route(q, built), cells.route(q, built, q.selectExpr("query_id", "double(NULL) AS floor"))
+    n_blocks = built.groups.select("block").distinct().count()
+    assert n_blocks == 2
+    assert first.count() + others.count() <= 2 * 1500 * n_blocks
+    met = first.unionByName(others).selectExpr("query_id", "explode(cells) AS cell")
+    assert met.count() == met.distinct().count() == 1500 * built.rows.select("cell").distinct().count()
+
+
+def test_single_precision_decides_nothing(spark):
+    """Scores that differ by less than single precision, copies, long and short vectors, repeated ids and limits."""
+    rng = np.random.default_rng(7)
+    points = np.ones((400, 6)) + rng.normal(size=(400, 6)) * 1e-6
+    points[100:130] = points[99]
+    points[200:230] *= 1e4
+    points[300:330] *= -1e-7
+    points[399] = 1e17
+    rows, _ = frame(spark, points[:399])
+    df = spark.createDataFrame([*rows, ("v00007", "t", "READY", [0.5] * 6)], SCHEMA)
+    huge = df.unionByName(spark.createDataFrame([("w", "t", "READY", points[399].tolist())], SCHEMA))
+    theta = "IF(query_id < 'v00050', 6D, NULL) AS theta"
+    for stored in (df, huge):
+        q = asked(stored).selectExpr("*", "int(3 + hash(query_id) % 3) AS k", theta).dropDuplicates(["query_id"])
+        want = blocks.block_top_k(q, stored, blocks.dense_scorer(), q_rows=150, c_rows=200).collect()
+        got = blocks.dense_top_k(q, stored, q_rows=150, c_rows=200).collect()
+        assert [(r.query_id, r.table_id) for r in sorted(got)] == [(r.query_id, r.table_id) for r in sorted(want)]
+        assert np.allclose([r.score for r in sorted(got)], [r.score for r in sorted(want)], rtol=1e-12, atol=2e-9)
+
+
 def test_thresholds_and_small_tenants(spark, gathered):
     """A tenant with fewer vectors than ``k``, a query of a tenant without any, and thresholds."""
     rows, df = frame(spark, gathered[:200], lambda i: "few" if i < 3 else "many")
