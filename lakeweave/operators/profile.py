@@ -34,6 +34,11 @@ _STAND_IN = 48
 _HEAD = 64
 # Groups of a column's values of which the smallest digests are compared.
 _LANES = 64
+# One of so many values, by its hash, gives the bound of the smallest digests.
+_DIGESTED = 2
+# One of so many gives the sketch of a range of many values.
+_SKETCHED = 8
+_MANY = 100_000
 
 
 @dataclass(frozen=True)
@@ -241,20 +246,19 @@ def _cut(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
     """The parts of the ranges that hold a wanted rank."""
     shares = [i / _PARTS for i in range(1, _PARTS)]
     edges = (
-        _inside_few(numeric, ranges.select(*KEY, "low", "high"))
+        _inside_few(numeric, ranges.select(*KEY, "low", "high", "n_values"))
+        .filter((F.col("n_values") < _MANY) | (F.pmod(F.xxhash64("value"), F.lit(_SKETCHED)) == 0))
         .groupBy(*KEY, "low")
         .agg(F.percentile_approx("value", shares, 10_000).alias("edges"))
     )
-    # Binary search: the number of edges up to the value.
-    steps = F.array(*[F.lit(_PARTS >> i) for i in range(1, _PARTS.bit_length())])
-    part = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.col("value") >= F.get("edges", at + step - 1), at + step).otherwise(at),
-    )
+    # Binary search: the number of edges up to the value. A step is a column of its own, which is compiled.
+    placed = _inside_few(numeric, ranges.select(*KEY, "low", "high").join(edges, [*KEY, "low"]))
+    placed = placed.withColumn("part", F.lit(0))
+    for step in [_PARTS >> i for i in range(1, _PARTS.bit_length())]:
+        at = F.col("part")
+        placed = placed.withColumn("part", F.when(F.col("value") >= F.get("edges", at + (step - 1)), at + step).otherwise(at))
     counted = (
-        _inside_few(numeric, ranges.select(*KEY, "low", "high").join(edges, [*KEY, "low"]))
-        .groupBy(*KEY, F.col("low").alias("outer_low"), part.alias("part"))
+        placed.groupBy(*KEY, F.col("low").alias("outer_low"), "part")
         .agg(
             F.min("value").alias("low"),
             F.max("value").alias("high"),
@@ -367,7 +371,7 @@ def _sampled(
 ) -> DataFrame:
     """``table_id, ordinal, value, digest`` of the values with the smallest digests, ``k`` per column and ties.
 
-    The smallest digest of each lane of a column is found first. The ``k``-th of these is one that the
+    The smallest digest of each lane of half a column is found first. The ``k``-th of these is one that the
     ``k``-th of all cannot exceed, so only values up to it are put in order. ``counts`` are read twice.
     """
     parts = []
@@ -379,11 +383,13 @@ def _sampled(
             of_text = F.when(F.octet_length("value") == _STAND_IN, F.left("value", F.lit(32))).otherwise(of_text)
         parts.append(counts.text.select(*KEY, "value", of_text.alias("digest")))
     values = _union(parts).withColumn("first", F.conv(F.left("digest", F.lit(15)), 16, 10).cast("long"))
-    least = values.groupBy(*KEY, F.pmod(F.xxhash64("first"), F.lit(_LANES)).alias("lane")).agg(F.min("first").alias("first"))
+    part = values.filter(F.pmod(F.xxhash64("value"), F.lit(_DIGESTED)) == 0)
+    least = part.groupBy(*KEY, F.pmod(F.xxhash64("first"), F.lit(_LANES)).alias("lane")).agg(F.min("first").alias("first"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first"))
     kth = F.max(F.when(F.col("place") == k, F.col("first")))
     bounds = keep(least.withColumn("place", place).groupBy(*KEY).agg(kth.alias("bound")), "sample-bounds")
-    return values.join(bounds, KEY).filter("bound IS NULL OR first <= bound").select(*KEY, "value", "digest")
+    # Half a column may hold too few values for a bound, or none.
+    return values.join(bounds, KEY, "left").filter("bound IS NULL OR first <= bound").select(*KEY, "value", "digest")
 
 
 def sample_values(

@@ -198,3 +198,20 @@ def test_cuts_leave_the_values_in_place(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "salt" not in text and text.count("BroadcastHashJoin") >= 2
+
+
+def test_samples_of_few_and_many_values(spark):
+    """Those with the smallest digests, whether or not a column has values enough for a bound."""
+    sizes = [1, 2, 5, 6, 40, 3000]
+    rows = [("t", c, f"v{c}_{i}") for c, n in enumerate(sizes) for i in range(n)]
+    text = spark.createDataFrame(rows, "table_id string, ordinal int, value string")
+    counts = profile.key_counts(L.Cells(None, None, text))
+    columns = text.select("table_id", "ordinal").distinct().selectExpr("*", "'str' AS col_type")
+    bounded = profile._sampled(counts, 5, profile.materialize)
+    assert bounded.filter("ordinal = 5").count() < 300
+    got = {}
+    for r in profile.sample_values(counts, columns, 5).orderBy("rank").collect():
+        got.setdefault(r.ordinal, []).append(r.value)
+    for c, n in enumerate(sizes):
+        values = [f"v{c}_{i}" for i in range(n)]
+        assert got[c] == sorted(values, key=lambda v: hashlib.md5(v.encode()).hexdigest())[:5]
