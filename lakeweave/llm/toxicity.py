@@ -66,9 +66,9 @@ BORDER, DIGIT, OTHER, SIZE = 0, 27, 28, 29
 _MARKS = re.compile("[̀-ͯ­​-‍⁠﻿]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
 # Signs at the ends of a word are borders unless they are ones that stand for a letter there.
-_PLAIN = re.compile(r"[\"'(\[{#%&*~<>=/\\-]*([a-z]+)[.,;:!?\"')\]}#%&*~<>=/\\-]*")
+_BEFORE, _AFTER = "\"'([{#%&*~<>=/\\-", ".,;:!?\"')]}#%&*~<>=/\\-"
 # One doubled letter is usual spelling; two of them, or three letters in a row, may be a disguise.
-_STRETCHED = re.compile(r"(.)\1\1|(.)\2.*(.)\3")
+_STRETCHED = re.compile(r"(.)\1(?:\1|.*(.)\2)")
 _RUNS = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -99,7 +99,13 @@ def class_of(c: str) -> int:
 
 def gram_counts(texts: list[str]) -> np.ndarray:
     """Counts of four-grams of classes, each word on its own between borders."""
-    joined = plain("\n" + "\n".join(texts) + "\n")
+    read = [plain(t) for t in texts]
+    # Texts of other characters take four bytes for each, so they are counted on their own.
+    kinds = [t for t in read if t.isascii()], [t for t in read if not t.isascii()]
+    return sum(_gram_counts("\n" + "\n".join(kind) + "\n") for kind in kinds)
+
+
+def _gram_counts(joined: str) -> np.ndarray:
     if joined.isascii():
         c = _classes()[np.frombuffer(joined.encode(), np.uint8)]
     else:
@@ -195,6 +201,15 @@ def decode(stretch: str, model) -> str:
     return "".join(reversed(parts))
 
 
+def _three_single(tokens: list[str]) -> bool:
+    """Are three tokens in a row of one character each?"""
+    try:
+        lengths = bytes(map(len, tokens))
+    except ValueError:  # one is longer than a byte can say
+        lengths = bytes([min(len(t), 2) for t in tokens])
+    return b"\1\1\1" in lengths
+
+
 class Reader:
     """Reads texts through the channel; remembers the words of tokens."""
 
@@ -206,15 +221,15 @@ class Reader:
         """Tokens of a text, single letters between blanks already joined as the model likes."""
         text = plain(text)
         found = text.split()
-        if "111" in "".join(["1" if len(t) == 1 else "0" for t in found]):
+        if _three_single(found):
             found = _SPACED.sub(lambda m: decode(re.sub(r"\s+", " ", m[0]), self.model), text).split()
         return found
 
     def interpret(self, token: str) -> tuple[str, ...]:
         """The words of a token."""
-        match = _PLAIN.fullmatch(token)
-        if match and not _STRETCHED.search(match[1]):
-            return (match[1],)
+        word = token if token.isalpha() else token.lstrip(_BEFORE).rstrip(_AFTER)
+        if word.isascii() and word.isalpha() and word.islower() and not _STRETCHED.search(word):
+            return (word,)
         disguised = any("a" <= c <= "z" for c in token)
         return tuple(_WORDS.findall(decode(token, self.model) if disguised else token))
 
@@ -249,17 +264,18 @@ class Finder:
         self.memory: dict[str, tuple[str, ...]] = {}
 
     def __call__(self, parts) -> set[str]:
-        out: set[str] = set()
-        known = self.memory.get
-        for part in parts:
-            hits = known(part)
-            if hits is None:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                likely = [w for w in self.read(part) if w[: STEMS[0]] in self.heads]
-                hits = self.memory[part] = tuple(f for w in likely for f in features(w) if f in self.wanted)
-            if hits:
+        parts = list(parts)
+        known = list(map(self.memory.get, parts))
+        out = set().union(*filter(None, known))
+        for part in [part for part, hits in zip(parts, known) if hits is None]:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            hits = ()
+            likely = [w for w in self.read(part) if w[: STEMS[0]] in self.heads]
+            if likely:
+                hits = tuple([f for w in likely for f in features(w) if f in self.wanted])
                 out.update(hits)
+            self.memory[part] = hits
         return out
 
 

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -210,3 +212,32 @@ def test_given_tables():
     found = QUERIES["op11_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     counts = {(r.toxic, r.predicted): r["count"] for r in found.where("held_out").groupBy("toxic", "predicted").count().collect()}
     assert counts.get((0, 1), 0) <= 2 and counts[(1, 1)] >= 3
+
+
+def test_only_texts_of_other_characters_take_the_long_way(monkeypatch):
+    normalized = []
+
+    class Recorded:
+        @staticmethod
+        def normalize(form, text):
+            normalized.append(text)
+            return unicodedata.normalize(form, text)
+
+    texts = ["Plain words, and more", "ein schöner Tag", "", "ὈΔΥΣΣΕΎΣ", "́x Σ", "again plain"]
+    apart = sum(X.gram_counts([t]) for t in texts)
+    monkeypatch.setattr(X, "unicodedata", Recorded)
+    assert (X.gram_counts(texts) == apart).all()
+    assert sorted(normalized) == sorted(t for t in texts if not t.isascii())
+
+
+def test_plain_tokens_are_told_by_their_signs(reader):
+    signs = re.compile(r"[\"'(\[{#%&*~<>=/\\-]*([a-z]+)[.,;:!?\"')\]}#%&*~<>=/\\-]*")
+    stretched = re.compile(r"(.)\1\1|(.)\2.*(.)\3")
+    rnd = random.Random(5)
+    for _ in range(5000):
+        token = "".join(rnd.choices("aabbcez.-!\"'()1$ßé", k=rnd.randint(1, 7)))
+        match = signs.fullmatch(token)
+        if match and not stretched.search(match[1]):
+            assert reader.interpret(token) == (match[1],)
+        tokens = [c * rnd.choice((1, 1, 1, 300)) for c in token]
+        assert X._three_single(tokens) == any(all(len(t) == 1 for t in tokens[i : i + 3]) for i in range(len(tokens) - 2))
