@@ -2,8 +2,8 @@
 
 One aggregation by value (``value_counts``) feeds distinct ratios, quartiles, top
 values, frequency maps and vocabularies. Its key is (column, value), so neither a
-huge column nor a value that fills a third of it ends up in one task: repeated
-values are combined before the shuffle.
+huge column nor all of its many values end up in one task. Repeated values are combined
+before the shuffle, except in columns of many different values (``_counted``).
 """
 
 from __future__ import annotations
@@ -40,6 +40,15 @@ _DIGESTED = 2
 _SKETCHED = 8
 _MANY = 100_000
 
+# Rows of a table up to which a task can hold all its different values.
+_HELD = 1_000_000
+# Different values of a column up to which they are combined before the shuffle, estimated from one of so many by hash.
+_COMBINED = 50_000
+_SHARE = 64
+# Different values that a task counts after the shuffle, and slots per task, among which they are dealt out.
+_COUNTED = 1_000_000
+_SLOTS = 64
+
 
 @dataclass(frozen=True)
 class ValueCounts:
@@ -83,21 +92,56 @@ def _numbers(cells: Cells) -> DataFrame | None:
     return _both(whole, cells.real)
 
 
-def value_counts(cells: Cells) -> ValueCounts:
-    def counted(df: DataFrame) -> DataFrame:
-        return (
-            df.filter(F.col("value").isNotNull()).groupBy(*KEY, "value").agg(F.count("*").alias("cnt"))
-        )
+def _many_valued(df: DataFrame) -> DataFrame:
+    """``table_id, ordinal, n_share`` of the columns with many different values, and how many of them are in the share."""
+    shared = df.select(*KEY, F.xxhash64("value").alias("h")).filter(F.pmod("h", F.lit(_SHARE)) == 0).distinct()
+    counted = shared.groupBy(*KEY).agg(F.count("*").alias("n_share"))
+    return counted.filter(F.col("n_share") * _SHARE > _COMBINED)
+
+
+def _counted(
+    cells: DataFrame,
+    largest: int | None,
+    shown: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
+    """Different non-null values per column of the ``shown`` cells, with ``cnt``.
 
+    Combining the values of a column before the shuffle takes as much memory as a split has different ones, and saves
+    little if they are many. So columns with many are dealt out as they are, which holds nothing, to as many tasks
+    as their values need. Tables of at most ``_HELD`` rows need no such care; if ``largest``, the row count of the
+    largest, is not known, the values are looked at. That only decides the way; every cell is counted.
+    """
+    present = cells.filter(F.col("value").isNotNull())
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy(*df.columns).agg(F.count("*").alias("cnt"))
+
+    if largest is not None and largest <= _HELD:
+        return counted(shown(present))
+    many = keep(_many_valued(present), "many-valued")
+    n_share = many.agg(F.sum("n_share")).first()[0]
+    if not n_share:
+        return counted(shown(present))
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, -(-n_share * _SHARE // _COUNTED))
+    columns = F.broadcast(many.select(*KEY))
+    apart = shown(present.join(columns, KEY, "left_semi"))
+    slot = F.pmod(F.xxhash64(*KEY, "value"), F.lit(tasks * _SLOTS)).cast("int")
+    apart = apart.withColumn("slot", slot).repartition(tasks, "slot")
+    return counted(shown(present.join(columns, KEY, "left_anti"))).unionByName(counted(apart).drop("slot"))
+
+
+def value_counts(cells: Cells, largest: int | None = None) -> ValueCounts:
+    """``largest``: rows of the largest table, where that is known (``_counted``)."""
     # Whole numbers are counted before they become doubles, so ids beyond 2^53 stay apart.
     as_double = [
-        counted(df).selectExpr(*KEY, "double(value) AS value", "string(value) AS shown", "cnt")
+        _counted(df, largest).selectExpr(*KEY, "double(value) AS value", "string(value) AS shown", "cnt")
         if df is not None
         else None
         for df in (cells.whole, cells.real)
     ]
     return ValueCounts(
-        numeric=_both(*as_double), text=counted(cells.text) if cells.text is not None else None
+        numeric=_both(*as_double), text=_counted(cells.text, largest) if cells.text is not None else None
     )
 
 
@@ -107,7 +151,7 @@ def stand_in(value: Column) -> Column:
     return F.when(F.octet_length(value) < _STAND_IN, value).otherwise(digest)
 
 
-def key_counts(cells: Cells) -> ValueCounts:
+def key_counts(cells: Cells, largest: int | None = None) -> ValueCounts:
     """``value_counts`` with stand-ins for texts, so that no long text is shuffled, sorted or written.
 
     ``head`` is the beginning of a long text and null for one that stands for itself.
@@ -115,9 +159,8 @@ def key_counts(cells: Cells) -> ValueCounts:
     text, value = cells.text, F.col("value")
     if text is not None:
         head = F.when(F.octet_length(value) >= _STAND_IN, F.left(value, F.lit(_HEAD)))
-        short = text.filter(value.isNotNull()).select(*KEY, stand_in(value).alias("value"), head.alias("head"))
-        text = short.groupBy(*KEY, "value", "head").agg(F.count("*").alias("cnt"))
-    return ValueCounts(numeric=value_counts(Cells(cells.whole, cells.real, None)).numeric, text=text)
+        text = _counted(text, largest, lambda df: df.select(*KEY, stand_in(value).alias("value"), head.alias("head")))
+    return ValueCounts(numeric=value_counts(Cells(cells.whole, cells.real, None), largest).numeric, text=text)
 
 
 def with_texts(text: DataFrame, *picked: DataFrame) -> DataFrame:
@@ -440,7 +483,7 @@ def column_profiles(
     ``counts`` (``key_counts``) and ``sizes`` are the value counts and the summary of the cells where they have been
     written already.
     """
-    counts = counts or key_counts(cells).kept(keep, columns)
+    counts = counts or key_counts(cells, largest).kept(keep, columns)
     sizes = keep(cell_summary(cells), "summary") if sizes is None else sizes
     quarts = quartiles(counts.numeric, largest, keep=keep)
     top = keep(_top_keys(counts.text, P.TOP_VALUES), "top-keys")

@@ -87,7 +87,7 @@ def build_store(
         asked = pool.submit(written_tables)
         summary = pool.submit(lambda: keep(profile.cell_summary(cells), "summary"))
         largest = pool.submit(L.largest_table, groups)
-        counts = profile.key_counts(cells).kept(keep, columns, pool)
+        counts = profile.key_counts(cells, largest.result()).kept(keep, columns, pool)
         tables = asked.result()
         unit = pool.submit(lambda: keep(terms.unit_terms(tables, "table_id", "text_blob", tokenizer), "terms"))
         dense = pool.submit(written_vectors, tables)

@@ -117,9 +117,10 @@ def table_fingerprints(spark, sf_dir):
     FROM cells GROUP BY ALL""",
 )
 def column_ratios(spark, sf_dir):
-    cells = L.lake_cells(C.lake(spark, sf_dir))
+    groups = C.lake(spark, sf_dir)
+    cells = L.lake_cells(groups)
     sizes = profile.cell_summary(cells)
-    distinct = profile.distinct_counts(profile.value_counts(cells)).drop("n_values")
+    distinct = profile.distinct_counts(profile.value_counts(cells, L.largest_table(groups))).drop("n_values")
     return sizes.join(distinct, profile.KEY, "left").select(
         "table_id",
         F.col("ordinal").cast("long").alias("ordinal"),
@@ -151,8 +152,9 @@ def numeric_stats(spark, sf_dir):
     groups = C.lake(spark, sf_dir)
     cells, columns = L.lake_cells(groups), L.lake_columns(groups)
     # The quartiles read the counts several times.
-    counts = profile.ValueCounts(profile.value_counts(cells).numeric, None).kept(materialize, columns)
-    return _rounded_stats(profile.numeric_stats(columns, cells, counts, L.largest_table(groups)))
+    largest = L.largest_table(groups)
+    counts = profile.value_counts(L.Cells(cells.whole, cells.real, None), largest).kept(materialize, columns)
+    return _rounded_stats(profile.numeric_stats(columns, cells, counts, largest))
 
 
 SPARSE_SQL = """
@@ -200,7 +202,9 @@ freqs AS (
 
 
 def _text_cells(spark, sf_dir):
-    return L.lake_cells(C.lake(spark, sf_dir))
+    """The texts of the given tables, and the rows of the largest."""
+    groups = C.lake(spark, sf_dir)
+    return L.Cells(None, None, L.lake_cells(groups).text), L.largest_table(groups)
 
 
 @query(
@@ -210,9 +214,9 @@ def _text_cells(spark, sf_dir):
     FROM freqs JOIN sizes USING (table_id, ordinal)""",
 )
 def value_frequencies(spark, sf_dir):
-    cells = _text_cells(spark, sf_dir)
+    cells, largest = _text_cells(spark, sf_dir)
     sizes = materialize(profile.cell_summary(cells), "summary")
-    freqs = profile.frequencies(profile.value_counts(cells), sizes)
+    freqs = profile.frequencies(profile.value_counts(cells, largest), sizes)
     return freqs.select(
         "table_id",
         F.col("ordinal").cast("long").alias("ordinal"),
@@ -231,9 +235,9 @@ def value_frequencies(spark, sf_dir):
     QUALIFY rank <= {P.TOP_VALUES}""",
 )
 def top_values(spark, sf_dir):
-    cells = _text_cells(spark, sf_dir)
+    cells, largest = _text_cells(spark, sf_dir)
     sizes = materialize(profile.cell_summary(cells), "summary")
-    top = profile.top_texts(cells, profile.key_counts(cells).text)
+    top = profile.top_texts(cells, profile.key_counts(cells, largest).text)
     return (
         top.join(sizes.select(*profile.KEY, "n_rows"), profile.KEY)
         .withColumn("freq", F.col("cnt") / F.col("n_rows"))
@@ -255,7 +259,7 @@ def top_values(spark, sf_dir):
     GROUP BY value HAVING sum(cnt) >= {P.VOCAB_MIN_FREQ}""",
 )
 def value_vocabulary(spark, sf_dir):
-    counts = profile.value_counts(_text_cells(spark, sf_dir))
+    counts = profile.value_counts(*_text_cells(spark, sf_dir))
     vocab = profile.vocabulary(counts)
     spread = profile.aligned_frequencies(counts.text, vocab).groupBy("value").agg(
         F.count("*").alias("n_columns")
@@ -280,7 +284,7 @@ def sample_values(spark, sf_dir):
     """Doubles and times print differently in SQL; the check covers texts and integers."""
     groups = C.lake(spark, sf_dir)
     columns = L.lake_columns(groups)
-    counts = profile.value_counts(L.lake_cells(groups)).kept(materialize, columns)
+    counts = profile.value_counts(L.lake_cells(groups), L.largest_table(groups)).kept(materialize, columns)
     samples = profile.sample_values(counts, columns)
     shown = columns.filter("col_type in ('int', 'str')")
     return samples.join(shown.select(*profile.KEY), profile.KEY, "left_semi").select(

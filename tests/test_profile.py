@@ -215,3 +215,50 @@ def test_samples_of_few_and_many_values(spark):
     for c, n in enumerate(sizes):
         values = [f"v{c}_{i}" for i in range(n)]
         assert got[c] == sorted(values, key=lambda v: hashlib.md5(v.encode()).hexdigest())[:5]
+
+
+def test_columns_of_many_values_are_counted_apart(spark, monkeypatch):
+    """Not combined before the shuffle but dealt out, and counted as if they were: copies, one frequent value, nulls, zeros of both signs, NaN."""
+    rows = [
+        (
+            i // 2 if i % 3 else 7,
+            i % 4,
+            (float(i // 2), -0.0, 0.0, float("nan"), None)[i % 5],
+            None if i % 11 == 0 else f"text {i // 3} " * (1 + i % 9),
+            "same",
+        )
+        for i in range(6000)
+    ]
+    df = spark.createDataFrame(rows, "a bigint, b int, c double, d string, e string")
+    _, cells = cells_of(df)
+
+    def shown(counts):
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (counts.numeric, counts.text)]
+        found = [sorted(map(repr, d.collect())) for d in (counts.numeric, counts.text)]
+        return found, [plan.count("hashpartitioning(slot") for plan in plans]
+
+    for count in (profile.value_counts, profile.key_counts):
+        want, apart = shown(count(cells, 6000))
+        assert apart == [0, 0] and len(want[0]) > 2500
+        with monkeypatch.context() as small:
+            small.setattr(profile, "_HELD", 5999)
+            small.setattr(profile, "_COMBINED", 500)
+            small.setattr(profile, "_COUNTED", 100)
+            many = profile._many_valued(cells.whole.filter("value IS NOT NULL")).collect()
+            assert [r.ordinal for r in many] == [0]
+            for largest in (6000, None):
+                got, apart = shown(count(cells, largest))
+                assert got == want
+                # Whole numbers and doubles; texts.
+                assert apart == [2, 1]
+            assert count(cells, None).text.rdd.getNumPartitions() > 8
+
+
+def test_columns_of_few_values_are_combined(spark, monkeypatch):
+    """Large tables whose columns all have few values are combined before the shuffle, in one pass of counting."""
+    monkeypatch.setattr(profile, "_HELD", 10)
+    _, cells = cells_of(spark.range(5000).selectExpr("id % 7 AS a", "string(id % 5) AS b"))
+    counts = profile.value_counts(cells, 5000)
+    assert "slot" not in counts.numeric._jdf.queryExecution().executedPlan().toString()
+    assert counts.numeric.selectExpr("count(*)", "sum(cnt)").first()[:] == (7, 5000)
+    assert counts.text.selectExpr("count(*)", "sum(cnt)").first()[:] == (5, 5000)
