@@ -14,8 +14,7 @@ from lakeweave.operators import blocks, cells, terms
 def hashed_encoder(docs: DataFrame, key: str, text: str, dim: int = P.EMBEDDING_DIM) -> DataFrame:
     """``key, vector``: term weights summed into ``dim`` buckets by term digest, unit length.
 
-    The offline stand-in for a sentence encoder; it stays inside the JVM. A text
-    without known terms has no vector.
+    The offline stand-in for a sentence encoder. A text without known terms has no vector.
     """
     rows = terms.postings(terms.unit_terms(docs, key, text, "name"), key)
     bucket = f"int(pmod(conv(substr(md5(term), 1, 8), 16, 10), {dim}))"

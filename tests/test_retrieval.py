@@ -256,3 +256,43 @@ def test_blocks_of_neighbours_hold_numbers(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(blocks, "block_top_k", block_top_k)
     REGISTRY["document_neighbours"].run(spark, sf_dir)
     assert seen["q"]["terms"] == seen["c"]["terms"] == "array<bigint>" and seen["q_rows"] == 1024
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 2**20])
+def test_texts_are_numbered_in_chunks(spark, monkeypatch, chunk):
+    """A posting is not shuffled by its term; rows of one key (null too) are one text, whatever the chunks."""
+    from dataclasses import replace
+
+    monkeypatch.setattr(P, "SCALE", replace(P.SCALE, chunk_tokens=chunk))
+    rows = [(1, "x x y"), (2, "x Été"), (None, "y z"), (2, "x y y"), (None, "z x z"), (3, "été w"), (4, None), (5, ""), (6, "- x")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    kept = {}
+
+    def keep(frame, name):
+        kept[name] = materialize(frame, name)
+        return kept[name]
+
+    got = {(r.id, r.term): r.weight for r in terms.postings(terms.unit_terms(docs, "id", "text", keep=keep), "id").collect()}
+    tf = {1: {"x": 2, "y": 1}, 2: {"x": 2, "été": 1, "y": 2}, None: {"y": 1, "x": 1}, 3: {"été": 1}, 6: {"x": 1}}
+    n, df = 9, {"x": 4, "y": 3, "été": 2}
+    raw = {i: {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in f.items()} for i, f in tf.items()}
+    assert got == {(i, t): pytest.approx(w / math.hypot(*f.values())) for i, f in raw.items() for t, w in f.items()}
+    chunks = kept["term-counts"].collect()
+    assert sum(len(r["keys"]) for r in chunks) == 5 and all(list(r.names) == sorted(r.names) for r in chunks)
+    assert kept["vocabulary"].count() == len(chunks)
+
+
+def test_postings_are_not_shuffled(spark):
+    """What is shuffled grows with the terms of a chunk and not with its postings."""
+    docs = spark.createDataFrame([(i, "a b c d e" if i % 2 else "a c e") for i in range(4000)], "id int, text string")
+    names, sent = [], []
+
+    def keep(frame, name):
+        names.append(name)
+        frame = materialize(frame, name)
+        sent.append(frame.count())
+        return frame
+
+    unit = terms.unit_terms(docs, "id", "text", keep=keep)
+    assert unit.count() == 2000 and names == ["term-counts", "vocabulary"]
+    assert max(sent) <= spark.sparkContext.defaultParallelism
