@@ -296,3 +296,76 @@ def test_postings_are_not_shuffled(spark):
     unit = terms.unit_terms(docs, "id", "text", keep=keep)
     assert unit.count() == 2000 and names == ["term-counts", "vocabulary"]
     assert max(sent) <= spark.sparkContext.defaultParallelism
+
+
+def sparse_rows(n, rng):
+    """Texts with numbered terms of which some are frequent, in one of them none, and copies."""
+    rows = []
+    for i in range(n):
+        found = sorted({*rng.choice(5, 2), *(5 + rng.zipf(1.5, rng.integers(1, 9)) % 200)}) if i else []
+        w = rng.random(len(found)).round(2) + 0.1
+        rows.append((i, [int(t) - (1 << 61) for t in found], [float(x) for x in w / max(1e-9, np.sqrt((w * w).sum()))]))
+    return [*rows, *((n + i, t, w) for i, t, w in rows[:7])]
+
+
+@pytest.mark.parametrize("postings, size", [(2**21, 2**27), (1, 1), (300, 4000)])
+def test_blocks_of_the_same_rows_are_paired(spark, monkeypatch, postings, size):
+    """Blocks are written once and met in pairs, whatever their sizes, with the results of all pairs."""
+    from dataclasses import replace
+
+    monkeypatch.setattr(P, "SCALE", replace(P.SCALE, block_postings=postings, paired_bytes=size))
+    rows = sparse_rows(700, np.random.default_rng(5))
+    df = spark.createDataFrame(rows, "i long, terms array<bigint>, weights array<double>").repartition(2)
+    df = materialize(df, "rows")
+    q = df.selectExpr("i AS query_id", "'t' AS tenant_id", "3 AS k", "if(i % 2 = 0, 0.3D, NULL) AS theta", "terms", "weights")
+    c = df.selectExpr("i AS table_id", "'t' AS tenant_id", "terms", "weights")
+    packed = q.mapInArrow(blocks.pack(256), blocks.PACKED)
+    plan = blocks.block_top_k(q, c, blocks.sparse_scorer(1.0, 0.0, []), packed=packed)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.table_id, r.score) for r in plan.collect()}
+    m = np.zeros((len(rows), 210))
+    for i, t, w in rows:
+        m[i, np.array(t, "int64") + (1 << 61)] = w
+    scores = np.round(m @ m.T, 9)
+    want = set()
+    for i in range(len(rows)):
+        near = sorted((-scores[i, j], j) for j in range(len(rows)) if j != i and (i % 2 or scores[i, j] > 0.3))[:3]
+        want |= {(i, j, -s) for s, j in near}
+    assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want}
+    assert sorted(s for *_, s in got) == pytest.approx(sorted(s for *_, s in want), abs=1e-9)
+    assert "FlatMapCoGroups" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_sparse_scores_equal_the_plain_sum(spark, monkeypatch):
+    """Frequent and rare terms, words or numbers, a few products or scores at a time, and kinds of columns beside them."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    rows = sparse_rows(90, rng)
+    frame = pd.DataFrame({"terms": [np.array(t, "int64") for _, t, _ in rows], "weights": [np.array(w) for *_, w in rows]})
+    frame["a"], frame["b"] = rng.integers(0, 3, len(rows)), rng.integers(0, 2, len(rows))
+    words = frame.assign(terms=[np.array([f"t{x}" for x in t], object) for t in frame["terms"]])
+    for name, most in (("_SCORES", 2**22), ("_PRODUCTS", 50), ("_SCORES", 500), ("_DENSE", 200), ("_DENSE", 0)):
+        monkeypatch.setattr(blocks, name, most)
+        for f in (frame, words):
+            q = f[:40]
+            got = list(blocks.sparse_scorer(0.7, 0.3, ["a", "b"])(q, f))
+            for i, r in enumerate(got):
+                for j in range(len(f)):
+                    x, y = (dict(zip(f["terms"][k], f["weights"][k])) for k in (i, j))
+                    low, high = (sum(g(f[c][i], f[c][j]) for c in "ab") for g in (min, max))
+                    assert r[j] == pytest.approx(0.7 * sum(w * y.get(t, 0) for t, w in x.items()) + (0.3 * low / high if high else 0))
+
+
+def test_neighbours_write_no_vectors(spark, sf_dir, monkeypatch):
+    """The vectors are packed as they come, once, and a text without an id is nobody's neighbour."""
+    from suite import REGISTRY
+    from suite import common as C
+
+    docs = spark.createDataFrame([(i if i < 6 else None, f"a{i % 3} b{i % 2} c{i}") for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr(C, "table", lambda *_: docs)
+    written, keep = [], blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", lambda frame, name, *how: written.append(name) or keep(frame, name, *how))
+    rows = REGISTRY["document_neighbours"].run(spark, sf_dir).collect()
+    assert written == ["blocks"] and rows and all(r.query_id != r.table_id for r in rows)
+    assert {r.query_id for r in rows} | {r.table_id for r in rows} <= set(range(6))
